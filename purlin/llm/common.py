@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,20 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context; their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_purlin_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="purlin-")) / "purlin_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._purlin_shipped = True
+
+
 def release() -> None:
     """Delete every frozen table; frames that still read one become unusable."""
     while _written:
