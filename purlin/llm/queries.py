@@ -11,6 +11,7 @@ from purlin.llm.exact_dedup import exact_dedup
 from purlin.llm.html_extract import extract_main_text
 from purlin.llm.language_id import identify_languages
 from purlin.llm.license_scan import license_scan
+from purlin.llm.minhash_dedup import near_duplicates
 from purlin.llm.mixing import mix
 from purlin.llm.packing import pack
 from purlin.llm.quality_classifier import classify_quality
@@ -46,6 +47,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))[0]
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_html_extract": op7_html_extract,
     "op8_language_id": op8_language_id,
