@@ -1,9 +1,134 @@
-"""Queries: retrieval."""
+"""Queries of hybrid retrieval."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from purlin.operators import retrieval as ops
 from purlin.plans.registry import Registry
+from purlin.sources.views import read_view
 
 R = Registry()
+K = 10
+RANKED = """select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
+    select q.vec_id as query_id, v.vec_id, greatest(0.0, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[]))) as score
+    from {embeddings} q, {embeddings} v where q.vec_id < 10) s) r where rank <= 10"""
+R4 = "floor(({c}) * 1e4 + 0.5) / 1e4"
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_view(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ops.dense_topk(vectors.where("vec_id < 10"), vectors, K)
+
+
+OF = {"frames": {"ranked": ranked}, "more": {"ranked": RANKED}}
+R.sql("dense_topk", f"select query_id, vec_id, {R4.format(c='score')} as score, rank from {{ranked}}", **OF)
+
+
+@R.operator("rrf_fusion", f"select vec_id, {R4.format(c='max(score)')} as best, floor(sum(cast(1.0 / (60 + rank) as decimal(18,12))) * 1e6 + 0.5) / 1e6 as fused, count(distinct query_id) as query_hits from {{ranked}} group by vec_id", ranked=RANKED)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.fuse(ranked(spark, sf_dir)).selectExpr("vec_id", f"{R4.format(c='best')} as best", "floor(fused * 1e6 + 0.5) / 1e6 as fused", "query_hits")
+
+
+R.sql(
+    "retrieval_metrics",
+    """select count(*) as queries, floor(avg(case when first_rank <= 1 then 1.0 else 0.0 end) * 1e4 + 0.5) / 1e4 as recall_1, floor(avg(case when first_rank <= 3 then 1.0 else 0.0 end) * 1e4 + 0.5) / 1e4 as recall_3,
+      floor(avg(case when first_rank <= 5 then 1.0 else 0.0 end) * 1e4 + 0.5) / 1e4 as recall_5, floor(avg(case when first_rank <= 10 then 1.0 else 0.0 end) * 1e4 + 0.5) / 1e4 as recall_10,
+      floor(avg(coalesce(cast(1 as double) / first_rank, 0.0)) * 1e4 + 0.5) / 1e4 as mrr
+      from (select r.query_id, min(case when a.label = b.label and r.query_id <> r.vec_id then r.rank end) as first_rank
+        from {ranked} r join {embeddings} a on r.query_id = a.vec_id join {embeddings} b on r.vec_id = b.vec_id group by r.query_id) m""",
+    **OF,
+)
+POOL = "select doc_id as id, text from {documents} where lang = 'en' order by doc_id limit 60"
+QUESTION = "select text from {benchmark} order by item_id limit 1"
+GRAMS_SQL = {
+    "texts": "select id, text from (" + POOL + ") p union all select -1, text from (" + QUESTION + ") q",
+    "words": r"select id, concat(' ', w, ' ') as w from (select id, unnest(regexp_split_to_array(lower(text), '\s+')) as w from {texts}) x where w <> ''",
+    "cut": "select id, substr(w, cast(i as int), n) as gram from (select id, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) as i from (select id, w, unnest([3, 4, 5]) as n from {words}) a where n = 3 or length(w) > n - 1) b",
+    "tf": "select id, gram, count(*) as tf from {cut} group by id, gram",
+    "idf": "select gram, ln((1 + (select count(*) from {texts})) / (1.0 + count(*))) + 1 as idf from {tf} group by gram",
+    "weighted": "select id, t.gram, tf * idf as w from {tf} t join {idf} i on t.gram = i.gram",
+    "norms": "select id, sqrt(sum(w * w)) as norm from {weighted} group by id",
+    "lexical": """select p.id, coalesce(d.dot / (n.norm * (select norm from {norms} where id = -1)), 0.0) as score from (select id from {texts} where id <> -1) p
+        left join (select a.id, sum(a.w * b.w) as dot from {weighted} a join {weighted} b on a.gram = b.gram and b.id = -1 where a.id <> -1 group by a.id) d on p.id = d.id left join {norms} n on p.id = n.id""",
+}
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = read_view(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "text").orderBy("id").limit(60)
+    question = read_view(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select("text")
+    return ops.tfidf_scores(question, pool)
+
+
+LEX = {"frames": {"lexical": lexical}, "more": GRAMS_SQL}
+R.sql("tfidf_char_scores", "select id, floor(score * 1e6 + 0.5) / 1e6 as score from {lexical}", **LEX)
+PARTS = """select d.id, 1 as q, (d.id % 97) / 97e0 as dense, l.score as lexical, (d.id % 5) / 5e0 as heading, case when d.id % 3 = 0 then 1e0 else 0e0 end as document, (d.id % 4) / 4e0 as agreement
+    from (select id from {lexical}) d join {lexical} l on d.id = l.id"""
+
+
+@R.operator(
+    "hybrid_rerank",
+    """select id, floor((0.45 * case when xd - nd < 1e-9 then case when xd > 0 then 1e0 else 0e0 end else (dense - nd) / (xd - nd) end + 0.25 * case when xl - nl < 1e-9 then case when xl > 0 then 1e0 else 0e0 end else (lexical - nl) / (xl - nl) end
+        + 0.20 * heading + 0.05 * document + 0.05 * agreement) * 1e6 + 0.5) / 1e6 as rerank_score
+      from (select *, min(dense) over () as nd, max(dense) over () as xd, min(lexical) over () as nl, max(lexical) over () as xl from {parts}) s""",
+    parts=PARTS,
+    **GRAMS_SQL,
+)
+def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.sql(PARTS.replace("{lexical} l", "{l2} l").replace("join {l2}", "join {l2}"), lexical=lexical(spark, sf_dir), l2=lexical(spark, sf_dir))
+    return parts.withColumn("s", ops.hybrid_score("q")).selectExpr("id", "floor(s * 1e6 + 0.5) / 1e6 as rerank_score")
+
+
+WANTED = "select distinct document_id, section_id as wanted_id from {sections} where doc_id % 97 = 5 union select 'src3', '9-2'"
+
+
+@R.operator(
+    "section_prefix_expand",
+    "select w.document_id, w.wanted_id, s.doc_id, s.section_id from {wanted} w join {sections} s on w.document_id = s.document_id and (s.section_id = w.wanted_id or starts_with(s.section_id, concat(w.wanted_id, '-')))",
+    wanted=WANTED,
+)
+def section_prefix_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = read_view(spark, sf_dir, "sections")
+    wanted = spark.sql(WANTED, sections=sections)
+    return ops.expand_sections(wanted, sections).select("document_id", "wanted_id", "doc_id", "section_id")
+
+
+R.sql(
+    "section_parents",
+    """select document_id, parent_id, count(distinct section_id) as children, max(n_text) as largest from (
+        select document_id, section_id, n_text, regexp_replace(section_id, '-[0-9]+$', '') as parent_id from {sections}) s group by document_id, parent_id having count(distinct section_id) >= 2""",
+)
+LINKS = "select doc_id, source, lag(doc_id) over (partition by source order by doc_id) as prev_id, lead(doc_id) over (partition by source order by doc_id) as next_id from {documents}"
+
+
+@R.operator(
+    "neighbor_expand",
+    """select s.doc_id as seed, n.doc_id, cast(abs(n.pos - s.pos) as int) as depth, floor(power(0.88, abs(n.pos - s.pos)) * 1e4 + 0.5) / 1e4 as weight
+      from {placed} s join {placed} n on s.source = n.source and abs(n.pos - s.pos) <= 2 where s.doc_id % 50 = 0""",
+    placed="select doc_id, source, row_number() over (partition by source order by doc_id) as pos from {documents}",
+)
+def neighbor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = spark.sql(LINKS, documents=read_view(spark, sf_dir, "documents"))
+    return ops.neighbours(chunks.drop("source"), chunks.where("doc_id % 50 = 0").select("doc_id"))
+
+
+ITEMS = "select source, doc_id, length(text) as n_chars from {documents} where doc_id % 20 < 3"
+
+
+@R.operator(
+    "context_packing",
+    """, ranked AS (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as pos from items),
+      walk AS (select source, cast(0 as bigint) as pos, cast(null as bigint) as doc_id, cast(0 as bigint) as used, false as taken from (select distinct source from ranked) s
+        union all select w.source, r.pos, r.doc_id, case when w.used + r.n_chars + 120 <= 12000 then w.used + r.n_chars + 120 else w.used end, w.used + r.n_chars + 120 <= 12000 from walk w join ranked r on w.source = r.source and r.pos = w.pos + 1)
+      select source, cast(pos as int) as position, doc_id, used as used_chars from walk where taken""",
+    items=ITEMS,
+)
+def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.sql(ITEMS, documents=read_view(spark, sf_dir, "documents"))
+    return ops.pack_context(items, 12000, 120, "source", [F.col("n_chars").desc(), F.col("doc_id")])
+
+
+R.oracles["context_packing"] = "WITH RECURSIVE items AS (" + ITEMS.replace("{documents}", "documents") + ") " + R.oracles["context_packing"].strip()
 
 QUERIES, ORACLE_SQL = R.queries, R.oracles

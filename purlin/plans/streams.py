@@ -1,9 +1,34 @@
-"""Queries: streams."""
+"""Queries on the events table; the same functions run on streams."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from purlin.plans.registry import Registry
+from purlin.sources.views import read_view
+from purlin.streaming import events as ops
 
 R = Registry()
 
+
+@R.operator(
+    "event_tumbling_counts",
+    "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, cast(sum(cast(value as decimal(18,4))) as double) as total from {events} group by 1, 2",
+)
+def event_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ops.tumbling_counts(read_view(spark, sf_dir, "events"))
+    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "total")
+
+
+@R.operator(
+    "event_sessions",
+    """select user_id, count(*) as sessions, cast(max(n) as bigint) as largest, cast(sum(n) as bigint) as events from (
+        select user_id, s, count(*) as n from (select user_id, ts, sum(case when before is null or ts >= before + interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as s
+          from (select user_id, ts, event_id, lag(ts) over (partition by user_id order by ts, event_id) as before from {events}) a) b group by user_id, s) c group by user_id""",
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.sessions(read_view(spark, sf_dir, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("events").alias("largest"), F.sum("events").alias("events"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.oracles
