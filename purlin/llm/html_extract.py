@@ -51,31 +51,39 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text else {}
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in a zone without main text, in the marked article) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, int]]:
+    """(text, in a zone without main text, in the marked article, characters in links) of each block, in page order."""
+    out: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, opens such a zone, opens the article
-    zones = articles = 0
+    zones = articles = links = linked = 0
     parts: list[str] = []
     at = 0
 
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        linked += len(text) if links else 0
+
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, zones > 0, articles > 0))
+                out.append((text, zones > 0, articles > 0, linked))
             parts.clear()
+        linked = 0
 
     def leave(upto: int) -> None:
-        nonlocal zones, articles
+        nonlocal zones, articles, links
         while len(stack) > upto:
-            _, zone, article = stack.pop()
+            tag, zone, article = stack.pop()
+            links -= tag == "a"
             zones -= zone
             articles -= article
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -115,8 +123,9 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         stack.append((tag, zone, article))
         zones += zone
         articles += article
+        links += tag == "a"
     if at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
@@ -124,15 +133,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive, joined by empty lines."""
     found = lines(page or "")
-    marked = any(article and not zone for _, zone, article in found)
-    size = [0 if zone or (marked and not article) else len(text) for text, zone, article in found]
+    marked = any(article and not zone for _, zone, article, _ in found)
+    size = [0 if zone or (marked and not article) else len(text) if marked else max(0, len(text) - linked) for text, zone, article, linked in found]
     if not any(size):
         return ""
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     least = 1 if marked else min(THRESHOLD, max(sums))
-    keep: set[int] = set()
-    i = 0
     runs: list[tuple[int, int, int]] = []
+    i = 0
     while i < len(sums):
         if sums[i] >= least and size[i]:  # surge
             j = i
@@ -142,15 +150,13 @@ def main_text(page: str | None) -> str:
             i = j
         else:
             i += 1
-    if not runs:
-        return ""
-    if marked:
-        for _, i, j in runs:
-            keep.update(range(i, j))
-    else:
-        _, i, j = max(runs, key=lambda r: (r[0], -r[1]))
-        keep.update(range(i, j))
-    return "\n\n".join(found[i][0] for i in sorted(keep) if size[i])
+    if not marked:
+        runs = [max(runs, key=lambda r: (r[0], -r[1]))] if runs else []
+    keep = [k for _, i, j in runs for k in range(i, j) if not found[k][1] and (found[k][2] or not marked)]
+    if not marked:  # lines of nothing but links stay inside the text, not at its end
+        while keep and not size[keep[-1]]:
+            keep.pop()
+    return "\n\n".join(found[k][0] for k in keep)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
