@@ -16,6 +16,8 @@ occur; an empty table gives no pieces; other columns are ignored, or carried whe
 from __future__ import annotations
 
 import functools
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,28 +31,62 @@ from purlin.llm.common import Memo, freeze, numbered, ship
 
 SIZE = 4096
 END_ID = 2
+# The tokenizer settings under which chunks can be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*]*)")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[Callable[[str], bytes], np.dtype, np.ndarray]:
-    """Text to id bytes, their type, and the bucket of each id; made once in a worker.
+class Encoder:
+    """Texts to id bytes; made once in a worker.
 
-    The tokenizer drops white space and splits there, so the chunks between blanks and line ends are encoded
-    apart, and short ones are remembered.
+    Where the tokenizer lower-cases, drops white space and takes each run of letters by itself (checked), the chunks
+    between blanks and line ends are encoded apart and remembered, and so is the lower-cased word in a chunk of Latin
+    letters with closing punctuation. Other chunks are encoded as they are; with other tokenizers whole texts are.
+    Memory: ``limit`` chunks of at most ``longest`` characters.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    size = tokenizer.get_vocab_size()
-    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    encode = lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, kind).tobytes()
-    memo = Memo(encode)
-    return lambda text: b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" "))), kind, vectors.id_buckets(size)
+    def __init__(self, path: str, limit: int = 600_000, longest: int = 48):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.buckets = vectors.id_buckets(size)
+        config = json.loads(self.tokenizer.to_str())
+        first = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_chunk = config["normalizer"] == NORMALIZER and first.get("pattern", {}).get("Regex") == LETTER_RUNS and first.get("invert") is True
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words = Memo(self._word, limit, longest)
+        self.tails = Memo(self._whole, 10_000)
+        self.chunks = Memo(self._chunk, limit, longest)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = LATIN_WORD.fullmatch(chunk)
+        if m:
+            return self.words[m[1].lower()] + (self.tails[m[2]] if m[2] else b"")
+        return self._whole(chunk) if chunk else b""
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if self.by_chunk else self._whole(text)
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _tokenise(path: str, end_id: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind, buckets = _encoder(path)
+        encode = _encoder(path)
+        kind, buckets = encode.kind, encode.buckets
         matrix = vectors.projection(vectors.DIMS, seed)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
@@ -75,7 +111,7 @@ def _tokenise(path: str, end_id: int, seed: int) -> Callable:
 
 def _cut(path: str, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, kind, _ = _encoder(path)
+        kind = _encoder(path).kind
         for batch in batches:
             at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__at", "__n"))
             first, last = at // size, (at + n - 1) // size
