@@ -12,8 +12,9 @@ order is the same. Texts of 0.8 or more are linked; a class is a connected set o
    be common to a pair, so a text with too many of those can't reach 0.8 with any, and pairs have an upper bound. This
    exact filter takes out texts that merely share a passage or are copies edited too far.
 4. Stars: in each bucket the text with the smallest share of such shingles (the one most like the others) is compared
-   with the rest, which is linear in a bucket's size. Then only pairs in different components that share a
-   bucket and pass the upper bound are compared, so no link is lost and no group of copies is expanded into pairs.
+   with the rest, then one drawn by hash, which is linear in a bucket's size. Then texts of buckets that still hold several components are
+   compared across components, where they meet in a rare shingle that a pair at 0.8 must share (exact prefix filter).
+   So no link is lost and no group of copies is expanded into pairs.
 5. Verification aligns within the band that 0.8 leaves room for, with bit-parallel steps.
 
 Joins are on ids and keys and may be split where skewed; every stage's result is frozen in the shared folder.
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from purlin.llm.common import Memo, freeze, numbered, quoted, renamed_back, ship
@@ -39,6 +40,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, MINIMA = 32, 5
 SHORT, SHORT_BANDS = 15, 8  # texts of at most SHORT shingles: more keys, of one minimum
+PARITIES = 16  # 64-bit words of a text's parity bitmap
+BITS = [f"p{k}" for k in range(PARITIES)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, (BANDS + SHORT_BANDS, 2), dtype=np.uint64)
 _STEPS = np.random.default_rng(21).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -178,6 +181,18 @@ def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "kmers"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each of PARITIES * 64 cells, whether an odd number of the text's shingles falls into it."""
+    cells = PARITIES * 64
+    for batch in batches:
+        rows = []
+        for w in batch.column("words"):
+            at = (labelled(shingles(np.frombuffer(w.as_py(), np.uint32))) % np.uint64(cells)).astype(np.int64)
+            rows.append(np.packbits(np.bincount(at, minlength=cells) & 1, bitorder="little").view("<i8"))
+        columns = np.array(rows, np.int64).reshape(-1, PARITIES)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(columns[:, k]) for k in range(PARITIES)]], ["id", *BITS])
+
+
 def _verify(similar: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,6 +222,42 @@ def _could(similar: float) -> str:
     return f"{most} >= {similar - 1e-9} * (na + nb - {most})"
 
 
+def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` whose bucket holds several components of ``links``, with their component, frozen."""
+    comps = components(links).select(F.col("node").alias("id"), "comp")
+    placed = freeze(buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    return freeze(placed.join(still, "bucket"), "open")
+
+
+def _across(apart: DataFrame, words: DataFrame, similar: float, kind: str) -> DataFrame:
+    """Pairs (a, b) of different components that can reach ``similar``: none that does is left out.
+
+    Two texts at ``similar`` have at least that share of each one's shingles in common. With all shingles in one
+    order, the rarest first, they must therefore meet among the first ``n - ceil(similar * n) + 1`` of both. Of the pairs
+    that meet, parity bitmaps rule out those whose shingles differ too much, within the join and exactly: copies of one
+    text edited too far from each other give no rows, however large their group is.
+    """
+    kmers = words.join(apart.select("id"), "id").mapInArrow(_kmers, f"id {kind}, kmers array<bigint>").select("id", F.explode("kmers").alias("kmer"))
+    kmers = freeze(kmers, "rare")
+    counts = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    both = kmers.join(counts, "kmer")
+    sizes = apart.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    known = apart.join(sizes, "comp").select("id", "n", "u", F.struct("size", "comp").alias("part"))
+    of = Window.partitionBy("id")
+    ranked = both.withColumns({"rank": F.row_number().over(of.orderBy("c", "kmer")), "shared": F.count(F.lit(1)).over(of)})
+    ranked = ranked.join(known, "id").where(f"rank + (n - shared) <= n - ceil({similar - 1e-9} * n) + 1")
+    bits = words.join(apart.select("id"), "id").mapInArrow(_parities, f"id {kind}, " + ", ".join(f"{p} bigint" for p in BITS))
+    entries = freeze(ranked.join(bits, "id").select("kmer", "id", "n", "u", "part", *BITS), "prefixes")
+    lists = entries.groupBy("kmer").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi")
+    left = entries.join(lists, "kmer").where("part < hi").select("kmer", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("part").alias("pa"), *[F.col(p).alias(f"a{p}") for p in BITS])
+    right = entries.join(lists.select("kmer"), "kmer").select(F.col("kmer").alias("kb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("part").alias("pb"), *[F.col(p).alias(f"b{p}") for p in BITS])
+    # cells of different parity hold a shingle of one text alone: no more such cells than such shingles
+    differ = "(" + " + ".join(f"bit_count(a{p} ^ b{p})" for p in BITS) + f") <= (na + nb) * {(1 - similar) / (1 + similar) + 1e-9}"
+    met = left.join(right, (F.col("kmer") == F.col("kb")) & (F.col("pa") < F.col("pb")) & F.expr(_could(similar)) & F.expr(differ))
+    return met.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(classes, links). Classes: one row per document: id, copy_of, class_id, kept; links: a, b, similarity between
     the documents that stand for equal texts: all links but those within what is already one class."""
@@ -232,14 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = able.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub")).join(leaders, "bucket")
     stars = freeze(stars.where("a != b").where(_could(similar)).select("a", "b").distinct(), "stars")
     first = _links(stars, words, similar, kind)
-    comps = components(first)
-    placed = able.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = freeze(placed, "placed")
-    still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    rest = freeze(placed.join(still, "bucket"), "open")
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("comp").alias("ca"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("comp").alias("cb"))
-    across = left.join(right, (left.bucket == right.bucket) & (F.col("ca") < F.col("cb")) & F.expr(_could(similar))).select("a", "b").distinct()
+    placed = _placed(able, first)
+    # the texts of open buckets once more, each bucket with a leader drawn by hash: a text meets another in each band
+    drawn = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n", "u", "comp")).alias("l"))
+    drawn = drawn.select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua"), F.col("l.comp").alias("ca"))
+    again = placed.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), "comp").join(drawn, "bucket")
+    again = freeze(again.where("comp != ca").where(_could(similar)).select("a", "b").distinct(), "stars")
+    first = first.unionByName(_links(again, words, similar, kind))
+    apart = _placed(placed.drop("comp"), first).select("id", "n", "u", "comp").distinct()
+    across = _across(freeze(apart, "apart"), words, similar, kind)
     second = _links(across, words, similar, kind)
     links = first.unionByName(second)
     comps = components(links)
