@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: scripts, styles, comments, forms and the zones that tags or class names mark as menus,
-headers, footers, sidebars, notices, adverts and reader comments lose their text; block elements become lines. The
-text lengths of ``WINDOW`` neighbouring lines are then summed: the sum surges where the article starts and dives to
-nothing where it ends. Lines between the surge and the dive around the largest sum are the main text. Where the page
-marks its article (``article``, ``main`` or role=main with text), only lines in it have a length.
+headers, footers, sidebars, notices, adverts and reader comments lose their text; block elements become lines. A class
+or id that holds most of the page's text marks no zone. The text lengths of ``WINDOW`` neighbouring lines, without
+their links, are then summed over the lines left: the sum surges where the main text starts and dives to nothing where
+it ends. All stretches between a surge and a dive are the main text.
+
+Where the page marks its article (``article``, ``main`` or role=main with text), its lines are the main text.
 
 Pages are independent: one pass, no shuffle, memory for one batch of pages.
 
@@ -42,19 +44,42 @@ BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebars?|side|widgets?|cookies?\w*|consent|notices?|alerts?|gdpr|newsletter|subscribe|comments?|commentlist|respond|replies|disqus\w*|related|recommended|share|sharing|social|pagination|pager|toolbar|popup|modal|skip|login|search)(?:$|[\s_-])",
     re.I,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|disqus\w*)(?:$|[_-])", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text else {}
+    """Values by name; of a repeated name the first."""
+    found: dict[str, str] = {}
+    for m in ATTR.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _wrappers(found: list[tuple[str, bool, tuple[str, ...], bool, int]]) -> set[str]:
+    """Names that look like boilerplate but wrap most of the page's text, and all text of its article."""
+    held: dict[str, int] = {}
+    total = marked = 0
+    inside: dict[str, int] = {}  # of the article's text
+    for text, zone, names, article, linked in found:
+        if not zone:
+            n = max(0, len(text) - linked)
+            total += n
+            marked += n if article else 0
+            for name in names:
+                held[name] = held.get(name, 0) + n
+                inside[name] = inside.get(name, 0) + (n if article else 0)
+    # readers' comments may well be longer than the text they are about
+    return {k for k, n in held.items() if n >= THRESHOLD and 2 * n > total and inside[k] == marked and (total - n < THRESHOLD or not READERS.search(k))}
 
 
 def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, in a zone without main text, in the marked article, characters in links) of each block, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, opens such a zone, opens the article
+    out: list[tuple[str, bool, tuple[str, ...], bool, int]] = []
+    stack: list[tuple[str, bool, tuple[str, ...], bool]] = []  # tag, opens such a zone, its boilerplate names, opens the article
+    names: dict[str, int] = {}  # boilerplate names of the open elements
     zones = articles = links = linked = 0
     parts: list[str] = []
     at = 0
@@ -69,14 +94,18 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, zones > 0, articles > 0, linked))
+                out.append((text, zones > 0, tuple(names), articles > 0, linked))
             parts.clear()
         linked = 0
 
     def leave(upto: int) -> None:
         nonlocal zones, articles, links
         while len(stack) > upto:
-            tag, zone, article = stack.pop()
+            tag, zone, called, article = stack.pop()
+            for name in called:
+                names[name] -= 1
+                if not names[name]:
+                    del names[name]
             links -= tag == "a"
             zones -= zone
             articles -= article
@@ -118,44 +147,56 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         a = _attributes(m["attrs"])
         article = tag in ("article", "main") or a.get("role", "").lower() == "main"
         zone = tag in ZONES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES
+        called: tuple[str, ...] = ()
         if not zone and tag not in ("body", "html", "main") and (tag in BLOCKS or tag == "span"):
-            zone = bool(BOILER.search(a.get("class", "")) or BOILER.search(a.get("id", ""))) and not (article and tag == "article" and "comment" not in (a.get("class", "") + a.get("id", "")).lower())
-        stack.append((tag, zone, article))
+            if not (article and tag == "article" and "comment" not in (a.get("class", "") + a.get("id", "")).lower()):
+                called = tuple({name for name in (*a.get("class", "").split(), *a.get("id", "").split()) if BOILER.search(name)})
+        stack.append((tag, zone, called, article))
+        for name in called:
+            names[name] = names.get(name, 0) + 1
         zones += zone
         articles += article
         links += tag == "a"
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    kept = _wrappers(out)
+    return [(text, zone or any(name not in kept for name in called), article, linked) for text, zone, called, article, linked in out]
 
 
-def main_text(page: str | None) -> str:
-    """The blocks between surge and dive, joined by empty lines."""
-    found = lines(page or "")
-    marked = any(article and not zone for _, zone, article, _ in found)
-    size = [0 if zone or (marked and not article) else len(text) if marked else max(0, len(text) - linked) for text, zone, article, linked in found]
-    if not any(size):
-        return ""
+def _runs(size: list[int], least: int) -> list[tuple[int, int]]:
+    """Stretches from a surge to ``least`` up to the dive."""
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    least = 1 if marked else min(THRESHOLD, max(sums))
-    runs: list[tuple[int, int, int]] = []
+    runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
-        if sums[i] >= least and size[i]:  # surge
-            j = i
-            while j < len(sums) and sums[j] > 0:  # until it dives
-                j += 1
-            runs.append((sum(size[i:j]), i, j))
-            i = j
-        else:
+        if not size[i] or sums[i] < least:
             i += 1
-    if not marked:
-        runs = [max(runs, key=lambda r: (r[0], -r[1]))] if runs else []
-    keep = [k for _, i, j in runs for k in range(i, j) if not found[k][1] and (found[k][2] or not marked)]
-    if not marked:  # lines of nothing but links stay inside the text, not at its end
-        while keep and not size[keep[-1]]:
-            keep.pop()
+            continue
+        j = i
+        while j < len(sums) and sums[j] > 0:  # until it dives
+            j += 1
+        runs.append((i, j))
+        i = j
+    return runs
+
+
+def main_text(page: str | None) -> str:
+    """The blocks between surges and dives, joined by empty lines."""
+    found = [(text, article, linked) for text, zone, article, linked in lines(page or "") if not zone]
+
+    def lengths(rows: list[tuple[str, bool, int]]) -> list[int]:
+        return [max(0, len(text) - linked) for text, _, linked in rows]
+
+    def least(size: list[int]) -> int:
+        return max(1, min(THRESHOLD, max((sum(size[i : i + WINDOW]) for i in range(len(size))), default=0)))
+
+    if any(article for _, article, _ in found):
+        return "\n\n".join(text for text, article, _ in found if article)
+    size = lengths(found)
+    keep = [k for i, j in _runs(size, least(size)) for k in range(i, j)]
+    while keep and not size[keep[-1]]:  # lines of nothing but links stay inside the text, not at its end
+        keep.pop()
     return "\n\n".join(found[k][0] for k in keep)
 
 

@@ -31,3 +31,25 @@ def test_table(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert next(r for r in got if r.page_id == 3).n_chars == 20_000 * 5 - 2
     assert extract_main_text(pages.where("page_id > 9")).collect() == []
+
+
+@pytest.mark.parametrize("between", ["<div class='related'><p>One</p><p>Two</p><p>Three</p></div>", "<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>"])
+def test_an_interrupted_text_keeps_all_its_parts(between):
+    first, last = f"<p>{LONG}</p><p>{LONG}</p>", f"<p>{LONG}</p>"
+    assert main_text(f"<div>{first}{between}{last}</div>") == "\n\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("attrs", ["style='overflow:hidden'", 'data-x="a hidden b"', "class='has-sidebar'", "class='elementor-widget-text'", "id=page class='content no-sidebar'"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_a_wrapper_of_the_whole_text_is_no_zone(attrs, tag):
+    inner = f"<p>{LONG}</p><p>{LONG}</p>"
+    page = f"<nav>Menu</nav><div {attrs}><{tag}>{inner}</{tag}><div class='sidebar'>Aside</div></div><div class='ad'>Buy</div>"
+    assert main_text(page) == f"{LONG}\n\n{LONG}"
+    split = "".join(f"<div {attrs}><p>{LONG}</p></div>" for _ in range(3))
+    assert main_text(f"<nav>Menu</nav>{split}<div class='ad'>Buy</div>") == "\n\n".join([LONG] * 3)
+
+
+def test_zones_longer_than_the_text_stay_zones():
+    assert main_text(f"<article><p>Short text.</p></article><div class='cookie-notice'><p>{LONG}</p></div>") == "Short text."
+    assert main_text(f"<p>{LONG}</p><div class='comments'>{f'<p>{LONG}</p>' * 5}</div>") == LONG
+    assert main_text(f"<p>{LONG}</p><div hidden>{f'<p>{LONG}</p>' * 5}</div>") == LONG
