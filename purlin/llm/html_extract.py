@@ -6,7 +6,9 @@ or id that holds most of the page's text marks no zone. The text lengths of ``WI
 their links, are then summed over the lines left: the sum surges where the main text starts and dives to nothing where
 it ends. All stretches between a surge and a dive are the main text.
 
-Where the page marks its article (``article``, ``main`` or role=main with text), its lines are the main text.
+Where the page marks its article (``article``, ``main`` or role=main with text) the mark is a prior: surge and dive are
+looked for among its lines, and short lines that lead up to a surge count too. If one stretch outside is longer than
+all text inside, the mark is not believed. An article of nothing but links is measured with them.
 
 Pages are independent: one pass, no shuffle, memory for one batch of pages.
 
@@ -164,19 +166,21 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     return [(text, zone or any(name not in kept for name in called), article, linked) for text, zone, called, article, linked in out]
 
 
-def _runs(size: list[int], least: int) -> list[tuple[int, int]]:
-    """Stretches from a surge to ``least`` up to the dive."""
+def _runs(size: list[int], least: int, whole: bool) -> list[tuple[int, int]]:
+    """Stretches from a surge to ``least`` up to the dive; ``whole`` ones also begin at a dive, not just at the surge."""
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
-        if not size[i] or sums[i] < least:
+        if not size[i] or (not whole and sums[i] < least):
             i += 1
             continue
-        j = i
+        j, top = i, 0
         while j < len(sums) and sums[j] > 0:  # until it dives
+            top = max(top, sums[j])
             j += 1
-        runs.append((i, j))
+        if top >= least:  # surge
+            runs.append((i, j))
         i = j
     return runs
 
@@ -191,10 +195,16 @@ def main_text(page: str | None) -> str:
     def least(size: list[int]) -> int:
         return max(1, min(THRESHOLD, max((sum(size[i : i + WINDOW]) for i in range(len(size))), default=0)))
 
-    if any(article for _, article, _ in found):
-        return "\n\n".join(text for text, article, _ in found if article)
+    inside = [row for row in found if row[1]]
+    if inside:
+        size = lengths(inside)
+        outside = lengths([row for row in found if not row[1]])
+        largest = max((sum(outside[i:j]) for i, j in _runs(outside, THRESHOLD, False)), default=0)
+        size = size if any(size) else [len(text) for text, _, _ in inside]
+        if largest <= sum(size):
+            return "\n\n".join(inside[k][0] for i, j in _runs(size, least(size), True) for k in range(i, j))
     size = lengths(found)
-    keep = [k for i, j in _runs(size, least(size)) for k in range(i, j)]
+    keep = [k for i, j in _runs(size, least(size), False) for k in range(i, j)]
     while keep and not size[keep[-1]]:  # lines of nothing but links stay inside the text, not at its end
         keep.pop()
     return "\n\n".join(found[k][0] for k in keep)

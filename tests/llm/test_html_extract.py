@@ -53,3 +53,15 @@ def test_zones_longer_than_the_text_stay_zones():
     assert main_text(f"<article><p>Short text.</p></article><div class='cookie-notice'><p>{LONG}</p></div>") == "Short text."
     assert main_text(f"<p>{LONG}</p><div class='comments'>{f'<p>{LONG}</p>' * 5}</div>") == LONG
     assert main_text(f"<p>{LONG}</p><div hidden>{f'<p>{LONG}</p>' * 5}</div>") == LONG
+
+
+def test_surge_and_dive_decide_inside_a_marked_article():
+    links = "".join(f"<li><a>More {i}</a></li>" for i in range(4))
+    page = f"<article><h1>Head</h1><p>By</p><p>Today</p><p>{LONG}</p><ul>{links}</ul><p>Tags</p><ul>{links}</ul><p>{LONG}</p></article>"
+    assert main_text(page) == "\n\n".join(["Head", "By", "Today", LONG, LONG])
+    assert main_text("<article><p><a>One</a></p><p><a>Two</a></p></article>") == "One\n\nTwo"
+
+
+def test_a_mark_on_a_teaser_is_not_believed():
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Teaser</p></article>").startswith(f"{LONG}\n\n{LONG}")
+    assert main_text(f"<p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
