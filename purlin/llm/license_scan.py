@@ -1,7 +1,8 @@
 """License scans with ordered signature rules, in DataFrame operations alone.
 
 Several hundred regexes, made from the hand-written tables below, are grouped by a keyword. A text is looked at only
-if it holds one of the keywords, and a group's regexes run only if the text holds the group's own. Every place a
+if it holds a word of one of the keywords, and a group's regexes run only if the text holds the group's own, whatever
+blanks stand in it. Every place a
 regex matches is a detection with a span, a priority and a confidence. A detection inside the span of another is
 suppressed if that one has the higher priority, or the same and a longer span; of equal spans and priorities the
 label that sorts first stays.
@@ -130,9 +131,9 @@ CLAUSES = (
     ("source-available", "source available", r"source available licen[sc]e", 40, 0.6),
     ("commercial", "commercial licen", r"(?<!non-)(?<!non)commercial licen[sc]e", 30, 0.4),
     ("apache-2.0", "apache.org/licenses", r"apache\.org/licenses/license-2\.0", 80, 0.99),
-    ("gpl", "gnu.org/licenses", r"gnu\.org/(?:copyleft|licenses)/(?:old-licenses/)?gpl", 70, 0.9),
-    ("lgpl", "gnu.org/licenses", r"gnu\.org/(?:copyleft|licenses)/(?:old-licenses/)?lgpl", 71, 0.9),
-    ("agpl", "gnu.org/licenses", r"gnu\.org/(?:copyleft|licenses)/agpl", 71, 0.9),
+    ("gpl", "gnu.org/", r"gnu\.org/(?:copyleft|licenses)/(?:old-licenses/)?gpl", 70, 0.9),
+    ("lgpl", "gnu.org/", r"gnu\.org/(?:copyleft|licenses)/(?:old-licenses/)?lgpl", 71, 0.9),
+    ("agpl", "gnu.org/", r"gnu\.org/(?:copyleft|licenses)/agpl", 71, 0.9),
     ("mit", "opensource.org/licenses", r"opensource\.org/licenses/mit", 80, 0.95),
     ("bsd", "opensource.org/licenses", r"opensource\.org/licenses/bsd", 80, 0.9),
     ("mpl-2.0", "mozilla.org/mpl", r"mozilla\.org/mpl/2\.0", 80, 0.95),
@@ -142,8 +143,10 @@ CLAUSES = (
 )
 
 
+# Runs of blanks that aren't one space; keywords are looked for in texts with one space for each.
+BLANKS = r"\s{2,}|[\t\n\x0B\f\r]"
 # Parts of several keywords; a text without any needs no look at those.
-COMMON = ("licen", "cc", "creative", "copyright", "public", "permi", "open ", "common")
+COMMON = ("licen", "cc", "creative", "copyright", "public", "permi", "open", "common")
 
 
 def _blanks(pattern: str) -> str:
@@ -221,8 +224,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = "array<struct<keyword string, rules array<struct<label string, pattern string, priority int, confidence double>>>>"
     d = docs.select(quoted(id_col).alias("__id"), F.coalesce(quoted(text_col), F.lit("")).alias("t"))
     d = d.withColumn("low", F.lower("t"))
-    gate = F.lit(False)
-    for keyword in dict.fromkeys(next((k for k in COMMON if k in g["keyword"]), g["keyword"]) for g in groups):
+    gate = F.lit(False)  # on words without blanks, as a keyword may hold any blanks in the text
+    for keyword in dict.fromkeys(next((k for k in COMMON if k in g["keyword"]), max(g["keyword"].split(), key=len)) for g in groups):
         gate = gate | F.contains("low", F.lit(keyword))
     d = d.withColumn("n_words", F.expr(f"cast({_words('t')} as bigint)"))
     d = d.withColumn("based", F.expr("(low like '%license%' or low like '%cc%')") & F.expr(f"t rlike {lit(every)}"))
@@ -230,7 +233,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("cut", F.expr(f"case when based then split(t, {lit(every)}, -1) end"))
     names = "array_compact(array(" + ", ".join(f"case when based and exists(hits, x -> x rlike {lit(each[p])}) then {lit(label)} end" for p, label in BASE_PHRASES.items()) + "))"
     d = d.withColumn("base", F.expr(f"array_sort(array_distinct({names}))"))
-    d = d.withColumn("groups", F.when(gate, F.filter(F.from_json(F.lit(json.dumps(groups)), kind), lambda g: F.contains(F.col("low"), g["keyword"]))))
+    d = d.withColumn("flat", F.when(gate, F.regexp_replace("low", BLANKS, " ")))
+    d = d.withColumn("groups", F.when(F.col("flat").isNotNull(), F.filter(F.from_json(F.lit(json.dumps(groups)), kind), lambda g: F.contains(F.col("flat"), g["keyword"]))))
     # matches and the pieces between them give the places: a match begins where the pieces and matches before it end
     spans = """
         case when size(groups) > 0 then flatten(transform(

@@ -71,3 +71,24 @@ def test_plan_has_no_python_and_no_shuffle(docs_of):
 
 def test_empty_table(docs_of):
     assert scan(docs_of([])).collect() == []
+
+
+def test_blanks_inside_keywords_lose_nothing(docs_of):
+    texts = [
+        "GNU  General\nPublic\tLicense, version 3",
+        "under the terms of the GNU\nGeneral\r\n Public License as published by the Free\n Software  Foundation",
+        "the GNU Lesser\n  General Public License",
+        "GNU\nGPL v2",
+        "Open\nSoftware License 3.0, European\nUnion Public Licence, Server\x0bSide Public License",
+        "Permission is\nhereby granted, free of charge, to any person obtaining a copy",
+        "Redistribution and\n use in source and binary forms",
+        "Creative\n\nCommons Attribution 4.0 International",
+        "All\trights\nreserved; free  to use",
+        "https://gnu.org/copyleft/gpl.html",
+    ]
+    got = {r.doc_id: r for r in scan(docs_of(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        # no prefilter here: every rule on the whole text
+        spans = {(r["label"], m.start(), m.end(), r["priority"]) for r in rules() for m in re.finditer(r["pattern"], text.lower(), re.A)}
+        left = {a for a in spans if not any(b[1] <= a[1] and b[2] >= a[2] and (b[3], b[2] - b[1]) > (a[3], a[2] - a[1]) for b in spans)}
+        assert left and {(d.label, d.begin, d.end, d.priority) for d in got[i].detections} == left, text
