@@ -90,6 +90,14 @@ def least_good(alpha: float, delta: float) -> int:
     return math.ceil(math.log(delta) / math.log1p(-alpha))
 
 
+def own_strata(sizes: list[tuple[str, int]], share: float, delta: float) -> list[str]:
+    """The languages that can pass at the level they are tested at, of (language, good texts) from the largest down."""
+    kept = list(sizes)
+    while kept and kept[-1][1] < least_good(share, delta / (len(RULES) * (len(kept) + 1))):
+        kept.pop()
+    return [lang for lang, _ in kept]
+
+
 def choose_cutoff(good: list[int], bad: list[int], alpha: float, delta: float) -> float | None:
     """``good[i]``, ``bad[i]``: labelled texts whose measure lies above exactly the first... i cutoffs counted from the
     tightest end, that is with i of GRID's cutoffs below it. The cutoff to use, or None."""
@@ -115,10 +123,10 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     share = alpha / len(RULES)
     steps = [F.struct(F.lit(rule).alias("rule"), sum(((_measure(rule) > c).cast("int") for c in GRID), F.lit(0)).alias("step")) for rule in RULES]
     cells = freeze(known.select("__lang", "__y", F.explode(F.array(*steps)).alias("m")).groupBy("__lang", "m.rule", "m.step", "__y").agg(F.count(F.lit(1)).alias("n")), "holdout")
-    # a language with fewer good texts than one stratum alone could use is pooled
+    # a language with fewer good texts than its stratum could use is pooled; fewer strata are tested at a looser level
     sizes = cells.where((F.col("rule") == next(iter(RULES))) & (F.col("__y") == 1)).groupBy("__lang").agg(F.sum("n").alias("n"))
     sizes = sizes.where(F.col("n") >= least_good(share, delta / len(RULES))).orderBy(F.col("n").desc(), "__lang").limit(MAX_STRATA).collect()
-    strata = [r["__lang"] for r in sizes]
+    strata = own_strata([(r["__lang"], r["n"]) for r in sizes], share, delta)
     level = delta / (len(RULES) * (len(strata) + 1))
     stratum = F.when(F.col("__lang").isin(strata), F.col("__lang")).otherwise(F.lit(POOLED)) if strata else F.lit(POOLED)
     table: dict[tuple, list[int]] = {}

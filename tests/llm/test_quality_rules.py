@@ -71,3 +71,20 @@ def test_fixed_sequence_stops_at_the_first_failure():
 def test_plan_has_no_python(spark, docs_of):
     plan = q.measures(docs_of([(1, "a")], partitions=1), "doc_id", "text", "lang")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_strata_are_chosen_at_the_level_they_are_tested_at(spark, docs_of):
+    share = q.ALPHA / len(q.RULES)
+    for sizes in ([("en", 1500)], [("en", 1700), ("de", 1640)], [(f"l{i:02}", 3000 - 25 * i) for i in range(64)]):
+        strata = q.own_strata(sizes, share, q.DELTA)
+        level = q.DELTA / (len(q.RULES) * (len(strata) + 1))
+        assert all(q.binomial_tail(n, 0, share) <= level for lang, n in sizes if lang in strata)
+        rest = sizes[len(strata) :]
+        assert not rest or q.binomial_tail(rest[0][1], 0, share) > q.DELTA / (len(q.RULES) * (len(strata) + 2))
+    fine = " ".join(f"word{k}" for k in range(12))
+    bad = " ".join(f"word{k}###" for k in range(12))
+    rows = [(i, bad if i >= 2800 else fine, "en" if i < 1500 or i >= 3000 else "de") for i in range(3200)]
+    measured = q.freeze(q.measures(docs_of([(i, t, g, "s") for i, t, g in rows]), "doc_id", "text", "lang"), "t")
+    cutoffs = q.calibrate(measured, labels_of(spark, [(i, int(i < 2800), 0) for i in range(3200)]))
+    assert "symbols" in cutoffs[q.POOLED] and "en" not in cutoffs  # 1500 and 1300 good texts: enough together
+    assert all(r.kept == (r["__id"] < 2800) for r in q.apply_rules(measured, cutoffs).collect())
