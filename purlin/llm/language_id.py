@@ -32,6 +32,7 @@ CHAIN = 64
 PER_LANG = 400  # documents of each language that reach the driver
 MAX_LANGS = 200
 LEXICON = 200
+PIECE = 100  # characters of a long word at a time
 UNKNOWN = "und"
 AROUND = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -52,15 +53,17 @@ _parts = Memo(_bucket, 200_000, 8)  # affixes and n-grams are few
 
 def features(word: str, lexicons: dict[str, list[str]]) -> list[int]:
     """Buckets of a word's affixes (marked by a caret or dollar sign), n-grams, lexicons and of itself."""
-    w = word[:100]
-    n = len(w)
-    parts = {"^" + w[:k] for k in range(1, min(n, 4) + 1)}
-    parts.update("$" + w[-k:] for k in range(1, min(n, 4) + 1))
-    parts.update(w)
-    parts.update(map("".join, zip(w, w[1:])))
-    parts.update(map("".join, zip(w, w[1:], w[2:])))
-    found = set(map(_parts.__getitem__, parts))
-    found.add(_bucket("=" + w))
+    n = len(word)
+    parts = {"^" + word[:k] for k in range(1, min(n, 4) + 1)}
+    parts.update("$" + word[-k:] for k in range(1, min(n, 4) + 1))
+    found = {_bucket("=" + word)}
+    for at in range(0, max(1, n - 2), PIECE):  # pieces overlap by two characters, so no n-gram is lost
+        w = word[at : at + PIECE + 2]
+        parts.update(w)
+        parts.update(map("".join, zip(w, w[1:])))
+        parts.update(map("".join, zip(w, w[1:], w[2:])))
+        found.update(map(_parts.__getitem__, parts))
+        parts.clear()
     found.update(_bucket("@" + x) for x in lexicons.get(word, ()))
     return sorted(found)
 
@@ -154,16 +157,18 @@ class LanguageModel:
         """Texts to (probabilities per word of each text), (which words have letters).
 
         Row 0 of the table is for words without letters; spellings of one word share a row. Both memories are
-        emptied between blocks once they hold ``limit`` entries.
+        emptied between blocks once they hold ``limit`` entries, or long words of 20 times as many characters.
         """
+        held = 0  # characters in index
         rows: dict[str, int] = {"": 0}  # normalised word to its row
         index: dict[str, int] = {}  # word as it stands to its row
         table = np.zeros((1 << 16, len(self.langs)))
 
         def learn(words: set[str]) -> None:
-            nonlocal table
+            nonlocal table, held
             new: list[str] = []
             for raw in words:
+                held += len(raw)
                 w = normal(raw)
                 at = rows.get(w)
                 if at is None:
@@ -179,10 +184,13 @@ class LanguageModel:
                 table[len(rows) - len(new) : len(rows)] = np.add.reduceat(self.weights[flat], first, axis=0)
 
         def label(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            nonlocal held
             if len(index) > limit:
                 index.clear()
-            if len(rows) > limit:
+                held = 0
+            if len(rows) > limit or held > 20 * limit:
                 index.clear()
+                held = 0
                 rows.clear()
                 rows[""] = 0
             words = [t.split() for t in texts]

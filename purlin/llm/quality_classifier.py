@@ -37,9 +37,11 @@ def subwords(word: str) -> list[int]:
     """Buckets of the word and its character n-grams."""
     if word == SAME:
         return [zlib.crc32(b"\x02same") % BUCKETS]
-    marked = f"<{word[:200]}>"
-    parts = {marked} | {marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1)}
-    return sorted({zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts})
+    marked = f"<{word}>"
+    found = {zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS}
+    for n in LENGTHS:  # of the whole word, which may be a text without blanks: only buckets are held
+        found.update(zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - n + 1))
+    return sorted(found)
 
 
 def _counts(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:

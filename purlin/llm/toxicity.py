@@ -57,13 +57,13 @@ _parts = Memo(lambda p: zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS
 
 def features(word: str) -> np.ndarray:
     """Buckets of a word (as it stands in a text)."""
-    w = normal(word)[:200]
+    w = normal(word)
     n = len(w)
     if not n:
         return np.zeros(0, np.int64)
     found = {zlib.crc32(("=" + w).encode("utf-8", "surrogatepass")) % BUCKETS}
     found.update(map(_parts.__getitem__, ["^" + w[:k] for k in range(3, min(n, 11))]))
-    found.update(map(_parts.__getitem__, [w[i : i + 5] for i in range(n - 4)]))
+    found.update(_parts[w[i : i + 5]] for i in range(n - 4))
     return np.array(sorted(found), np.int64)
 
 

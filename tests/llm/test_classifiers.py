@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 
 from purlin.llm import language_id as lid
+from purlin.llm import quality_classifier as qc
+from purlin.llm import toxicity as tox
 from purlin.llm.language_id import LanguageModel, forward_backward, identify_languages
 from purlin.llm.quality_classifier import SubwordModel, classify_quality, keep_quality, subwords
 from purlin.llm.toxicity import IDENTITY_GROUPS, ToxicityModel, classify_toxicity
@@ -147,3 +149,23 @@ def test_memory_limit_changes_nothing():
     b = [small([t])[0][0] for t in texts]
     assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
     assert lid.normal("(Don't!)") == "don't"
+
+
+def test_words_are_read_to_their_end():
+    long = "".join(chr(0x4E00 + k) for k in range(2000)) + "slurrous"
+    crc = lambda p, n: zlib.crc32(p.encode()) % n
+    marked = f"<{long}>"
+    assert subwords(long) == sorted({crc(p, qc.BUCKETS) for p in [marked, *(marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1))]})
+    assert {crc(long[i : i + 5], tox.BUCKETS) for i in range(len(long) - 4)} <= set(tox.features(long).tolist())
+    for n in (1, 2, 3, 99, 100, 101, 102, 103, 202, 203, len(long)):
+        w = long[-n:]
+        grams = {w[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1)} | {"=" + w} | {m + p for k in range(1, min(n, 4) + 1) for m, p in (("^", w[:k]), ("$", w[-k:]))}
+        assert lid.features(w, {}) == sorted({crc(p, lid.BUCKETS) for p in grams})
+
+
+def test_what_ends_a_text_without_blanks_is_judged():
+    plain = lambda: "".join(good(40).split())
+    texts, y = [plain() for _ in range(200)] + [plain() + "slurroab" * 3 for _ in range(200)], [0] * 200 + [1] * 200
+    score = ToxicityModel.fit(texts, y, 0.0, epochs=10).scorer()
+    text = plain() * 2
+    assert len(text) > 200 and score(text + "slurroab" * 3) > score(text) + 0.1
