@@ -5,8 +5,8 @@ cell's weight over its tokens is the probability with which its documents are dr
 
 A topic is one of ``2 ** topic_bits`` cells of a random projection of the hashed vector of the longer words, so
 documents with one vocabulary share a topic; no model is needed. The annotated rows are frozen once. Cells are
-summed with map-side combining; sources and languages under a fixed share of all tokens are pooled, so at most
-1025 x 65 x 8 cells reach the driver, whatever the corpus holds.
+summed with map-side combining. Every source and language has its own marginal. Up to ``DRIVER_CELLS`` cells are raked
+on the driver; more are raked by the same steps as group sums and joins, and only one row a round reaches it.
 
 Defined results: null source or language counts as empty text, a category of its own; null text has no tokens and is
 drawn like the rest of its cell (surely, where no row of the cell has tokens); rows with one id are drawn alike; an empty table gives an empty result; columns pass through.
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,8 @@ from purlin.llm import vectors
 from purlin.llm.common import Memo, freeze, numbered, renamed_back, ship, uniform
 
 TOPIC_BITS = 3
-MAX_SOURCES, MAX_LANGS = 1024, 64
-POOLED = "\x01rest"
+DRIVER_CELLS = 100_000  # for speed only: the weights are the same either way
+ROUNDS = 500
 LONG_WORD = 6
 
 
@@ -52,7 +52,7 @@ def _annotate(seed: int, bits: int, text_at: int, carried: bool) -> Callable:
     return run
 
 
-def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500) -> np.ndarray:
+def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = ROUNDS) -> np.ndarray:
     """Weights per cell: marginals proportional to ``targets`` and summing to ``budget``, none above its tokens.
 
     Where a cap makes a target unreachable the weights come as near as the caps allow.
@@ -76,15 +76,49 @@ def flattened(shares: Mapping[str, float], power: float = 0.5) -> dict[str, floa
     return {k: v / total for k, v in raised.items()}
 
 
-def _pooled(cells: DataFrame, col: str, least: float) -> tuple[DataFrame, list[str]]:
-    """The values of ``col`` with at least ``least`` tokens; by arithmetic no more than the caller's bound."""
-    kept = cells.groupBy(col).agg(F.sum("__t").alias("t")).where(F.col("t") >= least).select(col)
-    return kept, [r[0] for r in kept.collect()]
-
-
-def _folded(value: Column, kept: list[str]) -> Column:
-    names = F.array(*[F.lit(k) for k in kept]) if kept else F.array().cast("array<string>")
-    return F.when(F.array_contains(names, value), value).otherwise(F.lit(POOLED))
+def _raked(cells: list, given: Mapping[str, Mapping[str, float]], keep_fraction: float) -> list[tuple]:
+    axes = [sorted({r[i] for r in cells}) for i in range(3)]
+    places = [{k: i for i, k in enumerate(axis)} for axis in axes]
+    index = [np.array([place[r[i]] for r in cells], np.int64) for i, place in enumerate(places)]
+    tokens = np.array([r["t"] for r in cells], np.float64)
+    shares = []
+    for axis, at, kind in zip(axes, index, ("source", "lang", "topic"), strict=True):
+        now = dict(zip(axis, np.bincount(at, tokens, len(axis)).tolist(), strict=True))
+        goal = given.get(kind) or flattened(now)
+        shares.append(np.array([goal.get(k, 0.0) for k in axis]) / (sum(goal.get(k, 0.0) for k in axis) or 1.0))
+    weight = rake(tokens, index, shares, keep_fraction * tokens.sum()) if len(tokens) else tokens
+    return [(r["s"], r["l"], r["t_"], float(w), float(w / t)) for r, w, t in zip(cells, weight, tokens, strict=True)]
+
+
+def rake_cells(cells: DataFrame, given: Mapping[str, Mapping[str, float]], keep_fraction: float, rounds: int = ROUNDS) -> DataFrame:
+    """``rake`` of any number of cells (s, l, t_, t), without a collect of them: s, l, t_, w, p."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("t")).first()[0])
+    budget = keep_fraction * total
+    now = cells.withColumn("w", F.col("t") * F.lit(budget / total))
+    for axis, kind in (("s", "source"), ("l", "lang"), ("t_", "topic")):
+        sums = cells.groupBy(axis).agg(F.sum("t").cast("double").alias("v"))
+        if given.get(kind):
+            rows = [(k, float(v)) for k, v in given[kind].items()]
+            goal = spark.createDataFrame(rows, f"{axis} {cells.schema[axis].dataType.simpleString()}, g double")
+            goal = sums.join(goal, axis, "left").select(axis, F.coalesce("g", F.lit(0.0)).alias("g"))
+        else:
+            goal = sums.select(axis, F.sqrt("v").alias("g"))
+        goal = freeze(goal, f"goal-{axis}")
+        whole = goal.agg(F.sum("g")).first()[0] or 1.0
+        now = now.join(goal.select(axis, (F.col("g") / F.lit(whole) * F.lit(budget)).alias(f"g_{axis}")), axis)
+    now = freeze(now, "rake")
+    for _ in range(rounds):
+        step = now.withColumn("old", F.col("w"))
+        for axis in ("s", "l", "t_"):
+            have = step.groupBy(axis).agg(F.sum("w").alias("have"))
+            step = step.join(have, axis).withColumn("w", F.when(F.col("have") > 0, F.col("w") * (F.col(f"g_{axis}") / F.col("have"))).otherwise(F.lit(0.0))).drop("have")
+            step = freeze(step, "rake")
+        now = freeze(step.withColumn("w", F.least("w", F.col("t").cast("double"))), "rake")
+        if not now.where(F.abs(F.col("w") - F.col("old")) > 1e-10 * F.abs("old")).limit(1).count():
+            break
+        now = now.drop("old")
+    return now.select("s", "l", "t_", "w", (F.col("w") / F.col("t")).alias("p"))
 
 
 def mix(
@@ -115,26 +149,16 @@ def mix(
     lang = F.coalesce(F.col(names[lang_col]).cast("string"), F.lit(""))
     cells = noted.groupBy(source.alias("s"), lang.alias("l"), F.col("__topic").alias("t_")).agg(F.sum("__tokens").alias("__t"))
     cells = freeze(cells, "cells")
-    total = cells.agg(F.sum("__t")).first()[0] or 0
-    _, sources = _pooled(cells, "s", max(total / MAX_SOURCES, 1))
-    _, langs = _pooled(cells, "l", max(total / MAX_LANGS, 1))
-    folded = cells.groupBy(_folded(F.col("s"), sources).alias("s"), _folded(F.col("l"), langs).alias("l"), "t_").agg(F.sum("__t").alias("t")).where("t > 0").collect()
-    axes = [sorted({r[i] for r in folded}) for i in range(3)]
-    index = [np.array([axes[i].index(r[i]) for r in folded], np.int64) for i in range(3)]
-    tokens = np.array([r["t"] for r in folded], np.float64)
+    cells = cells.where("__t > 0").withColumnRenamed("__t", "t")
     given = targets or {}
-    shares = []
-    for axis, at, kind in zip(axes, index, ("source", "lang", "topic"), strict=True):
-        now = dict(zip(axis, np.bincount(at, tokens, len(axis)).tolist(), strict=True))
-        goal = given.get(kind) or flattened(now)
-        shares.append(np.array([goal.get(k, 0.0) for k in axis]) / (sum(goal.get(k, 0.0) for k in axis) or 1.0))
-    weight = rake(tokens, index, shares, keep_fraction * tokens.sum()) if len(tokens) else tokens
-    schema = "__s string, __l string, __t_ int, __w double, __p double"
-    made = [(r["s"], r["l"], r["t_"], float(w), float(w / t)) for r, w, t in zip(folded, weight, tokens, strict=True)]
-    table = spark.createDataFrame(made, schema)
-    keyed = noted.withColumns({"__s": _folded(source, sources), "__l": _folded(lang, langs)})
+    if few := cells.count() <= DRIVER_CELLS:
+        table = spark.createDataFrame(_raked(cells.collect(), given, keep_fraction), "s string, l string, t_ int, w double, p double")
+    else:
+        table = rake_cells(cells, given, keep_fraction)
+    table = table.toDF("__s", "__l", "__t_", "__w", "__p")
+    keyed = noted.withColumns({"__s": source, "__l": lang})
     on = (F.col("a.__s") == F.col("b.__s")) & (F.col("a.__l") == F.col("b.__l")) & (F.col("a.__topic") == F.col("b.__t_"))
-    joined = keyed.alias("a").join(F.broadcast(table).alias("b"), on, "left")
+    joined = keyed.alias("a").join((F.broadcast(table) if few else table).alias("b"), on, "left")
     probability = F.coalesce("b.__p", F.lit(1.0))
     return joined.select(
         *[F.col(f"a.{names[c]}").alias(c) for c in wanted],

@@ -1,5 +1,6 @@
 import numpy as np
 
+from purlin.llm import mixing
 from purlin.llm.mixing import mix, rake, sample_mix
 
 
@@ -49,3 +50,31 @@ def test_targets_and_sample(docs_of):
     kept = sample_mix(docs, keep_fraction=0.3)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in mix(docs, keep_fraction=0.3).collect() if r.sampled}
+
+
+def tail_rows():
+    """One language and one source with most of the tokens, forty of each with one per cent or less."""
+    text = " ".join(f"word{k}" for k in range(20))
+    rows = [(i, text, "big", "hot") for i in range(600)]
+    return rows + [(1000 + i, text, f"l{i % 40:02}", f"s{i % 40:02}") for i in range(400)]
+
+
+def test_small_categories_have_marginals_of_their_own(docs_of):
+    got = mix(docs_of(tail_rows()), keep_fraction=0.1).collect()
+    kept = {g: sum(r.n_tokens * r.probability for r in got if r.lang == g) for g in {r.lang for r in got}}
+    small = sum(v for g, v in kept.items() if g != "big") / sum(kept.values())
+    assert abs(small - 40 * 0.1 / (40 * 0.1 + 0.6**0.5)) < 1e-6  # 84 %, not the 45 % of one pooled language
+    given = {"lang": {"big": 0.5, "l07": 0.3, "l08": 0.2}, "source": {"hot": 0.5, "s07": 0.3, "s08": 0.2}}
+    got = mix(docs_of(tail_rows()), keep_fraction=0.01, targets=given).collect()
+    kept = {g: sum(r.n_tokens * r.probability for r in got if r.lang == g) for g in {r.lang for r in got}}
+    assert all(abs(kept[g] / sum(kept.values()) - given["lang"].get(g, 0)) < 1e-6 for g in kept)
+
+
+def test_raking_by_joins_gives_the_same_weights(docs_of, monkeypatch):
+    rows = [(i, f"word{i % 50} longerword{i % 9} anotherword" * (1 + i % 5), ("en", "de", None)[i % 3], f"s{min(i % 7, 3)}") for i in range(300)]
+    for targets in (None, {"source": {"s0": 0.6, "s1": 0.3, "s2": 0.1}}):
+        want = {r.doc_id: r.probability for r in mix(docs_of(rows), keep_fraction=0.2, targets=targets).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "DRIVER_CELLS", 0)
+            got = {r.doc_id: r.probability for r in mix(docs_of(rows), keep_fraction=0.2, targets=targets).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
