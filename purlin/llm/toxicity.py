@@ -1,22 +1,26 @@
 """Toxicity: a counterfactually regularised classifier.
 
-The log odds are a sum over a text's distinct words; a word's part is the sum of learned weights of the word, its
-prefixes and its character n-grams (hashed). Only buckets whose log likelihood ratio shows that they go with label 1
-get a weight, and none below zero, so long texts gather no noise. Training is stochastic gradient descent in numpy on
-a bounded sample of labelled rows.
+The log odds are a sum over a text's distinct word parts; a part is the word itself, one of its prefixes or one of its
+character n-grams (hashed), and counts by the logarithm of its share of the words. Only buckets whose log likelihood
+ratio shows that they go with label 1 get a weight, and none below zero, so long texts gather no noise. Training is
+stochastic gradient descent in numpy on a bounded sample of labelled rows (``training.PER_CLASS`` of each label, of at
+most ``training.LONGEST`` characters each).
 
-Counterfactual part: in every labelled text an identity term is swapped for another of its group (where a text has
-none, a word gives place to a drawn term, in texts of both labels alike) and the squared change of the score is
-penalised, so that neutral mentions of any group leave the score alone.
+Counterfactual part: of every labelled text there are ``VARIANTS`` others in which every identity term has given place
+to a drawn term of its group; where a text has none, one of its words without weight gives place to a drawn term. The
+square of the change of the score (of the log odds) between a text and its variant is penalised, so that it doesn't
+matter which group is mentioned, nor that one is.
+
+Texts are scored in blocks: new words are hashed together, and only words with telling parts go any further.
 
 Defined results: null text counts as empty; a text without words scores the intercept; without labelled rows of both
-classes all texts score the share of label 1; repeated rows score alike.
+classes all texts score the share of label 1; repeated rows score alike; an empty table gives an empty result; very
+long texts and words are read to their end, a block of their own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purlin.llm.common import Memo, id_crc, ship
+from purlin.llm.common import id_crc, quoted, ship
 from purlin.llm.training import PER_CLASS, labelled_sample, not_held_out
+from purlin.llm.wordparts import Grown, Spelled, WordTable, blocks, ranges
 
 BUCKETS = 1 << 18
 RATE, DAMP = 100.0, 50.0  # shares are in hundredths; short texts count as this many words longer
+PREFIXES, GRAM = range(3, 11), 5
+VARIANTS = 3  # of each labelled text
 LEAST = 15.0  # of a bucket's log likelihood ratio: about one in ten thousand by chance
 AROUND = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -52,28 +59,90 @@ def normal(word: str) -> str:
     return (bare if bare.isalnum() else EDGE.sub("", bare)).lower()
 
 
-_parts = Memo(lambda p: zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS, 300_000, 12)
+def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words (as they stand in a text), each once a word: all of them in a row, and where each word's begin
+    and how many it has."""
+    plain = [normal(w) for w in words]
+    spelled = Spelled(plain)
+    lettered = np.flatnonzero(spelled.size)
+    found = [(lettered, spelled.wholes()[lettered])]
+    found += [spelled.prefix(k) for k in PREFIXES]
+    found += spelled.grams(GRAM)
+    word = np.concatenate([w for w, _ in found]).astype(np.int64)
+    bucket = (np.concatenate([h for _, h in found]) % np.uint64(BUCKETS)).astype(np.int64)
+    pairs = np.unique(word * BUCKETS + bucket)
+    size = np.bincount(pairs // BUCKETS, minlength=len(words))
+    return pairs % BUCKETS, np.cumsum(size) - size, size
 
 
 def features(word: str) -> np.ndarray:
     """Buckets of a word (as it stands in a text)."""
-    w = normal(word)
-    n = len(w)
-    if not n:
-        return np.zeros(0, np.int64)
-    found = {zlib.crc32(("=" + w).encode("utf-8", "surrogatepass")) % BUCKETS}
-    found.update(map(_parts.__getitem__, ["^" + w[:k] for k in range(3, min(n, 11))]))
-    found.update(_parts[w[i : i + 5]] for i in range(n - 4))
-    return np.array(sorted(found), np.int64)
-
-
-def _amounts(parts: list[np.ndarray], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text's buckets and how much of each: the logarithm of its share of the words."""
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at, where = np.unique(np.concatenate(parts), return_inverse=True)
-    times = np.bincount(where, np.repeat(counts, [len(p) for p in parts]))
-    return at, np.log1p(RATE * times / (length + DAMP))
+    return parts([word])[0]
+
+
+def amounts(times: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """How much of a bucket a text has: the logarithm of its share of the words."""
+    return np.log1p(RATE * times / (length + DAMP))
+
+
+class _Sample:
+    """The labelled texts as counts of normalised words, with the buckets of every word and identity term."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.split() for t in texts]
+        self.lengths = [len(ws) for ws in split]
+        self.counts = [Counter(normal(w) for w in ws) for ws in split]
+        for c in self.counts:
+            c.pop("", None)
+        words = sorted({w for c in self.counts for w in c} | set(GROUP_OF))
+        self.at = {w: i for i, w in enumerate(words)}
+        self.flat, self.begin, self.size = parts(words)
+
+    def buckets(self, word: str) -> np.ndarray:
+        i = self.at[word]
+        return self.flat[self.begin[i] : self.begin[i] + self.size[i]]
+
+    def vector(self, counts: Counter, length: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's (chosen) buckets and how much of each."""
+        at = np.array([self.at[w] for w in counts], np.int64)
+        rows = self.flat[ranges(self.begin[at], self.size[at])]
+        times = np.repeat(np.array(list(counts.values()), np.float64), self.size[at])
+        if chosen is not None:
+            rows, times = rows[chosen[rows]], times[chosen[rows]]
+        buckets, where = np.unique(rows, return_inverse=True)
+        return buckets, amounts(np.bincount(where, times, len(buckets)), length)
+
+
+def counterfactual(counts: Counter, rng: np.random.Generator, weightless: list[str]) -> Counter | None:
+    """The words of a text with every identity term swapped for a drawn one of its group; without any, one of the
+    ``weightless`` words gives place to a drawn term. None if there is neither."""
+    own = [w for w in sorted(counts) if w in GROUP_OF]
+    if own:
+        out = Counter({w: n for w, n in counts.items() if w not in GROUP_OF})
+        for w in own:
+            group = GROUP_OF[w]
+            out[group[rng.integers(len(group))]] += counts[w]
+        return out
+    if not weightless:
+        return None
+    out = Counter(counts)
+    out[weightless[rng.integers(len(weightless))]] -= 1
+    group = IDENTITY_GROUPS[rng.integers(len(IDENTITY_GROUPS))]
+    out[group[rng.integers(len(group))]] += 1
+    return +out
+
+
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets in which two texts differ, and by how much."""
+    at, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    delta = np.bincount(where, np.concatenate([a[1], -b[1]]), len(at))
+    return at[np.abs(delta) > 1e-12], delta[np.abs(delta) > 1e-12]
+
+
+def penalty(theta: np.ndarray, at: np.ndarray, delta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Half the squared change of the score between a text and its variant, and its gradient over the buckets ``at``."""
+    change = float(delta @ theta[at])
+    return change * change / 2, change * delta
 
 
 def _telling(docs: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
@@ -97,62 +166,72 @@ class ToxicityModel:
         self.weights, self.intercept = weights, intercept
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], prior: float, epochs: int = 40, rate: float = 0.3, least: float = LEAST, counterfactual: float = 1.0, seed: int = 3) -> ToxicityModel:
+    def fit(cls, texts: list[str], labels: list[int], prior: float, epochs: int = 40, rate: float = 0.3, least: float = LEAST, fairness: float = 1.0, seed: int = 3) -> ToxicityModel:
+        """``fairness``: the share of a change between a text and its variant that one visit takes back."""
         y = np.array(labels)
         if len(set(labels)) < 2:
             return cls(np.zeros(BUCKETS), prior)
         rng = np.random.default_rng(seed)
-        memo = Memo(features)
-        docs, swaps = [], []
-        for text in texts:
-            raw = text.split()
-            seen = Counter(raw)
-            words = sorted({normal(w) for w in seen} - {""})
-            docs.append(_amounts([memo[w] for w in seen], list(seen.values()), len(raw)))
-            own = [w for w in words if w in GROUP_OF]
-            group = GROUP_OF[own[0]] if own else IDENTITY_GROUPS[rng.integers(len(IDENTITY_GROUPS))]
-            old = own[0] if own else group[rng.integers(len(group))]
-            new = group[rng.integers(len(group))]
-            swaps.append((memo[old], memo[new]))
-        chosen = _telling([at for at, _ in docs], y, least)
-        docs = [(at[chosen[at]], amount[chosen[at]]) for at, amount in docs]
-        swaps = [(old[chosen[old]], new[chosen[new]]) for old, new in swaps]
+        sample = _Sample(texts)
+        chosen = _telling([sample.vector(c, n)[0] for c, n in zip(sample.counts, sample.lengths, strict=True)], y, least)
+        docs = [sample.vector(c, n, chosen) for c, n in zip(sample.counts, sample.lengths, strict=True)]
+        telling = {w for w in sample.at if chosen[sample.buckets(w)].any()}
+        variants = []
+        for c, n, doc in zip(sample.counts, sample.lengths, docs, strict=True):
+            weightless = [w for w in sorted(c) if w not in telling]
+            drawn = [counterfactual(c, rng, weightless) for _ in range(VARIANTS)]
+            variants.append([difference(doc, sample.vector(v, n, chosen)) for v in drawn if v is not None])
         theta, grads = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
         bias = -1.0
-        for _ in range(epochs):
+        for epoch in range(epochs):
             for i in rng.permutation(len(docs)):
                 at, amount = docs[i]
-                old, new = swaps[i]
-                z = bias + amount @ theta[at]
-                error = y[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                error = y[i] - 1 / (1 + np.exp(-np.clip(bias + amount @ theta[at], -30, 30)))
                 bias += 0.02 * error
                 if len(at):
                     slope = error * amount
                     grads[at] += slope * slope
                     theta[at] = np.maximum(theta[at] + rate * slope / np.sqrt(grads[at]), 0)
-                change = theta[new].sum() - theta[old].sum()
-                if change:
-                    size = counterfactual * change / (len(new) + len(old))
-                    theta[new] = np.maximum(theta[new] - size, 0)
-                    theta[old] = np.maximum(theta[old] + size, 0)
+                if variants[i]:
+                    at, delta = variants[i][epoch % len(variants[i])]
+                    if len(at):  # the step is scaled to the length of the difference
+                        theta[at] = np.maximum(theta[at] - fairness * penalty(theta, at, delta)[1] / (delta @ delta), 0)
         sampled = np.log((y == 1).sum() / (y == 0).sum())
-        return cls(theta, float(bias + min(0.0, prior - sampled)))
+        return cls(theta, float(bias + prior - sampled))
 
     def scorer(self):
-        """Text to probability of label 1."""
+        """Texts to probabilities of label 1."""
         weights = self.weights
-        none = np.zeros(0, np.int64)
-        telling = lambda w: at[weights[at] > 0] if len(at := features(w)) else none
-        by_word = Memo(telling, 500_000)
-        memo = Memo(lambda raw: by_word[normal(raw)], 500_000)
-
-        def score(text: str) -> float:
-            raw = text.split()
-            seen = Counter(raw)
-            hits = [(part, n) for part, n in zip(map(memo.__getitem__, seen), seen.values(), strict=True) if len(part)]
-            at, amount = _amounts([p for p, _ in hits], [n for _, n in hits], len(raw))
-            z = self.intercept + float(amount @ weights[at])
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        begin, size = Grown(np.int64), Grown(np.int64)
+        store = Grown(np.int64)  # the telling buckets of the words of the table
+        used = 0
+
+        def learn(new: list[str], first: int) -> None:
+            nonlocal used
+            flat, _, counts = parts(new)
+            owner = np.repeat(np.arange(len(new)), counts)
+            hit = weights[flat] > 0
+            n = np.bincount(owner[hit], minlength=len(new))
+            used = used if first else 0
+            begin.put(first, used + np.cumsum(n) - n)
+            size.put(first, n)
+            store.put(used, flat[hit])
+            used += int(n.sum())
+
+        table = WordTable(learn)
+
+        def score(texts: list[str]) -> np.ndarray:
+            out = []
+            for some in blocks(texts):
+                at, text, length = table.coded(some)
+                hit = size.data[at] > 0
+                at, text = at[hit], text[hit]
+                n = size.data[at]
+                pairs, times = np.unique(np.repeat(text, n) * BUCKETS + store.data[ranges(begin.data[at], n)], return_counts=True)
+                owner, bucket = pairs // BUCKETS, pairs % BUCKETS
+                z = self.intercept + np.bincount(owner, amounts(times, length[owner]) * weights[bucket], len(some))
+                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            return np.concatenate(out) if out else np.zeros(0)
 
         return score
 
@@ -165,7 +244,7 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([score(t) for t in texts], dtype="float64")
+            yield pd.Series(score(texts.tolist()), dtype="float64")
 
     return scored(F.coalesce(text, F.lit("")))
 
@@ -177,6 +256,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    score = score_column(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col), F.col(text_col))
-    scored = docs.select(F.col(id_col), (F.pmod(id_crc(F.col(id_col)), F.lit(3)) == 1).alias("held_out"), score.alias("score"))
+    score = score_column(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col), quoted(text_col))
+    scored = docs.select(quoted(id_col), (F.pmod(id_crc(quoted(id_col)), F.lit(3)) == 1).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from purlin.llm.common import quoted
+
 PER_CLASS = 3000  # rows of each label value that reach the driver, whatever the corpus holds
+LONGEST = 50_000  # characters of a text of the sample; longer ones aren't learned from (they are scored like all)
 
 
 def labelled_sample(
@@ -18,20 +21,24 @@ def labelled_sample(
     per_class: int = PER_CLASS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    longest: int = LONGEST,
 ) -> tuple[list[str], list[int], float]:
     """Texts, their 0/1 labels, and the log odds of label 1 among all allowed labelled rows.
 
     ``allowed``: a condition over ``__id``, the labels' id. Each class gives the rows with the smallest hashes of the
-    id, so the sample doesn't depend on how the tables are split. Null labels and ids aren't used.
+    id, so the sample doesn't depend on how the tables are split. Null labels and ids aren't used. Rows and characters
+    that reach the driver are bounded: at most ``4 * per_class`` texts of at most ``longest`` characters.
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
+    known = labels.select(quoted(id_col).alias("__id"), quoted(label_col).cast("int").alias("__y"))
     known = known.where(allowed).where("__id is not null and __y in (0, 1)")
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("__id", F.lit(17)), F.col("__id")]
     chosen = [known.where(F.col("__y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])  # 2 * per_class rows at most
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = texts.join(F.broadcast(ids), "__id").select("__id", "__text", "__y").limit(4 * per_class).collect()
+    texts = docs.select(quoted(id_col).alias("__id"), F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
+    rows = texts.where(F.length("__text") <= longest).join(F.broadcast(ids), "__id").select("__id", "__text", "__y")
+    # ids may be repeated: the first rows by a total order, so that the sample is always the same
+    rows = rows.orderBy(*order, F.xxhash64("__text"), "__y").limit(4 * per_class).collect()
     rows.sort(key=lambda r: (r["__id"], r["__text"], r["__y"]))
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
     return [r["__text"] for r in rows], [r["__y"] for r in rows], math.log(prior)
