@@ -3,29 +3,34 @@
 Each word has a score per language from hashed weights of its affixes, character n-grams and itself, and of its place
 in the lexicons of frequent words learned per language; learned transitions tie neighbours together. Forward-backward
 gives each word's language probabilities, in chains of ``CHAIN`` words, so code-switched text gets labels that follow
-the switches. A document's language is the one with the largest sum over its words.
+the switches. A document's language is the one with the largest sum over its words. Chains don't depend on each other, so
+long texts are labelled in pieces of whole chains, in bounded memory.
 
 Training maximises the likelihood of word labels (a word has its document's language) by stochastic gradient
 ascent in numpy on a bounded sample of documents per language; half of the training chains splice pieces of several
 languages, from which the transitions are learned. Scoring is one lookup a word and ``2 * CHAIN`` array steps a block.
 
-Defined results: null text, or text without letters, is ``und`` with score 0; languages tie in alphabetical order;
-without any learned language everything is ``und``; repeated rows are labelled alike.
+The languages learned are the ``MAX_LANGS`` commonest of the training rows, from at most ``2 * PER_LANG`` documents each of
+at most ``training.LONGEST`` characters.
+
+Defined results: null text, or text without letters (``str.isalpha``), is ``und`` with score 0; languages tie in
+alphabetical order; without any learned language everything is ``und``; repeated rows are labelled alike; an empty table
+gives an empty result; very long texts and words are read to their end; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from purlin.llm.common import Memo, id_crc, ship, uniform
+from purlin.llm.common import Memo, id_crc, quoted, ship, uniform
+from purlin.llm.training import LONGEST
 
 BUCKETS = 1 << 16
 CHAIN = 64
@@ -35,13 +40,16 @@ LEXICON = 200
 PIECE = 100  # characters of a long word at a time
 UNKNOWN = "und"
 AROUND = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
-EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def normal(word: str) -> str:
     """The word without what stands around its letters, lower case; empty if it has no letter."""
     bare = word.strip(AROUND)
-    return (bare if bare.isalpha() else EDGE.sub("", bare)).lower()
+    if not bare.isalpha():
+        first = next((i for i, c in enumerate(bare) if c.isalpha()), len(bare))
+        last = next((i for i in range(len(bare), first, -1) if bare[i - 1].isalpha()), first)
+        bare = bare[first:last]
+    return bare.lower()
 
 
 def _bucket(part: str) -> int:
@@ -183,7 +191,8 @@ class LanguageModel:
                 flat = np.fromiter((b for p in parts for b in p), np.int64)
                 table[len(rows) - len(new) : len(rows)] = np.add.reduceat(self.weights[flat], first, axis=0)
 
-        def label(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def label(texts: list[str] | list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+            """Of texts, or of their words."""
             nonlocal held
             if len(index) > limit:
                 index.clear()
@@ -193,7 +202,7 @@ class LanguageModel:
                 held = 0
                 rows.clear()
                 rows[""] = 0
-            words = [t.split() for t in texts]
+            words = [t.split() if isinstance(t, str) else t for t in texts]
             learn(set().union(*words).difference(index))
             coded = [np.fromiter(map(index.__getitem__, ws), np.int64, len(ws)) for ws in words]
             chains = [max(1, -(-len(c) // CHAIN)) for c in coded]
@@ -212,42 +221,55 @@ class LanguageModel:
 
         return label
 
-    def predictor(self, block: int = 1 << 20):
-        """Texts to (language, score), in blocks of about ``block`` characters."""
+    def predictor(self, cells: int = 2_000_000):
+        """Texts to (language, score), in blocks of about ``cells`` words times languages."""
         label = self.labeller() if self.langs else None
+        most = max(1, cells // max(1, len(self.langs)) // CHAIN) * CHAIN
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
-            out: list[tuple[str, float]] = []
             if label is None:
                 return [(UNKNOWN, 0.0)] * len(texts)
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < block):
-                    size += len(texts[j] or "")
-                    j += 1
-                for p, words in label([t or "" for t in texts[i:j]]):
-                    total = p[words].sum(0) if words.any() else None
-                    out.append((UNKNOWN, 0.0) if total is None else (self.langs[int(total.argmax())], float(total.max() / words.sum())))
-                i = j
-            return out
+            total, lettered = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+            held: list[tuple[int, list[str]]] = []
+            size = 0
+
+            def flush() -> None:
+                nonlocal size
+                for (i, _), (p, words) in zip(held, label([ws for _, ws in held]), strict=True):
+                    total[i] += p[words].sum(0)
+                    lettered[i] += int(words.sum())
+                held.clear()
+                size = 0
+
+            for i, text in enumerate(texts):
+                words = (text or "").split()
+                for k in range(0, len(words), most):  # whole chains
+                    piece = words[k : k + most]
+                    if held and size + len(piece) > most:
+                        flush()
+                    held.append((i, piece))
+                    size += len(piece)
+            if held:
+                flush()
+            return [(self.langs[int(t.argmax())], float(t.max() / n)) if n else (UNKNOWN, 0.0) for t, n in zip(total, lettered.tolist(), strict=True)]
 
         return predict
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, remainder: int = 2) -> LanguageModel:
     """A model from about ``per_lang`` documents of each of the ``MAX_LANGS`` commonest languages, none held out."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = known.where(F.col("lang").isNotNull() & (F.pmod(id_crc(F.col("id")), F.lit(modulus)) != remainder))
+    known = docs.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text"))
+    known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.pmod(id_crc(F.col("id")), F.lit(modulus)) != remainder))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS)
     rows = (
         known.join(F.broadcast(counts), "lang")  # MAX_LANGS rows
-        .where(uniform(F.col("id"), 23) < per_lang / F.col("n"))
+        .where((uniform(F.col("id"), 23) < per_lang / F.col("n")) & (F.length("text") <= LONGEST))
+        .withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(uniform(F.col("id"), 23), "id", F.xxhash64("text"))))
+        .where(F.col("turn") <= 2 * per_lang)
         .select("id", "lang", "text")
-        .limit(2 * per_lang * MAX_LANGS)
         .collect()
     )
-    rows = sorted((r["id"], r["lang"], r["text"] or "") for r in rows if r["id"] is not None)
+    rows = sorted((r["id"], r["lang"], r["text"]) for r in rows)
     return LanguageModel.fit([r[2] for r in rows], [r[1] for r in rows])
 
 
@@ -267,7 +289,7 @@ def language_column(spark: SparkSession, model: LanguageModel, text: Column) ->
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
-    found = language_column(docs.sparkSession, fit_languages(docs, id_col, text_col, lang_col), F.col(text_col))
-    held = F.pmod(id_crc(F.col(id_col)), F.lit(4)) == 2
-    rows = docs.select(F.col(id_col), held.alias("held_out"), found.alias("found"))
-    return rows.select(id_col, "held_out", F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
+    found = language_column(docs.sparkSession, fit_languages(docs, id_col, text_col, lang_col), quoted(text_col))
+    held = F.pmod(id_crc(quoted(id_col)), F.lit(4)) == 2
+    rows = docs.select(quoted(id_col), held.alias("held_out"), found.alias("found"))
+    return rows.select(quoted(id_col), "held_out", F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
