@@ -5,7 +5,7 @@ if it holds a word of one of the keywords, and a group's regexes run only if the
 blanks stand in it. Every place a
 regex matches is a detection with a span, a priority and a confidence. A detection inside the span of another is
 suppressed if that one has the higher priority, or the same and a longer span; of equal spans and priorities the
-label that sorts first stays.
+label that sorts first stays. Detections are sorted by place and swept once.
 
 Beside them the base phrases are counted word by word: words are runs of ASCII letters, digits and all characters
 beyond ASCII, after A-Z are lower-cased.
@@ -13,7 +13,8 @@ beyond ASCII, after A-Z are lower-cased.
 All of it happens within a row: no join, no shuffle, no Python on the executors; the rules travel as one literal.
 
 Defined results: null text counts as empty; no hit gives null positions, empty labels and score 0; repeated rows give
-repeated results; other columns are ignored.
+repeated results; an empty table gives an empty result; very long texts and very many hits are taken whole; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -205,6 +206,24 @@ def _words(text: str) -> str:
     return f"(case when {text} rlike '{some}' then length(regexp_replace({text}, '{one}', 'x')) else 0 end)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _scanned(array: str, kind: str, zero: str, plus: str) -> str:
+    """SQL: the running folds of an array of ``kind``, from ``zero`` by ``plus`` of {x} and {y}.
+
+    Appending copies an array, so blocks of about the root of its length are folded apart and put together after that.
+    """
+    width = "cast(ceil(sqrt(size(v))) as int)"
+    now, moved = plus.format(x="a.at", y="y"), plus.format(x="a.at", y="z")
+    block = f"aggregate(slice(v, k * {width} + 1, {width}), named_struct('at', {zero}, 'out', cast(array() as array<{kind}>)), (a, y) -> named_struct('at', {now}, 'out', concat(a.out, array({now}))))"
+    blocks = f"transform(sequence(0, cast(floor((size(v) - 1) / {width}) as int)), k -> {block})"
+    joined = f"aggregate({blocks}, named_struct('at', {zero}, 'out', cast(array() as array<array<{kind}>>)), (a, y) -> named_struct('at', {plus.format(x='a.at', y='y.at')}, 'out', concat(a.out, array(transform(y.out, z -> {moved})))), a -> flatten(a.out))"
+    return _let(array, "v", f"case when size(v) > 0 then {joined} end")
+
+
 def _phrases() -> tuple[str, dict[str, str]]:
     """One regex for all base phrases, and one per phrase."""
     between = f"[{NOT_WORD}]+"
@@ -235,29 +254,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("base", F.expr(f"array_sort(array_distinct({names}))"))
     d = d.withColumn("flat", F.when(gate, F.regexp_replace("low", BLANKS, " ")))
     d = d.withColumn("groups", F.when(F.col("flat").isNotNull(), F.filter(F.from_json(F.lit(json.dumps(groups)), kind), lambda g: F.contains(F.col("flat"), g["keyword"]))))
-    # matches and the pieces between them give the places: a match begins where the pieces and matches before it end
-    spans = """
+    # matches and the pieces between them give the places: running lengths of both end where a match ends
+    ends = _scanned("transform(sequence(0, size(x.m) - 1), i -> length(get(x.s, i)) + length(get(x.m, i)))", "int", "0", "{x} + {y}")
+    spans = f"""
         case when size(groups) > 0 then flatten(transform(
             filter(transform(flatten(transform(groups, g -> g.rules)), r -> named_struct(
                 'r', r, 'm', regexp_extract_all(low, r.pattern, 0), 's', split(low, r.pattern, -1))), x -> size(x.m) > 0),
-            x -> aggregate(
-                sequence(0, size(x.m) - 1),
-                named_struct('at', 0, 'found', cast(array() as array<struct<label: string, begin: int, end: int, priority: int, confidence: double>>)),
-                (a, i) -> named_struct(
-                    'at', a.at + length(get(x.s, i)) + length(get(x.m, i)),
-                    'found', concat(a.found, array(named_struct(
-                        'label', x.r.label, 'begin', a.at + length(get(x.s, i)),
-                        'end', a.at + length(get(x.s, i)) + length(get(x.m, i)),
-                        'priority', x.r.priority, 'confidence', x.r.confidence)))),
-                a -> a.found)))
+            x -> transform({ends}, (e, i) -> named_struct(
+                'begin', e - length(get(x.m, i)), 'after', -e, 'weaker', -x.r.priority, 'label', x.r.label, 'doubt', -x.r.confidence))))
         end"""
-    d = d.withColumn("all_spans", F.expr(spans))
-    beaten = """exists(all_spans, b -> b.begin <= a.begin and b.end >= a.end and (
-        b.priority > a.priority
-        or (b.priority = a.priority and b.end - b.begin > a.end - a.begin)
-        or (b.priority = a.priority and b.begin = a.begin and b.end = a.end and b.label < a.label)))"""
-    d = d.withColumn("detections", F.expr(f"coalesce(filter(all_spans, a -> not {beaten}), cast(array() as array<struct<label: string, begin: int, end: int, priority: int, confidence: double>>))"))
-    d = d.withColumn("detections", F.expr("array_sort(detections, (a, b) -> case when a.begin != b.begin then a.begin - b.begin when a.end != b.end then b.end - a.end when a.label < b.label then -1 when a.label > b.label then 1 else 0 end)"))
+    d = d.withColumn("spans", F.array_sort(F.expr(spans)))
+    # A span is beaten by an earlier one in this order that ends no sooner and has no lower priority. For each priority in
+    # use: the furthest end so far of spans of at least that priority.
+    # (lambdas below see nothing but their variables: a column named inside one could be computed anew for every span)
+    reach = _scanned("transform(b.s, x -> transform(b.l, p -> case when x.weaker <= p then -x.after else -1 end))", "array<int>", "transform(b.l, p -> -1)", "zip_with({x}, {y}, (one, two) -> greatest(one, two))")
+    left = "filter(c.s, (x, i) -> i = 0 or get(get(c.r, i - 1), cast(array_position(c.l, x.weaker) - 1 as int)) < -x.after)"
+    made = f"transform({left}, x -> named_struct('label', x.label, 'begin', x.begin, 'end', -x.after, 'priority', -x.weaker, 'confidence', -x.doubt))"
+    swept = _let("named_struct('s', spans, 'l', array_sort(array_distinct(transform(spans, x -> x.weaker))))", "b", _let(f"named_struct('s', b.s, 'l', b.l, 'r', {reach})", "c", made))
+    none = "cast(array() as array<struct<label: string, begin: int, end: int, priority: int, confidence: double>>)"
+    d = d.withColumn("detections", F.expr(f"case when size(spans) > 0 then {swept} else {none} end"))
     last_len = _words("get(hits, size(hits) - 1)")
     return d.select(
         F.col("__id").alias(id_col),

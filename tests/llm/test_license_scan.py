@@ -92,3 +92,12 @@ def test_blanks_inside_keywords_lose_nothing(docs_of):
         spans = {(r["label"], m.start(), m.end(), r["priority"]) for r in rules() for m in re.finditer(r["pattern"], text.lower(), re.A)}
         left = {a for a in spans if not any(b[1] <= a[1] and b[2] >= a[2] and (b[3], b[2] - b[1]) > (a[3], a[2] - a[1]) for b in spans)}
         assert left and {(d.label, d.begin, d.end, d.priority) for d in got[i].detections} == left, text
+
+
+def test_many_hits_and_repeated_rows(docs_of):
+    many = "mit license and CC BY-SA 4.0 or Licensed under the Apache License, Version 2.0; " * 400
+    got = scan(docs_of([(1, many), (2, "MIT License"), (2, "MIT License")])).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 3 and by[1].n_base == brute(many)[1] == 1200
+    assert {(d.label, d.begin, d.end, d.priority) for d in by[1].detections} == detections(many)
+    assert len({r.labels for r in got if r.doc_id == 2}) == 1
