@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,28 +13,60 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}  # frozen tables by path
+_local: dict[str, str] = {}  # folders of local sessions, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder all executors share: ``spark.checkpoint.dir``. A temporary one where that is unset and the session is a
+    local one (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="purlin-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="purlin-"))
 
 
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder is removed when the driver's Python ends; ``release`` removes all of them earlier.
+    The folder stays until ``discard`` of the frame, ``release``, or the end of the driver's Python.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/purlin-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._purlin_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before; other tables are still tried
+        pass
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete frozen tables that nothing is going to read any more."""
+    for frame in frames:
+        if (path := getattr(frame, "_purlin_path", None)) in _written:
+            _delete(path)
+
+
+def release() -> None:
+    """Delete every frozen table; frames that still read one become unusable. For long sessions, between queries."""
+    for path in list(_written):
+        _delete(path)
+
+
+atexit.register(release)
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,21 +83,6 @@ def ship(spark: SparkSession) -> None:
     context._purlin_shipped = True
 
 
-def release() -> None:
-    """Delete every frozen table; frames that still read one become unusable."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone at exit
-            return
-
-
-atexit.register(release)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
