@@ -86,50 +86,53 @@ def amounts(times: np.ndarray, length: np.ndarray | int) -> np.ndarray:
 
 
 class _Sample:
-    """The labelled texts as counts of normalised words, with the buckets of every word and identity term."""
+    """The labelled texts as numbers of their distinct normalised words and how often each occurs; with the buckets of
+    every word and identity term. Arrays alone are held, so thousands of texts take little memory."""
 
     def __init__(self, texts: list[str]):
-        split = [t.split() for t in texts]
-        self.lengths = [len(ws) for ws in split]
-        self.counts = [Counter(normal(w) for w in ws) for ws in split]
-        for c in self.counts:
-            c.pop("", None)
-        words = sorted({w for c in self.counts for w in c} | set(GROUP_OF))
-        self.at = {w: i for i, w in enumerate(words)}
-        self.flat, self.begin, self.size = parts(words)
-
-    def buckets(self, word: str) -> np.ndarray:
-        i = self.at[word]
-        return self.flat[self.begin[i] : self.begin[i] + self.size[i]]
-
-    def vector(self, counts: Counter, length: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        at: dict[str, int] = {w: i for i, w in enumerate(GROUP_OF)}
+        self.lengths, self.words = [], []
+        for text in texts:
+            raw = text.split()
+            seen = Counter(map(normal, raw))
+            seen.pop("", None)
+            ids = np.array([at.setdefault(w, len(at)) for w in seen], np.int32)
+            self.words.append((ids, np.array(list(seen.values()), np.int32)))
+            self.lengths.append(len(raw))
+        self.terms = len(GROUP_OF)
+        self.group = [np.array([at[t] for t in GROUP_OF[w]], np.int32) for w in GROUP_OF]
+        self.groups = [np.array([at[t] for t in group], np.int32) for group in IDENTITY_GROUPS]
+        self.names = list(at)
+        made = [parts(self.names[i : i + 20_000]) for i in range(0, len(self.names), 20_000)]
+        self.flat = np.concatenate([flat for flat, _, _ in made]).astype(np.int32)
+        self.size = np.concatenate([size for _, _, size in made])
+        self.begin = np.cumsum(self.size) - self.size
+
+    def vector(self, words: tuple[np.ndarray, np.ndarray], length: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """A text's (chosen) buckets and how much of each."""
-        at = np.array([self.at[w] for w in counts], np.int64)
-        rows = self.flat[ranges(self.begin[at], self.size[at])]
-        times = np.repeat(np.array(list(counts.values()), np.float64), self.size[at])
+        ids, times = words
+        rows = self.flat[ranges(self.begin[ids], self.size[ids])]
+        times = np.repeat(times, self.size[ids])
         if chosen is not None:
             rows, times = rows[chosen[rows]], times[chosen[rows]]
         buckets, where = np.unique(rows, return_inverse=True)
-        return buckets, amounts(np.bincount(where, times, len(buckets)), length)
-
-
-def counterfactual(counts: Counter, rng: np.random.Generator, weightless: list[str]) -> Counter | None:
-    """The words of a text with every identity term swapped for a drawn one of its group; without any, one of the
-    ``weightless`` words gives place to a drawn term. None if there is neither."""
-    own = [w for w in sorted(counts) if w in GROUP_OF]
-    if own:
-        out = Counter({w: n for w, n in counts.items() if w not in GROUP_OF})
-        for w in own:
-            group = GROUP_OF[w]
-            out[group[rng.integers(len(group))]] += counts[w]
-        return out
-    if not weightless:
-        return None
-    out = Counter(counts)
-    out[weightless[rng.integers(len(weightless))]] -= 1
-    group = IDENTITY_GROUPS[rng.integers(len(IDENTITY_GROUPS))]
-    out[group[rng.integers(len(group))]] += 1
-    return +out
+        return buckets.astype(np.int64), amounts(np.bincount(where, times, len(buckets)), length)
+
+    def counterfactual(self, words: tuple[np.ndarray, np.ndarray], rng: np.random.Generator, weightless: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The words of a text with every identity term swapped for a drawn one of its group; without any, one occurrence of
+        a ``weightless`` word gives place to a drawn term. None if there is neither."""
+        ids, times = words
+        own = ids < self.terms
+        if own.any():
+            new = [self.group[i][rng.integers(len(self.group[i]))] for i in ids[own].tolist()]
+            return np.concatenate([ids[~own], np.array(new, np.int32)]), np.concatenate([times[~own], times[own]])
+        free = np.flatnonzero(weightless[ids])
+        if not len(free):
+            return None
+        group = self.groups[rng.integers(len(self.groups))]
+        times = np.append(times, 1)
+        times[free[rng.integers(len(free))]] -= 1
+        return np.append(ids, group[rng.integers(len(group))]), times
 
 
 def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +148,12 @@ def penalty(theta: np.ndarray, at: np.ndarray, delta: np.ndarray) -> tuple[float
     return change * change / 2, change * delta
 
 
-def _telling(docs: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
+def _telling(docs: Iterator[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
     """Which buckets occur in label 1 more often than chance allows: log likelihood ratio of at least ``least``."""
     n = [int((y == k).sum()) for k in (0, 1)]
-    seen = [np.bincount(np.concatenate([d for d, v in zip(docs, y, strict=True) if v == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for k in (0, 1)]
+    seen = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+    for d, v in zip(docs, y.tolist(), strict=True):
+        seen[v][d] += 1
     total = seen[0] + seen[1]
 
     def part(observed, expected):
@@ -173,13 +178,14 @@ class ToxicityModel:
             return cls(np.zeros(BUCKETS), prior)
         rng = np.random.default_rng(seed)
         sample = _Sample(texts)
-        chosen = _telling([sample.vector(c, n)[0] for c, n in zip(sample.counts, sample.lengths, strict=True)], y, least)
-        docs = [sample.vector(c, n, chosen) for c, n in zip(sample.counts, sample.lengths, strict=True)]
-        telling = {w for w in sample.at if chosen[sample.buckets(w)].any()}
+        texts_of = lambda: zip(sample.words, sample.lengths, strict=True)
+        chosen = _telling((sample.vector(ws, n)[0] for ws, n in texts_of()), y, least)
+        docs = [sample.vector(ws, n, chosen) for ws, n in texts_of()]
+        owner = np.repeat(np.arange(len(sample.size)), sample.size)
+        weightless = np.bincount(owner[chosen[sample.flat]], minlength=len(sample.size)) == 0
         variants = []
-        for c, n, doc in zip(sample.counts, sample.lengths, docs, strict=True):
-            weightless = [w for w in sorted(c) if w not in telling]
-            drawn = [counterfactual(c, rng, weightless) for _ in range(VARIANTS)]
+        for (ws, n), doc in zip(texts_of(), docs, strict=True):
+            drawn = [sample.counterfactual(ws, rng, weightless) for _ in range(VARIANTS)]
             variants.append([difference(doc, sample.vector(v, n, chosen)) for v in drawn if v is not None])
         theta, grads = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
         bias = -1.0
