@@ -103,10 +103,12 @@ def test_counterfactual_penalty_takes_weight_off_identity_terms():
 def test_penalty_is_the_change_of_the_swapped_sentences_score():
     texts, y = [good(20) + (" scumly women and muslims" if i % 2 else " men") for i in range(60)], [i % 2 for i in range(60)]
     sample = tox._Sample(texts)
-    counts, n = sample.counts[1], sample.lengths[1]
-    other = tox.counterfactual(counts, np.random.default_rng(1), [])
-    terms = lambda c: {w: k for w, k in c.items() if w in tox.GROUP_OF}
-    assert {w: k for w, k in counts.items() if w not in tox.GROUP_OF} == {w: k for w, k in other.items() if w not in tox.GROUP_OF}
+    n = sample.lengths[1]
+    counts, none = sample.words[1], np.zeros(len(sample.names), bool)
+    other = sample.counterfactual(counts, np.random.default_rng(1), none)
+    plain = lambda ws: sorted((sample.names[i], k) for i, k in zip(*ws, strict=True) if sample.names[i] not in tox.GROUP_OF)
+    terms = lambda ws: {sample.names[i]: int(k) for i, k in zip(*ws, strict=True) if sample.names[i] in tox.GROUP_OF}
+    assert plain(counts) == plain(other) and set(terms(counts)) == {"women", "muslims"}
     assert sum(terms(other).values()) == 2 and {id(tox.GROUP_OF[w]) for w in terms(other)} == {id(tox.GROUP_OF[w]) for w in ("women", "muslims")}
     g = np.random.default_rng(2)
     theta = g.uniform(0, 1, tox.BUCKETS)
@@ -123,9 +125,11 @@ def test_penalty_is_the_change_of_the_swapped_sentences_score():
             moved.append((a[1] @ near[a[0]] - b[1] @ near[b[0]]) ** 2 / 2)
         assert abs((moved[0] - moved[1]) / 2e-5 - slope[k]) < 1e-4
     # a text without terms: one of its words without weight gives place to a term
-    plain = tox.counterfactual(sample.counts[0] - tox.Counter(["men"]), np.random.default_rng(3), ["w1or"]) if "w1or" in sample.counts[0] else None
-    assert plain is None or sum(plain.values()) == sum(sample.counts[0].values()) - 1 and len(terms(plain)) == 1
-    assert tox.counterfactual(tox.Counter(), np.random.default_rng(0), []) is None
+    neutral = tox._Sample(["one two two three", ""])
+    got = neutral.counterfactual(neutral.words[0], np.random.default_rng(3), np.ones(len(neutral.names), bool))
+    assert got[1].sum() == 4 and sum(k for i, k in zip(*got, strict=True) if i < neutral.terms) == 1
+    assert neutral.counterfactual(neutral.words[0], np.random.default_rng(3), np.zeros(len(neutral.names), bool)) is None
+    assert neutral.counterfactual(neutral.words[1], np.random.default_rng(3), np.ones(len(neutral.names), bool)) is None
 
 
 def test_toxicity_score_equals_brute_force():
