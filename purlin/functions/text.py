@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = " \t\n\x0b\f\r"
 # Letters and digits that are brought to one form, and the dashes that become a hyphen.
-ARABIC_LETTERS = ("يكىۀة", "یکیهه")
+ARABIC_LETTERS = ("يىكۀةؤإأٱ", "ییکههوااا")
+DROPPED = "ـ"  # the tatweel
+AS_BLANKS = "\u200c\u200d\u200e\u200f"  # zero-width joiners and direction marks
 LOCAL_DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 DASHES = "[‐‑‒–—−﹘﹣－]"
 # Material categories by the first list with a term that occurs in the name.
@@ -34,9 +41,34 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+@F.pandas_udf(T.StringType())
+def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(T.StringType())
+def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC form. Plain ASCII is its own; only other texts travel to Python."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _composed(F.when(other, text))).otherwise(text)
+
+
+def casefolded(text: Column) -> Column:
+    """NFKC form, folded; ASCII stays in the JVM."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _folded(F.when(other, text))).otherwise(F.lower(text))
+
+
 def normalise_text(text: Column) -> Column:
-    """One form of Arabic and Persian letters, digits and dashes, and of blanks within lines. Input is taken as NFKC."""
-    text = F.translate(F.translate(text, *ARABIC_LETTERS), *LOCAL_DIGITS)
+    """One form of Arabic and Persian letters, digits, dashes and marks, and of blanks within lines."""
+    text = F.translate(nfkc(text), ARABIC_LETTERS[0] + AS_BLANKS + DROPPED, ARABIC_LETTERS[1] + " " * len(AS_BLANKS))
+    text = F.translate(text, *LOCAL_DIGITS)
     text = F.regexp_replace(text, DASHES, "-")
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t\f\x0b]+", " ")
     return F.regexp_replace(text, "\n +", "\n")
@@ -44,12 +76,18 @@ def normalise_text(text: Column) -> Column:
 
 def normalise_material(name: Column) -> Column:
     """Stable lookup key of a material name; null counts as empty."""
-    text = F.translate(F.lower(F.coalesce(name, F.lit(""))), "يك", "یک")
+    text = F.translate(casefolded(F.coalesce(name, F.lit(""))), "يك", "یک")
     text = F.regexp_replace(text, "&", " and ")
     text = F.regexp_replace(text, r"[_/\\|:;,+]+", " ")
     text = F.regexp_replace(text, "[-‐‑‒–—−]+", " ")
     text = F.regexp_replace(text, r"(?U)[^\w\s؀-ۿ]", " ")
-    return stripped(F.regexp_replace(text, r"\s+", " "))
+    return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def normalisation_metadata(name: Column) -> Column:
+    """struct(raw_name, normalized_name, category, normalization_version)."""
+    key = normalise_material(name)
+    return F.struct(F.coalesce(name, F.lit("")).alias("raw_name"), key.alias("normalized_name"), material_category(key).alias("category"), F.lit("1.0").alias("normalization_version"))
 
 
 def material_category(normalised: Column) -> Column:
@@ -149,3 +187,83 @@ def packed_blocks(blocks: Column, size: int) -> Column:
         return F.when(F.length(block) > size, large).when(F.length(proposed) <= size, fits).otherwise(starts)
 
     return F.aggregate(blocks, state, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+
+
+# Words that say nothing of what a question is about; what is put right in questions, in this order.
+STOP_TERMS = ("است", "هست", "برای", "مورد", "در", "از", "به", "را", "چه", "که", "این", "the", "is", "for", "of", "in", "what", "according", "to")
+QUERY_REPAIRS = (
+    ("بازرسی چشمی", "بازدید عینی"),
+    ("بازرسی ظاهری", "بازدید عینی"),
+    ("تاسیسات الکتریکی", "تاسیسات برقی"),
+    ("استاندراد", "استاندارد"),
+    ("استاندرادها", "استانداردها"),
+    ("فلنچ", "فلنج"),
+    ("تاسيسات", "تاسیسات"),
+    ("سيستم", "سیستم"),
+)
+
+
+def normalise_query(text: Column) -> Column:
+    """A question in one form: normalised, folded, known slips put right, single blanks."""
+    text = casefolded(normalise_text(F.coalesce(text, F.lit(""))))
+    for wrong, right in QUERY_REPAIRS:
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct Latin, Arabic-script or numeric terms of two characters or more, without stop terms, in order."""
+    found = F.regexp_extract_all(normalise_query(text), F.lit(r"[A-Za-z]+(?:[.-]?\d+)*|[\u0600-\u06ff]+|\d+(?:[.-]\d+)*"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(list(STOP_TERMS))))
+
+
+def heading_score(query: Column, heading_: Column) -> Column:
+    """Share of the heading's terms that the question has; 1 where it holds the whole heading."""
+    asked, own = terms_of(query), terms_of(heading_)
+    recall = F.size(F.array_intersect(asked, own)) / F.size(own)
+    whole = F.contains(normalise_query(query), normalise_query(heading_))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.greatest(recall, F.when(whole, 1.0).otherwise(0.0)))
+
+
+def document_score(query: Column, number: Column, source: Column) -> Column:
+    """1 where the question names the document's number; that may stand at the start of the source's name."""
+    asked = F.regexp_extract(normalise_query(query), r"(?i)(?:مبحث|mabhas)\s*(\d{1,2})", 1)
+    own = F.when(F.coalesce(number, F.lit("")) != "", number).otherwise(F.regexp_extract(F.coalesce(source, F.lit("")), r"^\s*(\d{1,2})(?:\D|$)", 1))
+    return F.when((asked != "") & (asked == own), 1.0).otherwise(0.0)
+
+
+def parent_by_drop(section: Column) -> Column:
+    """The section one level up, unconditionally: the last part is dropped; empty for a single part."""
+    parts = F.split(section, "-")
+    return F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "-")
+
+
+def stable_id(*parts: Column) -> Column:
+    """SHA-256 of the parts joined by bars; null counts as empty."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def valid_source(name: Column) -> Column:
+    return ~F.lower(stripped(F.coalesce(name, F.lit("")))).isin("", "unknown", "none", "null")
+
+
+def boolean_text(text: Column) -> Column:
+    return F.lower(stripped(F.coalesce(text, F.lit("")))).isin("1", "true", "yes", "enabled")
+
+
+def domain_of(domain: Column, known: tuple[str, ...] = ("regulation", "leed", "standard", "sustainability")) -> Column:
+    """A known domain, else the legacy default."""
+    low = F.lower(stripped(F.coalesce(domain, F.lit(""))))
+    return F.when(low.isin(list(known)), low).otherwise("regulation")
+
+
+def embedding_text(document: Column, section: Column, heading_: Column, text: Column) -> Column:
+    """What is embedded for a chunk: labels that exist, then the text."""
+    present = F.filter(F.array(document, section, heading_), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(F.size(present) > 0, F.concat(F.array_join(present, " | "), F.lit("\n"), text)).otherwise(text)
+
+
+def optional_filter(values: list[str] | None) -> list[str] | None:
+    """Trimmed, without blanks; None where nothing is left: an empty filter means all."""
+    kept = [v.strip() for v in values or [] if v and v.strip()]
+    return kept or None

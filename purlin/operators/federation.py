@@ -13,11 +13,12 @@ from typing import Any
 
 Matrix = list[list[float]]
 FRAME, PLACEMENT = 1e-6, 0.02  # metres
-NOT_IDENTIFYING = frozenset({"", "project", "building", "default", "undefined", "unnamed"})
+# Labels that identify nothing.
+NOT_IDENTIFYING = frozenset({"building", "default building", "default project", "project", "site", "unnamed"}) | {""}
 
 
 def label(text: Any) -> str:
-    return re.sub(r"[\W_]+", " ", str(text or "").casefold()).strip()
+    return re.sub(r"\W+", " ", str(text or "").casefold()).strip()
 
 
 def matrix(value: Any, scale: float) -> Matrix | None:

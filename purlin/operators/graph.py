@@ -18,16 +18,24 @@ def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, edges.source_id == ids.id, "left_semi").join(ids, F.col("target_id") == ids.id, "left_semi")
 
 
-def closure(edges: DataFrame, roots: DataFrame, deepest: int = 8) -> DataFrame:
-    """(root, id, depth) of all that directed edges lead to; the loop ends with the first empty level."""
-    level = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0))
-    out = level
-    for depth in range(1, deepest + 1):
-        level = level.join(edges, level.id == edges.source_id).select("root", F.col("target_id").alias("id"), F.lit(depth).alias("depth")).distinct()
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth) of all that directed edges lead to, at the least depth; of any depth, and cycles end.
+
+    A level holds only what no earlier one did; the pairs found so far are cut off from their history by a checkpoint every
+    few levels (where ``spark.checkpoint.dir`` names a shared folder).
+    """
+    links = edges.select("source_id", F.col("target_id").alias("next_id")).distinct()
+    level = roots.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
+    found, depth = level, 0
+    reliable = roots.sparkSession.conf.get("spark.checkpoint.dir", None)
+    while True:
+        depth += 1
+        ahead = level.join(links, level.id == links.source_id).select("root", F.col("next_id").alias("id")).distinct()
+        level = ahead.join(found.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        level = level.checkpoint() if reliable else level.persist()
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return found
+        found = found.unionByName(level)
 
 
 def degree_features(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:

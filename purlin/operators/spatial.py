@@ -79,12 +79,21 @@ def _cells(boxes: DataFrame, margin: float, role: str) -> DataFrame:
     return out
 
 
-def clash_pairs(elements: DataFrame, clearance: float = CLEARANCE) -> DataFrame:
+def in_scope(elements: DataFrame, project: str | None = None, files: list[str] | None = None) -> DataFrame:
+    """Elements with a box, of a project and of files; None or an empty list means all."""
+    rows = elements.where(F.col("min_x").isNotNull())
+    rows = rows if project is None else rows.where(F.col("project_id") == project)
+    return rows.where(F.col("source_file_id").isin(list(files))) if files else rows
+
+
+def clash_pairs(elements: DataFrame, clearance: float = CLEARANCE, carry: list[str] | None = None) -> DataFrame:
     """(a_id, b_id, cross_file, issue, metric) of all issues; a is the box that begins first on x, then by id.
 
-    Boxes without coordinates, equal guids of different files, and ignored type pairs give no issue.
+    Boxes without coordinates, equal guids (unless empty) of different files, and ignored type pairs give no issue.
+    Columns ``carry`` of both elements come with an issue as a_... and b_..., so it needs no join with its elements.
     """
-    columns = ["id", "ifc_guid", "ifc_type", "source_file_id", *[f"{m}_{a}" for a in AXES for m in ("min", "max")]]
+    carry = list(carry or [])
+    columns = list(dict.fromkeys(["id", "ifc_guid", "ifc_type", "source_file_id", *[f"{m}_{a}" for a in AXES for m in ("min", "max")], *carry]))
     boxes = elements.where(F.col("min_x").isNotNull()).select(*columns).withColumn("level", _level(clearance))
     levels = sorted(r[0] for r in boxes.select("level").distinct().collect())  # at most 35 numbers
     if not levels:
@@ -99,18 +108,21 @@ def clash_pairs(elements: DataFrame, clearance: float = CLEARANCE) -> DataFrame:
         owner = owner & (F.col(f"a.cell_{x}") == F.greatest(F.col(f"a.s_{x}"), F.col(f"b.l_{x}")))
         near = near & (gap(x) < clearance)
     once = (F.col("a.level") < F.col("b.level")) | (F.col("a.id") < F.col("b.id"))
-    copies = F.coalesce((F.col("a.ifc_guid") == F.col("b.ifc_guid")) & (F.col("a.source_file_id") != F.col("b.source_file_id")), F.lit(False))
+    copies = F.coalesce((F.col("a.ifc_guid") != "") & (F.col("a.ifc_guid") == F.col("b.ifc_guid")), F.lit(False)) & ~F.col("a.source_file_id").eqNullSafe(F.col("b.source_file_id"))
     wanted = owner & near & once & ~copies & ~ignored(F.col("a.ifc_type"), F.col("b.ifc_type"))
     issue, metric = classify([gap(x) for x in AXES], clearance)
+    named = lambda x: F.coalesce(F.col(f"{x}.source_file_id"), F.lit("")) != ""
+    crossing = F.coalesce(named("a") & named("b") & (F.col("a.source_file_id") != F.col("b.source_file_id")), F.lit(False))
     first = (F.col("a.min_x") < F.col("b.min_x")) | ((F.col("a.min_x") == F.col("b.min_x")) & (F.col("a.id") < F.col("b.id")))
     return (
         small.join(large, keys & wanted)
         .select(
             F.when(first, F.col("a.id")).otherwise(F.col("b.id")).alias("a_id"),
             F.when(first, F.col("b.id")).otherwise(F.col("a.id")).alias("b_id"),
-            (F.col("a.source_file_id") != F.col("b.source_file_id")).alias("cross_file"),
+            crossing.alias("cross_file"),
             issue.alias("issue"),
             metric.alias("metric"),
+            *[F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{end}_{c}") for c in carry for end, x, y in (("a", "a", "b"), ("b", "b", "a"))],
         )
         .where(F.col("issue").isNotNull())
     )
@@ -121,7 +133,7 @@ ISSUES_SQL = """
     select a_id, b_id, cross_file, case when g1 < 0 and g2 < 0 and g3 < 0 then 'CLASH' else 'CLEARANCE_VIOLATION' end as issue,
       floor(case when g1 < 0 and g2 < 0 and g3 < 0 then -g1 * g2 * g3 else d end * 10000.0 + 0.5) / 10000.0 as metric
     from (select *, sqrt(greatest(g1, 0.0) * greatest(g1, 0.0) + greatest(g2, 0.0) * greatest(g2, 0.0) + greatest(g3, 0.0) * greatest(g3, 0.0)) as d
-      from (select a.id as a_id, b.id as b_id, a.source_file_id <> b.source_file_id as cross_file,
+      from (select a.id as a_id, b.id as b_id, coalesce(a.source_file_id <> '' and b.source_file_id <> '' and a.source_file_id <> b.source_file_id, false) as cross_file,
           greatest(a.min_x, b.min_x) - least(a.max_x, b.max_x) as g1,
           greatest(a.min_y, b.min_y) - least(a.max_y, b.max_y) as g2,
           greatest(a.min_z, b.min_z) - least(a.max_z, b.max_z) as g3
@@ -129,6 +141,6 @@ ISSUES_SQL = """
           on a.min_z <= b.max_z + 0.25 and b.min_z <= a.max_z + 0.25 and b.min_x < a.max_x + 0.25
           and (a.min_x < b.min_x or (a.min_x = b.min_x and a.id < b.id))
           and a.min_y < b.max_y + 0.25 and b.min_y < a.max_y + 0.25
-        where not (a.ifc_guid = b.ifc_guid and a.source_file_id <> b.source_file_id)
+        where not (coalesce(a.ifc_guid <> '' and a.ifc_guid = b.ifc_guid, false) and a.source_file_id is distinct from b.source_file_id)
           and concat(least(a.ifc_type, b.ifc_type), '|', greatest(a.ifc_type, b.ifc_type)) not in (""" + ", ".join("'" + "|".join(sorted(p)) + "'" for p in IGNORED_TYPE_PAIRS) + """)) g) h
     where (g1 < 0 and g2 < 0 and g3 < 0) or d < 0.25"""
