@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from purlin.llm.common import quoted
@@ -37,8 +37,9 @@ def labelled_sample(
     ids = chosen[0].union(chosen[1])  # 2 * per_class rows at most
     texts = docs.select(quoted(id_col).alias("__id"), F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
     rows = texts.where(F.length("__text") <= longest).join(F.broadcast(ids), "__id").select("__id", "__text", "__y")
-    # ids may be repeated: the first rows by a total order, so that the sample is always the same
-    rows = rows.orderBy(*order, F.xxhash64("__text"), "__y").limit(4 * per_class).collect()
+    # ids may be repeated: the first two rows of each by a total order, so that the sample is always the same
+    turn = F.row_number().over(Window.partitionBy("__id", "__y").orderBy(F.xxhash64("__text"), F.length("__text")))
+    rows = rows.withColumn("__turn", turn).where("__turn <= 2").select("__id", "__text", "__y").collect()
     rows.sort(key=lambda r: (r["__id"], r["__text"], r["__y"]))
     prior = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
     return [r["__text"] for r in rows], [r["__y"] for r in rows], math.log(prior)
