@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from purlin.operators.spatial import clash_pairs, in_scope
+
 
 def both_directions(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Every edge from either end: (here, there, ...); a loop appears once."""
@@ -39,8 +41,11 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def degree_features(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
-    """In- and out-degree, per type too, distinct neighbours, and the neighbours' mean of those."""
-    ends = attached(edges, nodes)
+    """In- and out-degree, per type too, distinct neighbours, and the neighbours' mean of those.
+
+    Edges are brought to their existing ends once; degrees and neighbours both read that.
+    """
+    ends = attached(edges, nodes).persist()
     ends = ends.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "rel_type", F.lit(1).alias("out")).unionByName(
         ends.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "rel_type", F.lit(0).alias("out"))
     )
@@ -54,3 +59,121 @@ def degree_features(nodes: DataFrame, edges: DataFrame, types: list[str]) -> Dat
     filled = joined.select("id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], "__s")
     mean = F.when(F.col("neighbours") > 0, F.col("__s") / F.col("neighbours")).otherwise(0.0)
     return filled.withColumn("neighbour_mean_degree", F.floor(mean * 10000.0 + 0.5) / F.lit(10000.0)).drop("__s")
+
+
+def issue_listing(
+    elements: DataFrame,
+    issue: str | None = None,
+    storeys: list[str] | None = None,
+    types: list[str] | None = None,
+    project: str | None = None,
+    files: list[str] | None = None,
+    limit: int = 1000,
+) -> DataFrame:
+    """The worst issues with both ends' identity. Project and files hold for both ends, so they are applied before the
+    join; storeys and types for either end. An empty filter means all."""
+    ends = clash_pairs(in_scope(elements, project, files), carry=["ifc_guid", "ifc_type", "storey_name", "source_file_id"])
+    either = lambda c, values: F.coalesce(F.col(f"a_{c}").isin(values), F.lit(False)) | F.coalesce(F.col(f"b_{c}").isin(values), F.lit(False))
+    if issue:
+        ends = ends.where(F.col("issue") == issue)
+    if storeys:
+        ends = ends.where(either("storey_name", storeys))
+    if types:
+        ends = ends.where(either("ifc_type", types))
+    worst = ends.orderBy(F.col("metric").desc_nulls_first(), "a_id", "b_id").limit(limit)
+    crossing = F.coalesce("cross_file", F.col("a_source_file_id") != F.col("b_source_file_id"), F.lit(False))
+    of = lambda x: [F.col(f"{x}_id").alias(f"element_{x}_id"), F.coalesce(f"{x}_ifc_guid", f"{x}_id").alias(f"element_{x}_guid"), F.col(f"{x}_ifc_type").alias(f"element_{x}_type"), F.col(f"{x}_storey_name").alias(f"element_{x}_storey")]
+    return worst.select(F.col("issue").alias("issue_type"), "metric", *of("a"), *of("b"), crossing.alias("is_cross_file"), F.when(crossing, "CROSS-FILE").otherwise("INTRA-FILE").alias("relation_scope"))
+
+
+def load_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, raw edges, edges that load (both ends exist, each once) and edges that don't."""
+    loaded = attached(edges, nodes).select("source_id", "target_id", "rel_type").dropDuplicates()
+    count = lambda frame, name: frame.agg(F.count(F.lit(1)).alias(name))
+    rows = count(nodes, "nodes").crossJoin(count(edges, "edges_raw")).crossJoin(count(loaded, "edges_loaded"))  # single rows
+    return rows.withColumn("edges_skipped", F.col("edges_raw") - F.col("edges_loaded"))
+
+
+def box_features(elements: DataFrame) -> DataFrame:
+    """Center and extent on each axis, log1p of the volume, and whether there is a box; zeros where there is none."""
+    have = F.lit(True)
+    for a in "xyz":
+        have = have & F.col(f"min_{a}").isNotNull() & F.col(f"max_{a}").isNotNull()
+    or_zero = lambda c: F.when(have, c).otherwise(0.0)
+    extent = {a: F.greatest(F.col(f"max_{a}") - F.col(f"min_{a}"), F.lit(0.0)) for a in "xyz"}
+    return elements.select(
+        "id",
+        *[or_zero((F.col(f"min_{a}") + F.col(f"max_{a}")) / 2).alias(f"center_{a}") for a in "xyz"],
+        *[or_zero(extent[a]).alias(f"extent_{a}") for a in "xyz"],
+        or_zero(F.log1p(extent["x"] * extent["y"] * extent["z"])).alias("log_volume"),
+        have.cast("double").alias("has_bbox"),
+    )
+
+
+def vocabulary(frame: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """The distinct values of a categorical column, sorted: types or storeys, of which there are few."""
+    found = [r[0] for r in frame.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: no vocabulary")
+    return sorted(found)
+
+
+def one_hot(frame: DataFrame, column: str, prefix: str, values: list[str]) -> DataFrame:
+    """A column a value, and one for what the vocabulary doesn't hold (null too)."""
+    known = F.coalesce(F.col(column).isin(values), F.lit(False))
+    flags = {f"{prefix}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("double") for v in values}
+    return frame.withColumns(flags | {f"{prefix}_UNKNOWN": (~known).cast("double")})
+
+
+def feature_matrix(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+    """Degree and box features of every node in a fixed order of columns. ``nodes`` with the box's six columns."""
+    degrees = degree_features(nodes, edges, types)
+    return degrees.join(box_features(nodes), "id")
+
+
+def ranked_scores(scores: DataFrame, threshold: float, blocks: int = 64) -> DataFrame:
+    """``scores`` with a rank (largest first, ties by id) and whether they reach the threshold.
+
+    Ranks come from sorted ranges: each range is counted, then numbered from where the ones before it end, so no task sees
+    all rows. An empty table keeps its columns.
+    """
+    parts = scores.repartitionByRange(blocks, F.col("score").desc(), F.col("id")).withColumn("__part", F.spark_partition_id())
+    numbered = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(F.col("score").desc(), F.col("id"))))
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # ``blocks`` rows
+    out = numbered.join(F.broadcast(before), "__part")
+    return out.withColumn("rank", F.col("__n") + F.col("__before")).withColumn("is_anomaly", F.col("score") >= threshold).drop("__part", "__n", "__size", "__before")
+
+
+def combined(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Several graphs as one: ids are set apart by the graph's name. At least one graph."""
+    apart = lambda c, g: F.concat(F.lit(f"{g}::"), F.col(c)).alias(c)
+    nodes = [n.withColumn("id", apart("id", g)).withColumn("graph_id", F.lit(g)) for g, n, _ in graphs]
+    edges = [e.withColumn("source_id", apart("source_id", g)).withColumn("target_id", apart("target_id", g)).withColumn("graph_id", F.lit(g)) for g, _, e in graphs]
+    one = lambda frames: frames[0] if len(frames) == 1 else one(frames[:-2] + [frames[-2].unionByName(frames[-1], allowMissingColumns=True)])
+    return one(nodes), one(edges)
+
+
+def quantile(values: DataFrame, column: str, q: float, blocks: int = 256) -> float | None:
+    """The exact, interpolated quantile: values are cut into ranges by an approximate sketch, counted, and only the range
+    that holds the wanted places is sorted. None without values."""
+    known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    total = known.count()
+    if not total:
+        return None
+    place = q * (total - 1)
+    low, high = int(place), min(int(place) + 1, total - 1)
+    cuts = sorted(set(known.approxQuantile("v", [max(0.0, q - 2 / blocks), min(1.0, q + 2 / blocks)], 0.5 / blocks)))
+    under = known.where(F.col("v") < cuts[0]).count()
+    runs = known.where((F.col("v") >= cuts[0]) & (F.col("v") <= cuts[-1])).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    at, out = under, {}
+    for v, c in runs.orderBy("v").toLocalIterator():
+        for k in (low, high):
+            if at <= k < at + c:
+                out[k] = v
+        at += c
+        if high in out:
+            break
+    if low not in out or high not in out:  # beyond the sketch's error: sort all
+        return known.agg(F.percentile("v", q)).first()[0]
+    return out[low] + (out[high] - out[low]) * (place - low)
