@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from purlin.functions.text import document_score, heading_score, normalise_query, normalise_text
 from purlin.operators.spatial import rounded
 
-RRF_CONSTANT = 60
+RRF_CONSTANT, WEAK = 60, 0.18
 NGRAMS = (3, 4, 5)
 # Weights of the rerank score.
 WEIGHTS = {"dense": 0.45, "lexical": 0.25, "heading": 0.20, "document": 0.05, "agreement": 0.05}
@@ -22,20 +23,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, exactly.
+BLOCK = 2_000  # queries sent to every task at a time
 
-    ``queries`` is a stated set (checked to hold at most 10,000 rows), sent to every task as one array; each task
-    keeps its own k best a query before the shuffle, so k rows a query and task travel.
-    """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries: run them in blocks")
-    packed = queries.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).alias("qs"))
+
+def _topk_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    packed = queries.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).alias("qs"))  # at most BLOCK rows
     scored = vectors.join(F.broadcast(packed)).select("vec_id", "embedding", F.explode("qs").alias("q"))
     scored = scored.select("q.query_id", "vec_id", F.greatest(F.lit(0.0), cosine(F.col("q.q"), F.col("embedding"))).alias("score"))
-    order = [F.col("score").desc(), F.col("vec_id")]
     # a window with a rank filter is cut to k rows per task and query before the shuffle
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))).where(F.col("rank") <= k)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, exactly.
+
+    ``queries`` is a stated set, searched in blocks of about BLOCK; each task keeps its own k best a query before the shuffle,
+    so k rows a query and task travel.
+    """
+    count = queries.count()
+    parts = -(-count // BLOCK)
+    if parts <= 1:
+        return _topk_block(queries, vectors, k)
+    block = lambda i: queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i)
+    out = _topk_block(block(0), vectors, k)
+    for i in range(1, parts):
+        out = out.unionByName(_topk_block(block(i), vectors, k))
+    return out
 
 
 def fuse(ranked: DataFrame) -> DataFrame:
@@ -59,24 +72,37 @@ def grams(text: Column) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
-def tfidf_scores(query: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(id, score): cosine of n-gram TF-IDF vectors between one query text and a pool of candidate texts.
+def _counted(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    return texts.select(key, F.explode(grams(text)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, id, score): cosine of n-gram TF-IDF vectors of each query (query_id, text) and each candidate (id, text)
+    that shares a gram with it; others score 0.
 
-    Fitted on the query and the pool: idf = ln((1 + N) / (1 + df)) + 1, raw counts, unit length. The norm of each
-    candidate needs all of its grams, so grams are counted once and joined with their idf.
+    For each query the vectors are fitted on it and all candidates: idf = ln((1 + N) / (1 + df)) + 1, raw counts, unit length. A
+    query changes the idf of its own grams alone, so a candidate's norm is computed once and put right by the grams they share.
     """
-    pool = candidates.select("id", "text").unionByName(query.select(F.lit(None).cast("bigint").alias("id"), "text"))
-    tf = pool.select(F.coalesce("id", F.lit(-1)).alias("id"), F.explode(grams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    total = pool.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))  # one row
-    idf = df.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    asked = weighted.where("id = -1").select("gram", F.col("w").alias("qw"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.where("id <> -1").join(asked, "gram").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    query_norm = norms.where("id = -1").select(F.col("norm").alias("qn"))
-    joined = candidates.select("id").join(dots, "id", "left").join(norms, "id", "left").join(F.broadcast(query_norm))  # one row
-    return joined.select("id", F.coalesce(F.col("dot") / (F.col("norm") * F.col("qn")), F.lit(0.0)).alias("score"))
+    tf, asked = _counted(candidates, "id", normalise_text(F.col("text"))), _counted(queries, "query_id", normalise_query(F.col("text")))
+    total = candidates.agg((F.count(F.lit(1)) + 1).alias("n"))
+    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    idf = lambda d: F.log((1 + F.col("n")) / (1 + d)) + 1
+    weighed = tf.join(df, "gram").join(F.broadcast(total))  # one row
+    norms = weighed.groupBy("id").agg(F.sum(F.pow(F.col("tf") * idf(F.col("df")), 2)).alias("base"))
+    known = asked.join(df, "gram", "left").join(F.broadcast(total)).withColumn("df", F.coalesce("df", F.lit(0)))  # one row
+    known = known.select("query_id", "gram", F.col("tf").alias("qtf"), idf(F.col("df") + 1).alias("qidf"), idf(F.col("df")).alias("idf"))
+    lengths = known.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("qidf"), 2))).alias("length"))
+    met = tf.join(known, "gram").groupBy("query_id", "id").agg(
+        F.sum(F.col("tf") * F.col("qtf") * F.col("qidf") * F.col("qidf")).alias("dot"), F.sum(F.col("tf") * F.col("tf") * (F.col("qidf") * F.col("qidf") - F.col("idf") * F.col("idf"))).alias("more")
+    )
+    joined = met.join(norms, "id").join(lengths, "query_id")
+    return joined.select("query_id", "id", rounded(F.col("dot") / (F.sqrt(F.col("base") + F.col("more")) * F.col("length")), 9).alias("score"))
+
+
+def best(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+    """The k best of each query, ties by id."""
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("id"))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def scaled(c: str, by: str) -> Column:
@@ -87,16 +113,166 @@ def scaled(c: str, by: str) -> Column:
 
 
 def hybrid_score(by: str) -> Column:
-    """Weighted sum over columns dense, lexical (both scaled), heading, document, agreement."""
+    """Weighted sum over columns dense, lexical, agreement (all scaled), heading, document."""
     return (
         WEIGHTS["dense"] * scaled("dense", by)
         + WEIGHTS["lexical"] * scaled("lexical", by)
         + WEIGHTS["heading"] * F.col("heading")
         + WEIGHTS["document"] * F.col("document")
-        + WEIGHTS["agreement"] * F.col("agreement")
+        + WEIGHTS["agreement"] * scaled("agreement", by)
     )
 
 
+def merged(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Candidates of either kind (query_id, id): dense with hits and reciprocal ranks, lexical with its score; the best of both."""
+    d = dense.groupBy("query_id", "id").agg(F.max("score").alias("dense"), F.count(F.lit(1)).alias("hits"), F.sum((1.0 / (RRF_CONSTANT + F.col("rank"))).cast("decimal(18,12)")).cast("double").alias("reciprocal"))
+    x = lexical.groupBy("query_id", "id").agg(F.max("score").alias("lexical_first"))
+    zero = {"dense": 0.0, "hits": 0, "reciprocal": 0.0, "lexical_first": 0.0}
+    return d.join(x, ["query_id", "id"], "full").fillna(zero)
+
+
+def rerank(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, scores: DataFrame, k: int = 10, scorer: Column | None = None) -> DataFrame:
+    """The k best candidates of each question by the weighted sum; ``scorer``, a score of question and text, takes its place.
+
+    ``candidates``: query_id, id, dense, hits, reciprocal; ``scores``: lexical ones of question and chunk.
+    """
+    rows = candidates.join(chunks, "id").join(questions, "query_id").join(scores.withColumnRenamed("score", "lexical"), ["query_id", "id"], "left").fillna({"lexical": 0.0})
+    rows = rows.withColumns(
+        {
+            "heading": heading_score(F.col("question"), F.col("title")),
+            "document": document_score(F.col("question"), F.col("document_number"), F.col("document_id")),
+            "agreement": F.col("hits") + F.least("reciprocal", F.lit(1.0)),
+        }
+    )
+    rows = rows.withColumn("score", rounded(hybrid_score("query_id") if scorer is None else scorer, 9))
+    return best(rows, k)
+
+
+def wanted_sections(ranked: DataFrame, most: int = 3, least_heading: float = 0.65) -> DataFrame:
+    """(query_id, document_id, section_id, score, tree): the first ``most`` sections of each question's ranking, and whether
+    all below them is wanted too: for a table, or a heading that fits and has no ranked section below it."""
+    rows = ranked.where((F.coalesce("document_id", F.lit("")) != "") & ~F.coalesce("section_id", F.lit("")).isin("", "unknown"))
+    table = F.coalesce(F.max((F.col("chunk_kind") == "table").cast("int")), F.lit(0)) == 1
+    sections = rows.groupBy("query_id", "document_id", "section_id").agg(F.min(F.struct("rank", "score", "heading")).alias("seed"), table.alias("has_table"))
+    first = sections.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("seed.rank"))).where(F.col("place") <= most)
+    above = rows.select("query_id", "document_id", F.explode(prefixes(F.col("section_id"))).alias("section_id"), F.col("section_id").alias("own")).where("section_id != own")
+    below = above.select("query_id", "document_id", "section_id", F.lit(True).alias("deeper")).distinct()
+    joined = first.join(below, ["query_id", "document_id", "section_id"], "left")
+    tree = F.col("has_table") | ((F.col("seed.heading") >= least_heading) & F.col("deeper").isNull())
+    return joined.select("query_id", "document_id", "section_id", F.col("seed.score").alias("score"), tree.alias("tree"))
+
+
+def inferred_parents(ranked: DataFrame) -> DataFrame:
+    """(query_id, document_id, section_id, score): the best parent of two or more ranked sections that isn't ranked itself."""
+    rows = ranked.where((F.coalesce("document_id", F.lit("")) != "") & ~F.coalesce("section_id", F.lit("")).isin("", "unknown"))
+    parent = F.when(F.coalesce("parent_section_id", F.lit("")) != "", F.col("parent_section_id")).when(F.contains("section_id", F.lit("-")), F.regexp_replace("section_id", r"-[^-]*$", "")).otherwise("")
+    grouped = rows.withColumn("parent", parent).where("parent != ''").groupBy("query_id", "document_id", "parent").agg(F.count_distinct("section_id").alias("children"), F.max("score").alias("score"))
+    own = rows.select("query_id", "document_id", F.col("section_id").alias("parent")).distinct()
+    left = grouped.where("children >= 2").join(own, ["query_id", "document_id", "parent"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id", "parent"))
+    return left.withColumn("place", place).where("place = 1").select("query_id", "document_id", F.col("parent").alias("section_id"), "score")
+
+
+def _of_sections(wanted: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` chunks, by document order, of wanted sections (query_id, document_id, section_id, score, tree)."""
+    named = chunks.where("not is_toc").select("document_id", "id", "chunk_index", F.col("section_id").alias("own"), F.explode(prefixes(F.col("section_id"))).alias("section_id"))
+    met = named.join(wanted, ["document_id", "section_id"]).where("tree or own = section_id")
+    order = Window.partitionBy("query_id", "document_id", "section_id").orderBy("chunk_index")
+    return met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+
+
+def expanded(ranked: DataFrame, chunks: DataFrame, complete: DataFrame, most: int = 24, hops: int = 2) -> DataFrame:
+    """(query_id, id, score, reason): the ranking and what belongs to it.
+
+    Questions of ``complete`` (query_id) get whole sections (0.92 of their score) or, if no tree was wanted, the parent that
+    ranked sections share (0.94). Others get the chunks before and after the first three in their sections, 0.88 a hop.
+    """
+    base = ranked.select("query_id", "id", "score", F.lit("retrieved").alias("reason"), F.lit(0).alias("way"))
+    asked = ranked.join(complete, "query_id", "left_semi")
+    sections = wanted_sections(asked)
+    whole = _of_sections(sections, chunks, most)
+    tree = F.when(F.col("tree"), "complete_section_tree").otherwise("complete_section")
+    out = base.unionByName(whole.select("query_id", "id", (F.col("score") * 0.92).alias("score"), tree.alias("reason"), F.lit(1).alias("way")))
+    tables = whole.join(chunks.where("chunk_kind = 'table'").select("id"), "id", "left_semi").select("query_id")
+    grown = sections.where("tree").select("query_id").unionByName(tables).distinct()
+    parents = inferred_parents(asked).join(grown, "query_id", "left_anti").withColumn("tree", F.lit(True))
+    out = out.unionByName(_of_sections(parents, chunks, most).select("query_id", "id", (F.col("score") * 0.94).alias("score"), F.lit("inferred_complete_parent").alias("reason"), F.lit(2).alias("way")))
+    others = ranked.join(complete, "query_id", "left_anti")
+    by_section = others.groupBy("query_id", "section_id").agg(F.max("score").alias("seed"))
+    level = others.where("rank <= 3").select("query_id", "id")
+    links = chunks.select("id", "section_id", "is_toc", "previous_section_chunk_id", "next_section_chunk_id")
+    seen = others.select("query_id", "id")
+    for depth in range(1, hops + 1):
+        near = level.join(links, "id").select("query_id", F.explode(F.array("previous_section_chunk_id", "next_section_chunk_id")).alias("id")).where("id is not null and id != ''").distinct()
+        near = near.join(seen, ["query_id", "id"], "left_anti").join(links.where("not is_toc").select("id", "section_id"), "id").join(by_section, ["query_id", "section_id"], "left")
+        step = near.select("query_id", "id", (F.coalesce("seed", F.lit(0.0)) * 0.88**depth).alias("score"), F.lit("section_neighbor").alias("reason"), F.lit(2 + depth).alias("way"))
+        out, level = out.unionByName(step), step.select("query_id", "id")
+        seen = seen.unionByName(level)
+    first = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("way", F.col("score").desc()))
+    return out.withColumn("n", first).where("n = 1").drop("n", "way")
+
+
+def assembled(items: DataFrame, chunks: DataFrame, budget: int = 28_000, overhead: int = 120) -> DataFrame:
+    """(query_id, position, id, used): whole sections by their best score, in document order, while they fit the budget; the
+    first always does, a later one that doesn't is passed over. Of equal texts the first is taken.
+
+    A question has some dozens of items, which one fold goes over.
+    """
+    rows = items.join(chunks.select("id", "document_id", "section_id", "page_number", "chunk_index", "content_hash", F.length("text").alias("size")), "id")
+    section = F.struct(F.coalesce("document_id", F.lit("unknown")).alias("d"), F.coalesce("section_id", "id").alias("s"))
+    order = F.struct("document_id", "page_number", "chunk_index", "id", F.coalesce("content_hash", F.lit("")).alias("hash"), (F.col("size") + overhead).alias("cost"))
+    sections = rows.groupBy("query_id", section.alias("section")).agg(F.max("score").alias("score"), F.sort_array(F.collect_list(order)).alias("members"))
+    by_score = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("k"), "section", "members")))
+    listed = sections.groupBy("query_id").agg(by_score.alias("sections"))
+    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("hashes"), F.array().cast("array<struct<id:string,used:bigint>>").alias("taken"), F.lit(False).alias("full"))
+
+    def take(acc: Column, x: Column) -> Column:
+        again = (x["hash"] != "") & F.array_contains(acc["hashes"], x["hash"])
+        used = (acc["used"] + x["cost"]).cast("bigint")
+        more = F.struct(used.alias("used"), F.concat(acc["hashes"], F.array(x["hash"])).alias("hashes"), F.concat(acc["taken"], F.array(F.struct(x["id"].cast("string").alias("id"), used.alias("used")))).alias("taken"), acc["full"].alias("full"))
+        return F.when(again, acc).otherwise(more)
+
+    def step(acc: Column, x: Column) -> Column:
+        cost = F.aggregate(x["members"], F.lit(0).cast("bigint"), lambda a, m: a + m["cost"].cast("bigint"))
+        fits = ~acc["full"] & ((F.size(acc["taken"]) == 0) | (acc["used"] + cost <= budget))
+        after = F.aggregate(x["members"], acc, take)
+        closed = F.struct(after["used"].alias("used"), after["hashes"].alias("hashes"), after["taken"].alias("taken"), (after["used"] >= budget).alias("full"))
+        return F.when(fits, closed).otherwise(acc)
+
+    packed = listed.select("query_id", F.posexplode(F.aggregate("sections", empty, step, lambda a: a["taken"])).alias("position", "t"))
+    return packed.select("query_id", (F.col("position") + 1).alias("position"), F.col("t.id").alias("id"), F.col("t.used").alias("used"))
+
+
+def retrieve(
+    questions: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    complete: DataFrame,
+    candidates: int = 32,
+    k: int = 10,
+    budget: int = 28_000,
+    domains: list[str] | None = None,
+    scorer: Column | None = None,
+) -> DataFrame:
+    """(query_id, position, id, used, strongest_dense, weak): the context of each question.
+
+    ``questions``: query_id, question; ``vectors`` of their variants: query_id, variant, embedding; ``chunks``: id, document_id,
+    document_number, domain, section_id, parent_section_id, title, text, chunk_kind, is_toc, page_number, chunk_index, content_hash,
+    links and embedding. Tables of contents and other domains are left out before anything is ranked.
+    """
+    pool = chunks.where("not is_toc")
+    pool = pool.where(F.col("domain").isin(domains)) if domains else pool
+    asked = vectors.select(F.struct("query_id", "variant").alias("vec_id"), "embedding")
+    near = dense_topk(asked, pool.select(F.col("id").alias("vec_id"), "embedding"), candidates)
+    near = near.select("query_id.query_id", F.col("vec_id").alias("id"), "score", "rank")
+    lexical = tfidf_scores(questions.select("query_id", F.col("question").alias("text")), pool.select("id", "text")).persist()
+    found = merged(near, best(lexical, candidates)).persist()
+    ranked = rerank(questions, found, pool, lexical, k, scorer).persist()
+    context = assembled(expanded(ranked, chunks, complete), chunks, budget)
+    strongest = found.groupBy("query_id").agg(F.max("dense").alias("strongest_dense"))
+    return context.join(strongest, "query_id").withColumn("weak", F.col("strongest_dense") < WEAK)
+
+
 def prefixes(section: Column) -> Column:
     """A section id and all its ancestors: 9-1-2 gives 9, 9-1 and 9-1-2."""
     parts = F.split(section, "-")
