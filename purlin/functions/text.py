@@ -65,9 +65,12 @@ def casefolded(text: Column) -> Column:
     return F.when(other, _folded(F.when(other, text))).otherwise(F.lower(text))
 
 
-def normalise_text(text: Column) -> Column:
-    """One form of Arabic and Persian letters, digits, dashes and marks, and of blanks within lines."""
-    text = F.translate(nfkc(text), ARABIC_LETTERS[0] + AS_BLANKS + DROPPED, ARABIC_LETTERS[1] + " " * len(AS_BLANKS))
+def normalise_text(text: Column, compose: bool = True) -> Column:
+    """One form of Arabic and Persian letters, digits, dashes and marks, and of blanks within lines.
+
+    Within a lambda, where Python can't be called, ``compose`` must be off and the text in NFKC form already.
+    """
+    text = F.translate(nfkc(text) if compose else text, ARABIC_LETTERS[0] + AS_BLANKS + DROPPED, ARABIC_LETTERS[1] + " " * len(AS_BLANKS))
     text = F.translate(text, *LOCAL_DIGITS)
     text = F.regexp_replace(text, DASHES, "-")
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t\f\x0b]+", " ")
@@ -149,7 +152,7 @@ def clean_scalar(text: Column) -> Column:
 def heading(text: Column) -> Column:
     """First line with text, without a leading clause number, at most 200 characters."""
     lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
-    return F.substring(F.regexp_replace(F.get(lines, F.lit(0)), r"^\d+(?:-\d+)+\s*", ""), 1, 200)
+    return stripped(F.substring(F.regexp_replace(F.get(lines, F.lit(0)), r"^\d+(?:\s*[-.]\s*\d+)+\s*[-.]?\s*", ""), 1, 200))
 
 
 def numbers_in(text: Column) -> Column:
@@ -203,9 +206,10 @@ QUERY_REPAIRS = (
 )
 
 
-def normalise_query(text: Column) -> Column:
-    """A question in one form: normalised, folded, known slips put right, single blanks."""
-    text = casefolded(normalise_text(F.coalesce(text, F.lit(""))))
+def normalise_query(text: Column, compose: bool = True) -> Column:
+    """A question in one form: normalised, folded, known slips put right, single blanks. ``compose``: see normalise_text."""
+    text = normalise_text(F.coalesce(text, F.lit("")), compose)
+    text = casefolded(text) if compose else F.lower(text)
     for wrong, right in QUERY_REPAIRS:
         text = F.replace(text, F.lit(wrong), F.lit(right))
     return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
