@@ -244,8 +244,8 @@ def fact_form(text: Column, compose: bool = True) -> Column:
 
 def fact_covered(text: Column, alternatives: Column) -> Column:
     """Whether the text has all terms of any alternative (array of arrays of terms in NFKC form)."""
-    plain = fact_form(text)
-    return F.exists(alternatives, lambda terms: F.forall(terms, lambda t: F.contains(plain, fact_form(t, False))))
+    found = lambda plain: F.exists(alternatives, lambda terms: F.forall(terms, lambda t: F.contains(plain, fact_form(t, False))))
+    return F.get(F.transform(F.array(fact_form(text)), lambda plain: found(plain)), F.lit(0))
 
 
 def sections_meet(a: Column, b: Column) -> Column:

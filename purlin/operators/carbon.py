@@ -73,7 +73,7 @@ def checked_factors(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         lacking = lacking | (F.col(c) == "")
     fault = F.when((F.col("factor_id") == "") | (F.col("line") != F.col("__first")), "missing or duplicate factor_id").when(numbers, "invalid value, unit or year").when(lacking, "missing provenance")
     rows = rows.withColumns({"fault": fault, "value": value, "quantity_type": kind})
-    aliases = F.filter(F.transform(F.split("aliases", r"\|"), F.trim), lambda a: a != "")
+    aliases = F.filter(F.transform(F.split("aliases", r"\|"), lambda a: F.trim(a)), lambda a: a != "")
     fine = rows.where("fault is null").select(
         "factor_id", "material_id", "material_name", aliases.alias("aliases"), "category", F.col("value").alias("factor_value"), "factor_unit", "quantity_type", "region", "source", "source_version",
         F.expr("try_cast(nullif(year, '') as int)").alias("year"), "dataset_version", "notes", F.lower("enabled").isin("1", "true", "yes", "enabled").alias("enabled"),

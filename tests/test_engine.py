@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from purlin.functions import text as fn
 from purlin.operators import carbon, retrieval
 from purlin.operators.spatial import IGNORED_TYPE_PAIRS, clash_pairs
+from purlin.plans import planner
 from purlin.plans.planner import guarded_sql, plan_question, validated
 from purlin.sources import graph_csv
 
@@ -44,6 +45,13 @@ def test_ignored_types_and_duplicate_exports(spark):
     assert len(IGNORED_TYPE_PAIRS) == 14
 
 
+def test_empty_guids_are_no_duplicate_export_and_null_files_do_not_cross(spark):
+    one = ((0, 0, 0), (2, 2, 2))
+    rows = [("a", "", "IfcBeam", "f1", *map(float, one[0] + one[1])), ("b", "", "IfcBeam", "f2", *map(float, one[0] + one[1])), ("c", None, "IfcBeam", None, *map(float, one[0] + one[1]))]
+    found = {(r.a_id, r.b_id): r.cross_file for r in clash_pairs(spark.createDataFrame(rows, BOX)).collect()}
+    assert found == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
+
+
 def test_boxes_of_all_sizes_equal_brute_force(spark):
     rng = random.Random(3)
     rows = []
@@ -66,31 +74,85 @@ def test_boxes_of_all_sizes_equal_brute_force(spark):
     assert clash_pairs(spark.createDataFrame([], BOX)).collect() == []
 
 
-FACTORS = "factor_id string, material_name string, factor_value double, factor_unit string"
+FACTORS = "factor_id string, material_id string, material_name string, aliases array<string>, factor_value double, factor_unit string, region string, dataset_version string, enabled boolean"
+ELEMENTS = "element_id string, ifc_type string, project_id string, source_ifc_file string, discipline string"
 USES = "id string, element_id string, raw_name string, component_type string, layer_thickness_m double, fraction double"
-QUANTITIES = "element_id string, quantity_type string, quantity_source string, association_level string, quantity_name string, normalized_value double"
-
-
-def test_carbon_states(spark):
-    factors = spark.createDataFrame([("c", "concrete", 100.0, "kgCO2e/m3"), ("s1", "steel", 2.0, "kgCO2e/kg"), ("s2", "steel", 3.0, "kgCO2e/m3"), ("w1", "wood", 1.0, "kgCO2e/kg"), ("w2", "wood", 1.0, "kgCO2e/kg")], FACTORS)
-    uses = spark.createDataFrame(
-        [("u1", "e1", "concrete", "layer", 0.2, None), ("u2", "e2", "steel", "layer", 0.2, None), ("u3", "e3", "wood", "layer", 0.2, None), ("u4", "e4", "brick", "layer", 0.2, None),
-         ("u5", "e5", "concrete", "layer", 0.1, None), ("u6", "e5", "concrete", "layer", 0.3, None), ("u7", "e6", "concrete", "layer", 0.1, None), ("u8", "e7", "concrete", "layer", 0.1, None),
-         ("u9", "e8", "concrete", "layer", 0.1, None), ("u10", "e8", "concrete", "constituent", None, 0.5)],
-        USES,
-    )
-    quantities = spark.createDataFrame(
-        [("e1", "volume", "ifc_explicit", "occurrence", "NetVolume", 2.5), ("e2", "mass", "ifc_explicit", "occurrence", "m", 4.0), ("e3", "mass", "ifc_explicit", "occurrence", "m", 4.0),
-         ("e4", "mass", "ifc_explicit", "occurrence", "m", 4.0), ("e5", "volume", "ifc_explicit", "occurrence", "NetVolume", 8.0), ("e6", "area", "ifc_explicit", "occurrence", "a", 1.0),
-         ("e7", "volume", "ifc_explicit", "occurrence", "NetVolume", 1.0), ("e7", "volume", "ifc_explicit", "occurrence", "NetVolume", 2.0), ("e8", "volume", "geometry_derived", "type", "Volume", 1.0)],
-        QUANTITIES,
-    )
-    got = {r.id: (r.calculation_status, None if r.carbon_kgco2e is None else float(r.carbon_kgco2e)) for r in carbon.calculate(uses, quantities, factors).collect()}
+QUANTITIES = "id string, element_id string, quantity_type string, quantity_source string, association_level string, quantity_name string, quantity_set_name string, normalized_value double, error string"
+
+
+def factor(i, name, value, unit, aliases=(), region="EU", version="v1", enabled=True):
+    return (i, f"M-{i}", name, list(aliases), value, unit, region, version, enabled)
+
+
+def quantity(element, kind, value, name="NetVolume", source="ifc_explicit", level="occurrence", error=None, n=0):
+    return (f"q{element}{kind}{n}", element, kind, source, level, name, "Qto", value, error)
+
+
+@pytest.fixture(scope="module")
+def carbon_tables(spark):
+    factors = [
+        factor("c", "Concrete Wall", 100.0, "kgCO2e / m³", ["Concrete - Cast in Situ", "Cast-In-Place Concrete"]),
+        factor("s1", "steel", 2.0, "kgCO2e/kg"), factor("s2", "Steel", 3.0, "kgCO2e/m3"), factor("w1", "wood", 1.0, "kgCO2e/kg"), factor("w2", "wood", 1.0, "kgCO2e/kg"),
+        factor("g", "glass", 0.00004, "kgCO2e/m3"), factor("o", "gone", 1.0, "kgCO2e/m3", enabled=False), factor("b1", "brick", 1.0, "kgCO2e/kg"), factor("b2", "brick", 2.0, "kgCO2e/m2"),
+    ]
+    uses = [
+        ("u1", "e1", "concrete_wall", "layer", 0.2, None), ("u2", "e2", "STEEL", "layer", 0.2, None), ("u3", "e3", "wood", "layer", 0.2, None), ("u4", "e4", "gone", "layer", 0.2, None),
+        ("u5", "e5", "Cast in place concrete", "layer", 0.1, None), ("u6", "e5", "concrete  wall", "layer", 0.3, None), ("u7", "e6", "concrete wall", "layer", 0.1, None), ("u8", "e7", "M-c", "layer", 0.1, None),
+        ("u9", "e8", "concrete wall", "layer", 0.1, None), ("u10", "e8", "concrete wall", "constituent", None, 0.5), ("u11", "e9", "glass", "x", None, None), ("u12", "e10", "brick", "x", None, None),
+        ("u13", "e11", "concrete wall", "constituent", None, 0.5), ("u14", "e11", "concrete wall", "constituent", None, 1.5), ("u15", "e12", "s1 unknown", "x", None, None),
+    ]
+    quantities = [
+        quantity("e1", "volume", 2.5), quantity("e2", "mass", 5.0, "NetWeight"), quantity("e2", "mass", 6.0, "GrossWeight", n=1), quantity("e3", "mass", 4.0), quantity("e4", "mass", 4.0),
+        quantity("e5", "volume", 8.0), quantity("e6", "area", 1.0), quantity("e7", "volume", 1.0), quantity("e7", "volume", 2.0, n=1), quantity("e8", "volume", 1.0, "Volume", "geometry_derived", "type"),
+        quantity("e9", "volume", 0.00004), quantity("e10", "length", 3.0, "Length"), quantity("e11", "volume", 4.0), quantity("e11", "volume", 9.0, "GrossVolume", n=1), quantity("e1", "volume", 7.0, error="bad", n=2),
+    ]
+    elements = [(f"e{i}", "IfcWall", "P", "m.ifc", "" if i % 2 else None) for i in range(1, 14)]
+    make = spark.createDataFrame
+    return make(elements, ELEMENTS), make(uses, USES), make(quantities, QUANTITIES), make(factors, FACTORS)
+
+
+def test_carbon_states(carbon_tables):
+    got = {r.material_use_id: (r.calculation_status, r.carbon_kgco2e) for r in carbon.calculate(*carbon_tables).collect()}
     assert got == {
-        "u1": ("calculated_explicit", 250.0), "u2": ("calculated_explicit", 8.0), "u3": ("ambiguous_mapping", None), "u4": ("unmatched_material", None),
-        "u5": ("calculated_estimate", 200.0), "u6": ("calculated_estimate", 600.0), "u7": ("missing_quantity", None), "u8": ("ambiguous_quantity", None),
-        "u9": ("missing_quantity", None), "u10": ("missing_quantity", None),
+        "u1": ("calculated_explicit", 250.0), "u2": ("calculated_explicit", 10.0), "u3": ("ambiguous_mapping", None), "u4": ("unmatched_material", None),
+        "u5": ("calculated_estimate", 200.0), "u6": ("calculated_estimate", pytest.approx(600.0)), "u7": ("missing_quantity", None), "u8": ("ambiguous_quantity", None),
+        "u9": ("missing_quantity", None), "u10": ("missing_quantity", None), "u11": ("calculated_explicit", pytest.approx(1.6e-9)), "u12": ("unmatched_material", None),
+        "u13": ("calculated_estimate", 100.0), "u14": ("calculated_estimate", 300.0), "u15": ("unmatched_material", None), None: ("missing_material", None),
     }
+    elements, uses, quantities, factors = carbon_tables
+    typed = factors.withColumn("quantity_type", F.when(F.col("factor_id") == "c", "area").otherwise(carbon.factor_quantity_type(F.col("factor_unit"))))
+    found = {r.material_use_id: r.calculation_status for r in carbon.calculate(elements, uses, quantities, typed).collect()}
+    assert found["u7"] == "incompatible_unit"  # an area, but a factor by volume
+    none = carbon.calculate(elements, uses, quantities, factors, region="us")
+    assert {r.calculation_status for r in none.collect()} == {"unmatched_material", "missing_material"}
+    assert {r.calculation_status for r in carbon.calculate(elements, uses, quantities, factors, region="eu", dataset_version="v1").collect()} == {s for s, _ in got.values()}
+
+
+def test_carbon_summaries(carbon_tables):
+    results = carbon.calculate(*carbon_tables)
+    row = carbon.summary(results).first()
+    assert (row.total_evaluated_elements, row.elements_with_calculated_carbon, row.elements_missing_material, row.elements_missing_quantity) == (13, 5, 1, 3)
+    assert row.calculated_carbon_kgco2e == pytest.approx(250 + 10 + 800 + 400) and row.explicit_quantity_results == 3
+    by = {(r.dimension, r.key): r for r in carbon.breakdown(results).collect()}
+    assert by["discipline", "unknown"].result_count == 16 and by["element_id", "e5"].calculation_status_counts == {"calculated_estimate": 2}
+    assert by["material_normalized", "unknown"].element_count == 1
+    page = [r.element_id for r in carbon.listed(results, limit=3).collect()]
+    assert page[:2] == ["e5", "e11"]
+    names = {r.material_normalized: r.raw_names for r in carbon.materials(results).collect() if r.factor_id}
+    assert names["concrete wall"] == ["concrete  wall", "concrete wall", "concrete_wall"]
+
+
+def test_factor_rows_and_choice(spark):
+    fields = ["line", *carbon.FACTOR_FIELDS]
+    good = dict(zip(fields, [2, "f1", "m", "steel", "a| b|", "c", "1.5", "kgCO2e/kg", "EU", "s", "1", "2020", "v1", "", "Yes"], strict=True))
+    rows = [good, good | {"line": 3}, good | {"line": 4, "factor_id": "f2", "factor_value": "-1"}, good | {"line": 5, "factor_id": "f3", "factor_unit": "kg"}, good | {"line": 6, "factor_id": "f4", "region": " "}, {f: "" for f in fields} | {"line": 7}, good | {"line": 8, "factor_id": "f5", "year": "x"}]
+    fine, faults = carbon.checked_factors(spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], "line int, " + ", ".join(f"{f} string" for f in carbon.FACTOR_FIELDS)))
+    assert [(r.factor_id, r.aliases, r.factor_value, r.enabled, r.year) for r in fine.collect()] == [("f1", ["a", "b"], 1.5, True, 2020)]
+    assert {r.line for r in faults.collect()} == {3, 4, 5, 6, 8}
+    assert carbon.chosen(["v1"], None, "version") == "v1" and carbon.chosen([], None, "version") is None and carbon.chosen(["EU"], "eu", "region", fold=True) == "EU"
+    for have, want in ((["v1", "v2"], None), (["v1"], "v9")):
+        with pytest.raises(LookupError):
+            carbon.chosen(have, want, "version")
 
 
 def one(spark, column):
@@ -99,6 +161,8 @@ def one(spark, column):
 
 def test_text_functions(spark):
     assert one(spark, fn.normalise_text(F.lit("٣٤‐كتاب  \r\n  x"))) == "34-کتاب \nx"
+    assert one(spark, fn.normalise_text(F.lit("مؤسسة أبـ می\u200cشود ﬁ"))) == "موسسه اب می شود fi"
+    assert one(spark, fn.normalise_material(F.lit("STRAẞE ２"))) == "strasse 2"
     assert one(spark, fn.normalise_material(F.lit("Concrete_Cast/In-Situ & Co."))) == "concrete cast in situ and co"
     assert one(spark, fn.material_category(F.lit("mineral wool slab"))) == "insulation"
     assert one(spark, fn.normalised_quantity(F.lit(3.0), F.lit("area"), F.lit(" FT2 "))) == pytest.approx(0.27870912)
@@ -136,28 +200,44 @@ def test_tfidf_equals_plain_python(spark):
     vec = [{g: n * (math.log((1 + len(docs)) / (1 + df[g])) + 1) for g, n in d.items()} for d in docs]
     norm = [math.sqrt(sum(v * v for v in d.values())) or 1 for d in vec]
     want = [sum(v * vec[0].get(g, 0) for g, v in d.items()) / (norm[0] * n) for d, n in zip(vec[1:], norm[1:], strict=True)]
-    got = retrieval.tfidf_scores(spark.createDataFrame([(query,)], "text string"), spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
-    assert [r.score for r in got.orderBy("id").collect()] == pytest.approx(want, abs=1e-12)
+    asked = spark.createDataFrame([(7, query), (8, "nothing in common zz")], "query_id long, text string")
+    got = retrieval.tfidf_scores(asked, spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    found = {r.id: r.score for r in got.where("query_id = 7").collect()}
+    assert [found.get(i, 0.0) for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
 
 
 def test_planner(spark):
-    elements = spark.createDataFrame([("a", "Wall:12345", "IfcWall", "L1"), ("b", "Door:777", "IfcDoor", "L2")], "id string, name string, ifc_type string, storey_name string")
+    elements = spark.createDataFrame([("a", "ga", "Wall:12345", "IfcWall", "L1"), ("b", None, "Door:777", "IfcDoor", "L2")], "id string, ifc_guid string, name string, ifc_type string, storey_name string")
     issues = spark.createDataFrame([("a", "b", "CLASH", 1.5)], "a_id string, b_id string, issue string, metric double")
     frames = {"elements": elements, "issues": issues}
+    ends = ("a", "ga", "Wall:12345", "IfcWall", "L1", "b", "b", "Door:777", "IfcDoor", "L2")
     asked = {
-        "How many clashes are there?": ("issues_by_type", [("CLASH", 1)]),
+        "How many CLASH issues are there?": ("issues_by_type", [("CLASH", 1)]),
         "count CLASHES_WITH on the storey L2?": ("issues_by_type_on_storey", [("CLASH", 1)]),
-        "list clashes of IfcWall and IfcDoor": ("typed_clashes_with_listing", [("CLASH", 1.5, "Wall:12345", "a", "Door:777", "b")]),
-        "how many IfcWall and IfcStair": ("exact_ifc_type_counts", [(1, 0)]),
+        "list CLASH rows of IfcWall and IfcDoor": ("typed_clashes_with_listing", [("CLASH", 1.5, "Wall:12345", "a", "Door:777", "b")]),
+        "how many IfcWall and IfcStair": ("wall_count", [(1,)]),
+        "count IfcWall and IfcStair": ("exact_ifc_type_counts", [(1, 0)]),
         "which elements have isAnomaly": ("element_anomaly_property_counts", [(0, 0)]),
-        "does element 12345 clash with doors": ("element_clashes", [("Wall:12345", "Door:777", "IfcDoor", "CLASH", 1.5, "a", "b")]),
+        "does IfcWall 12345 clash with any doors": ("element_clashes", [("Wall:12345", "Door:777", "IfcDoor", "CLASH", 1.5, *ends)]),
+        "which elements are clashing with 12345": ("element_clashes", [("Wall:12345", "Door:777", "IfcDoor", "CLASH", 1.5, *ends)]),
     }
     for question, (intent, rows) in asked.items():
         plan = plan_question(question)
-        assert plan.intent == intent and [tuple(r) for r in validated(plan, frames).collect()] == rows
-    assert plan_question("tell me a story") is None
+        assert plan.intent == intent and [tuple(r) for r in validated(plan, frames).collect()] == rows, question
+    assert plan_question("tell me a story") is None and plan_question("tell me", generate=lambda q: planner.Plan(q, (), None)).intent == "tell me"
     with pytest.raises(ValueError):
-        validated(plan_question("how many clashes"), {"issues": elements})
+        validated(plan_question("how many CLASH"), {"issues": elements})
+    shown = planner.resolved_elements(plan_question("how many CLASH"), [{"issue_type": "CLASH", "issue_count": 1}], frames)
+    assert [e["ifc_guid"] for e in shown] == ["ga", "b"]
+    assert planner.harvest([{"e.id": "p::f::g1", "e.name": "x"}, {"element_id": "z", "ifc_guid": "g1"}, {"element_a_id": "q", "element_b_id": "None"}]) == [
+        {"element_id": "p::f::g1", "ifc_guid": "g1", "name": "x", "ifc_type": "", "storey_name": ""}, {"element_id": "q", "ifc_guid": "q", "name": "", "ifc_type": "", "storey_name": ""}
+    ]
+    assert planner.subject_types("doors and a wall, و پله") == ["IfcStair", "IfcStairFlight", "IfcWall", "IfcDoor"] and planner.subject_types("outdoors") == []
+    block = planner.payload("the doors", None, False, lambda s: s)
+    assert (block["reason"], block["related_types"], block["available"]) == ("related_types", ["IfcDoor"], False)
+    assert planner.payload("", shown * 300, False, lambda s: s or "unassigned", files=["f", "f", ""])["truncated"] and planner.payload("", None, True, str)["reason"] == "graph_unavailable"
+    assert "1 of type IfcWall exist" in planner.diagnosis(frames, "IfcWall") and "No elements" in planner.diagnosis(frames, "IfcRoof")
+    assert planner.missing_columns([], ("a",)) == [] and planner.missing_columns([{"b": 1}], ("a", "b")) == ["a"]
 
 
 def test_sql_guard(spark):
@@ -193,3 +273,46 @@ def test_packing_skips_what_does_not_fit(spark):
     items = spark.createDataFrame([("q", i, n) for i, n in enumerate([50, 80, 30, 40])], "q string, doc_id long, n_chars int")
     got = retrieval.pack_context(items, 100, 5, "q", [F.col("doc_id")]).collect()
     assert [(r.doc_id, r.used_chars) for r in got] == [(0, 55), (2, 90)]
+
+
+def test_deleting_a_file_keeps_rows_without_one(spark):
+    elements = spark.createDataFrame([("a", "f1", "P"), ("b", "f2", "P"), ("c", None, "P"), ("d", "f1", "Q")], "id string, source_file_id string, project_id string")
+    issues = spark.createDataFrame([("a", "b"), ("b", "c")], "a_id string, b_id string")
+    runs = spark.createDataFrame([("r1", ["f1", "f2"]), ("r2", ["f2"]), ("r3", None)], "run_id string, file_ids array<string>")
+    kept, left, runs_left, counts = graph_csv.delete_file_scope(elements, issues, runs, ["f1"])
+    assert sorted(r.id for r in kept.collect()) == ["b", "c"] and [tuple(r) for r in left.collect()] == [("b", "c")]
+    assert sorted(r.run_id for r in runs_left.collect()) == ["r2", "r3"]
+    assert {r.kind: r.n for r in counts.collect()} == {"elements": 2, "runs": 1, "projects": 1}
+
+
+def test_closure_has_no_depth_limit_and_ends_on_cycles(spark):
+    from purlin.operators.graph import closure
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "n3")], "source_id string, target_id string")
+    got = {r.id: r.depth for r in closure(edges, spark.createDataFrame([("n0",)], "id string")).collect()}
+    assert got == {f"n{i}": i for i in range(13)}
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
+def test_quantile_equals_interpolation(spark, q):
+    import numpy as np
+
+    from purlin.operators.graph import quantile
+
+    rng = random.Random(1)
+    values = [float(rng.randrange(50)) + rng.choice([0, rng.random()]) for _ in range(3000)]
+    assert quantile(spark.createDataFrame([(v,) for v in values], "v double"), "v", q) == pytest.approx(float(np.quantile(values, q)))
+    assert quantile(spark.createDataFrame([], "v double"), "v", q) is None
+
+
+def test_everything_else_works_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "purlin", tmp_path / "purlin", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'clash_issue_counts' in q and not any(n.startswith('op1_') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
