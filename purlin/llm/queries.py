@@ -15,7 +15,7 @@ from purlin.llm.minhash_dedup import near_duplicates
 from purlin.llm.mixing import mix
 from purlin.llm.packing import pack
 from purlin.llm.quality_classifier import classify_quality
-from purlin.llm.quality_rules import quality_rules
+from purlin.llm.quality_rules import measures, quality_rules
 from purlin.llm.toxicity import classify_toxicity
 
 
@@ -68,6 +68,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def llm_license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_license_scan that plain SQL can express."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def llm_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality_rules that plain SQL can express."""
+    found = measures(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select(F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "llm_license_base": llm_license_base,
+    "llm_quality_counts": llm_quality_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +109,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "llm_license_base": r"""
+        WITH phrases(words, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+        split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        places AS (SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS pos, label FROM split, phrases),
+        found AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM split s LEFT JOIN found f ON s.doc_id = f.doc_id
+    """,
+    "llm_quality_counts": r"""
+        WITH split AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        runs AS (SELECT doc_id, unnest(range(greatest(len(w) - 4, 0))) AS pos, w FROM split),
+        marked AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w[pos + 1 : pos + 5]) AS n FROM runs),
+        covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM marked, range(5) r(k) WHERE n > 1 GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM split),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        counts AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+          FROM split s LEFT JOIN dup d ON s.doc_id = d.doc_id LEFT JOIN covered c ON s.doc_id = c.doc_id)
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+    """,
 }
