@@ -13,7 +13,8 @@ all text inside, the mark is not believed. An article of nothing but links is me
 Pages are independent: one pass, no shuffle, memory for one batch of pages.
 
 Defined results: null html counts as empty; no main text gives an empty string; broken and unclosed markup is read as
-far as it goes; repeated rows give repeated results.
+far as it goes; repeated rows give repeated results; an empty table gives an empty result; very long pages are read whole;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purlin.llm.common import ship
+from purlin.llm.common import quoted, ship
 
 WINDOW = 3
 THRESHOLD = 86  # characters in a window for a surge on pages that don't mark their article
@@ -219,5 +220,5 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
         for batch in batches:
             yield pd.Series([main_text(page) for page in batch], dtype="object")
 
-    rows = pages.select(F.col(id_col), F.col(url_col), extracted(F.col(html_col)).alias("text"))
+    rows = pages.select(quoted(id_col), quoted(url_col), extracted(quoted(html_col)).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -9,7 +9,10 @@ summed with map-side combining. Every source and language has its own marginal.
 on the driver; more are raked by the same steps as group sums and joins, and only one row a round reaches it.
 
 Defined results: null source or language counts as empty text, a category of its own; null text has no tokens and is
-drawn like the rest of its cell (surely, where no row of the cell has tokens); rows with one id are drawn alike; an empty table gives an empty result; columns pass through.
+drawn like the rest of its cell (surely, where no row of the cell has tokens); rows with one id are drawn alike if they are
+of one cell, repeated rows always, null ids among themselves too; an empty table gives an empty result; very long texts are
+read whole; columns pass through, and where one is named topic, n_tokens, weight, probability or sampled, the operator's own
+gets ``mix_`` before its name.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from purlin.llm import vectors
-from purlin.llm.common import Memo, freeze, numbered, renamed_back, ship, uniform
+from purlin.llm.common import Memo, discard, freeze, numbered, renamed_back, ship, uniform
 
 TOPIC_BITS = 3
 DRIVER_CELLS = 100_000  # for speed only: the weights are the same either way
@@ -112,12 +115,18 @@ def rake_cells(cells: DataFrame, given: Mapping[str, Mapping[str, float]], keep_
         step = now.withColumn("old", F.col("w"))
         for axis in ("s", "l", "t_"):
             have = step.groupBy(axis).agg(F.sum("w").alias("have"))
-            step = step.join(have, axis).withColumn("w", F.when(F.col("have") > 0, F.col("w") * (F.col(f"g_{axis}") / F.col("have"))).otherwise(F.lit(0.0))).drop("have")
-            step = freeze(step, "rake")
-        now = freeze(step.withColumn("w", F.least("w", F.col("t").cast("double"))), "rake")
+            moved = step.join(have, axis).withColumn("w", F.when(F.col("have") > 0, F.col("w") * (F.col(f"g_{axis}") / F.col("have"))).otherwise(F.lit(0.0))).drop("have")
+            moved, last = freeze(moved, "rake"), step
+            discard(last)
+            step = moved
+        capped = freeze(step.withColumn("w", F.least("w", F.col("t").cast("double"))), "rake")
+        discard(step, now)
+        now = capped
         if not now.where(F.abs(F.col("w") - F.col("old")) > 1e-10 * F.abs("old")).limit(1).count():
             break
-        now = now.drop("old")
+        kept = freeze(now.drop("old"), "rake")
+        discard(now)
+        now = kept
     return now.select("s", "l", "t_", "w", (F.col("w") / F.col("t")).alias("p"))
 
 

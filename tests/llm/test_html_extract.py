@@ -65,3 +65,13 @@ def test_surge_and_dive_decide_inside_a_marked_article():
 def test_a_mark_on_a_teaser_is_not_believed():
     assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Teaser</p></article>").startswith(f"{LONG}\n\n{LONG}")
     assert main_text(f"<p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}"
+
+
+def test_extra_columns_nulls_and_repeated_rows(spark):
+    rows = [(1, "u", ARTICLE, "x", 5), (1, "u", ARTICLE, "y", 6), (None, None, None, None, None), (2, "v", "", "z", 1), (3, "w", "<p>" + "long text " * 50_000, "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = extract_main_text(pages).collect()
+    assert [f for f in extract_main_text(pages).columns] == ["page_id", "url", "text", "n_chars"] and len(got) == 5
+    by = {r.page_id: r for r in got}
+    assert by[None].text == by[2].text == "" and by[3].n_chars == 499_999
+    assert len({r.text for r in got if r.page_id == 1}) == 1 and extract_main_text(pages.where("false")).collect() == []

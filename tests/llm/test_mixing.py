@@ -78,3 +78,28 @@ def test_raking_by_joins_gives_the_same_weights(docs_of, monkeypatch):
             m.setattr(mixing, "DRIVER_CELLS", 0)
             got = {r.doc_id: r.probability for r in mix(docs_of(rows), keep_fraction=0.2, targets=targets).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_repeated_rows_long_texts_and_clashing_names(docs_of):
+    rows = [(i, f"word{i} anotherword{i % 3}") for i in range(40)] + [(1, "word1 anotherword1"), (None, "a b"), (None, "a b"), (50, "longest " * 100_000)]
+    docs = docs_of(rows)
+    docs = docs.withColumns({c: docs.doc_id for c in ("topic", "n_tokens", "weight", "probability", "sampled", "__topic", "s", "t")})
+    got = mix(docs, keep_fraction=0.5)
+    assert got.columns == [*docs.columns, *[f"mix_{c}" for c in ("topic", "n_tokens", "weight", "probability", "sampled")]]
+    found = got.collect()
+    assert len(found) == len(rows) and max(r.mix_n_tokens for r in found) == 100_000
+    assert len({r.mix_sampled for r in found if r.doc_id == 1}) == 1 and len({r.mix_sampled for r in found if r.doc_id is None}) == 1
+    assert sample_mix(docs).columns == docs.columns
+    # brute force: topics and draws, from the same cells
+    cells = {}
+    for r in found:
+        key = ((r.source or ""), (r.lang or ""), r.mix_topic)
+        cells[key] = cells.get(key, 0) + r.mix_n_tokens
+    order = sorted(cells)
+    tokens = np.array([cells[k] for k in order], float)
+    axes = [sorted({k[i] for k in order}) for i in range(3)]
+    index = [np.array([axes[i].index(k[i]) for k in order]) for i in range(3)]
+    shares = [np.sqrt(np.bincount(at, tokens)) for at in index]
+    weight = rake(tokens, index, [s / s.sum() for s in shares], 0.5 * tokens.sum())
+    for r in found:
+        assert abs(r.mix_probability - (weight / tokens)[order.index(((r.source or ""), (r.lang or ""), r.mix_topic))]) < 1e-9
