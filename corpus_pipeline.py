@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 stages are written as Parquet in between and reread.
+
+In every stage null texts count as empty, repeated rows meet one fate unless copies are what it drops, very long texts are
+taken whole, extra columns pass through whatever their names, and an empty table gives an empty one. What differs is said at
+the stage.
 """
 
 from __future__ import annotations
@@ -21,27 +25,32 @@ KEEP_FRACTION = 0.6  # of the tokens that reach the mixing stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject (score of at least 0.3)."""
+    """Documents that the classifier doesn't reject (score of at least 0.3). Null ids are judged like others; empty texts
+    score the intercept; without labels of both classes all score alike."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts, the one with the smallest id."""
+    """One document of each set of equal texts, the one with the smallest id (null ids last). Null and empty texts are equal; of
+    rows repeated whole one stays."""
     return drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id."""
+    """One document of each class of near copies, the one with the smallest id. Rows with a null id stay, each a class of its
+    own; texts without words are one class."""
     return drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample raked to flattened source, language and topic shares."""
+    """A sample raked to flattened source, language and topic shares. Null sources and languages are categories of their own;
+    rows of one id and cell are drawn alike."""
     return sample_mix(docs, keep_fraction=KEEP_FRACTION)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, along the Hilbert curve."""
+    """Pieces of sequences of 4096 tokens, along the Hilbert curve; ties on the curve are ordered by id. A null text has one id,
+    its end."""
     pieces = pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
