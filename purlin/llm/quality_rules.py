@@ -4,7 +4,8 @@ Each rule is a measure of a text that is larger for worse texts. Cutoffs are cho
 (language) so that, with confidence ``1 - DELTA`` for all strata at once, at most ``ALPHA`` of the good texts of the
 stratum are rejected by all rules together:
 
-* labelled rows are split by a hash of their id: a quarter gives the order of a path, the rest tests it;
+* labelled rows are split by a hash of their id: a quarter gives the order of a path, the rest tests it. A stratum's own
+  rows count ``OWN`` times beside those of all strata, as its own may be few;
 * the path tightens one rule at a time, from no cutoffs at all; each step is the one that catches most bad texts of the
   first part for the good ones it costs. A step is a whole vector of cutoffs, one a rule;
 * along the path a step is admissible if the exact binomial tail P(Bin(n, ALPHA) <= k) is at most DELTA / strata, where k
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from purlin.llm.common import freeze, quoted
 
 ALPHA, DELTA = 0.02, 0.05
+OWN = 2
 PART = 4  # one in PART labelled rows orders the path, the others test it
 POOLED = "\x01rest"
 SPACE = " \t\n\x0b\f\r"
@@ -169,7 +171,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     each = placed.where("__first").select("__stratum", "__y", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("step")) for rule in RULES])).alias("m"))
     for r in each.groupBy("__stratum", "__y", "m.rule", "m.step").agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault((r["__stratum"], r["__y"], r["rule"]), list(none))[r["step"]] += r["n"]
-    paths = {s: path_of(*({rule: counts.get((s, y, rule), none) for rule in RULES} for y in (1, 0))) for s in [*strata, POOLED]}
+    whole: dict[tuple, list[int]] = {}
+    for (_, y, rule), n in counts.items():
+        whole[y, rule] = [a + b for a, b in zip(whole.get((y, rule), none), n, strict=True)]
+    told = lambda s, y, rule: [OWN * a + b for a, b in zip(counts.get((s, y, rule), none), whole.get((y, rule), none), strict=True)]
+    paths = {s: path_of(*({rule: told(s, y, rule) for rule in RULES} for y in (1, 0))) for s in [*strata, POOLED]}
     tables = json.dumps({s: {rule: _first_steps(path, rule) for rule in RULES} for s, path in paths.items()})
     table = F.from_json(F.lit(tables), f"map<string, struct<{', '.join(f'{rule}: array<int>' for rule in RULES)}>>")
     own = F.try_element_at(table, F.col("__stratum"))
