@@ -3,20 +3,21 @@
 Every word has hashed vectors for itself and its character n-grams, averaged; a document is the average of its
 words' vectors and of one more vector for each word that repeats the one before it; a softmax output gives the
 probability of label 1. The vectors and the output layer are trained together by stochastic gradient descent in
-numpy, on a bounded sample of labelled rows (``training.PER_CLASS`` of each label), and the sample's class balance
-is put right in the intercept.
+numpy, on a bounded sample of labelled rows (``training.PER_CLASS`` of each label, of at most ``training.LONGEST``
+characters each), and the sample's class balance is put right in the intercept.
 
 With two classes the output is linear in the average, so for scoring each hashed vector shrinks to one number and
-each word to their mean: one lookup a word, whole texts, no shuffle.
+each word to their mean. Texts are scored in blocks: new words are hashed together, then a text is a sum over its
+words' numbers. Whole texts, no shuffle.
 
 Defined results: null text counts as empty; a text without words scores the intercept alone; without labelled rows of
-both classes all texts score the share of label 1 (one half without any label); repeated rows score alike.
+both classes all texts score the share of label 1 (one half without any label); repeated rows score alike; an empty
+table gives an empty result; very long texts and words are read to their end, a block of their own; other columns are
+ignored, whatever their names (``keep_quality`` passes them on).
 """
 
 from __future__ import annotations
 
-import operator
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,42 +25,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purlin.llm.common import Memo, id_crc, ship
+from purlin.llm.common import id_crc, quoted, ship
 from purlin.llm.training import PER_CLASS, labelled_sample, not_held_out
+from purlin.llm.wordparts import Grown, Spelled, WordTable, blocks, ranges
 
 BUCKETS = 1 << 17
+SAME = BUCKETS  # the bucket of a word that repeats the one before it
 DIM = 16
 LENGTHS = (3, 4)
-SAME = "\x02same"
+
+
+def _parts(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, bucket) of the words, marked at both ends, and of their n-grams."""
+    spelled = Spelled([f"<{w}>" for w in words])
+    yield np.arange(len(words)), (spelled.wholes() % np.uint64(BUCKETS)).astype(np.int64)
+    for n in LENGTHS:
+        for word, found in spelled.grams(n):
+            yield word, (found % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of the word and its character n-grams."""
-    if word == SAME:
-        return [zlib.crc32(b"\x02same") % BUCKETS]
-    marked = f"<{word}>"
-    found = {zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS}
-    for n in LENGTHS:  # of the whole word, which may be a text without blanks: only buckets are held
-        found.update(zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - n + 1))
-    return sorted(found)
-
-
-def _counts(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """A document's buckets and their weights in its average."""
-    words = text.split()
-    same = sum(map(operator.eq, words, words[1:]))
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    if same:
-        seen[SAME] = same
-    total = max(1, len(words) + same)
-    parts = [memo[w] for w in seen]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    weight = np.concatenate([np.full(len(p), c / (len(p) * total), np.float32) for p, c in zip(parts, seen.values(), strict=True)])
-    at, where = np.unique(np.concatenate(parts), return_inverse=True)
-    return at, np.bincount(where, weight).astype(np.float32)
+    return sorted(int(b) for _, buckets in _parts([word]) for b in buckets)
 
 
 class SubwordModel:
@@ -72,12 +59,11 @@ class SubwordModel:
     def fit(cls, texts: list[str], labels: list[int], prior: float, epochs: int = 6, rate: float = 0.5, seed: int = 3) -> SubwordModel:
         y = np.array(labels)
         if len(set(labels)) < 2:
-            return cls(np.zeros(BUCKETS), prior)
+            return cls(np.zeros(BUCKETS + 1), prior)
         rng = np.random.default_rng(seed)
-        vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
+        vectors = rng.uniform(-1, 1, (BUCKETS + 1, DIM)).astype(np.float32) / DIM
         output, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-        memo = Memo(lambda w: np.array(subwords(w), np.int64))
-        docs = [_counts(t, memo) for t in texts]
+        docs = _counted(texts)
         steps, done = epochs * len(docs), 0
         for _ in range(epochs):
             for i in rng.permutation(len(docs)):
@@ -97,20 +83,61 @@ class SubwordModel:
         sampled = np.log((y == 1).sum() / (y == 0).sum())
         return cls((vectors @ (output[1] - output[0])).astype(np.float64), float(bias[1] - bias[0] + prior - sampled))
 
-    def scorer(self):
-        """Text to probability of label 1."""
-        memo = Memo(lambda w: float(self.contribution[subwords(w)].mean()))
-        same_part = float(self.contribution[subwords(SAME)].mean())
+    def values(self, words: list[str]) -> np.ndarray:
+        """The mean contribution of each word's parts."""
+        total, count = np.zeros(len(words)), np.zeros(len(words))
+        for word, buckets in _parts(words):
+            total += np.bincount(word, self.contribution[buckets], len(words))
+            count += np.bincount(word, minlength=len(words))
+        return total / np.maximum(count, 1)
 
-        def score(text: str) -> float:
-            words = text.split()
-            same = sum(map(operator.eq, words, words[1:]))
-            z = self.intercept + (sum(map(memo.__getitem__, words)) + same * same_part) / max(1, len(words) + same)
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scorer(self):
+        """Texts to probabilities of label 1."""
+        known = Grown(np.float64)
+        table = WordTable(lambda new, first: known.put(first, self.values(new)))
+
+        def score(texts: list[str]) -> np.ndarray:
+            out = []
+            for some in blocks(texts):
+                at, text, n = table.coded(some)
+                again = text[1:][(at[1:] == at[:-1]) & (text[1:] == text[:-1])]
+                same = np.bincount(again, minlength=len(some))
+                total = np.bincount(text, known.data[at], len(some)) + same * self.contribution[SAME]
+                z = self.intercept + total / np.maximum(1, n + same)
+                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            return np.concatenate(out) if out else np.zeros(0)
 
         return score
 
 
+def _counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each document's buckets and their weights in its average. One text's words are held at a time."""
+    index: dict[str, int] = {}
+    coded = [np.array([index.setdefault(w, len(index)) for w in t.split()], np.int32) for t in texts]
+    names, flats, sizes = list(index), [], []
+    for i in range(0, len(names), 20_000):
+        some = names[i : i + 20_000]
+        pairs = list(_parts(some))
+        owner = np.concatenate([w for w, _ in pairs])
+        flats.append(np.concatenate([b for _, b in pairs])[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    flat = np.concatenate(flats) if flats else np.zeros(0, np.int32)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    begin = np.cumsum(size) - size
+    docs = []
+    for at in coded:
+        same = int((at[1:] == at[:-1]).sum())
+        used, times = np.unique(at, return_counts=True)
+        total = max(1, len(at) + same)
+        rows = flat[ranges(begin[used], size[used])]
+        weight = np.repeat(times / (size[used] * total), size[used])
+        if same:
+            rows, weight = np.append(rows, np.int32(SAME)), np.append(weight, same / total)
+        buckets, where = np.unique(rows, return_inverse=True)
+        docs.append((buckets, np.bincount(where, weight, len(buckets)).astype(np.float32)))
+    return docs
+
+
 def score_column(spark: SparkSession, model: SubwordModel, text: Column) -> Column:
     """The model's score of a text column, in Arrow batches."""
     ship(spark)
@@ -120,7 +147,7 @@ def score_column(spark: SparkSession, model: SubwordModel, text: Column) -> Colu
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([score(t) for t in texts], dtype="float64")
+            yield pd.Series(score(texts.tolist()), dtype="float64")
 
     return scored(F.coalesce(text, F.lit("")))
 
@@ -132,12 +159,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    score = score_column(docs.sparkSession, fit_quality(docs, labels, id_col, text_col), F.col(text_col))
-    scored = docs.select(F.col(id_col), (F.pmod(id_crc(F.col(id_col)), F.lit(5)) == 0).alias("held_out"), score.alias("score"))
+    score = score_column(docs.sparkSession, fit_quality(docs, labels, id_col, text_col), quoted(text_col))
+    scored = docs.select(quoted(id_col), (F.pmod(id_crc(quoted(id_col)), F.lit(5)) == 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored under ``threshold``; columns unchanged."""
     model = fit_quality(docs, labels, id_col, text_col)
-    return docs.where(score_column(docs.sparkSession, model, F.col(f"`{text_col}`")) >= threshold)
+    return docs.where(score_column(docs.sparkSession, model, quoted(text_col)) >= threshold)
