@@ -17,10 +17,13 @@ order is the same. Texts of 0.8 or more are linked; a class is a connected set o
    So no link is lost and no group of copies is expanded into pairs.
 5. Verification aligns within the band that 0.8 leaves room for, with bit-parallel steps.
 
-Joins are on ids and keys and may be split where skewed; every stage's result is frozen in the shared folder.
+Joins are on ids and keys. What meets in a bucket is dealt by bucket and, in buckets that hold more than one in
+``HOT`` of all rows (so there are less than ``HOT`` of them), by a salt too, so a group of copies is spread over many tasks.
+Every stage's result is frozen in the shared folder.
 
 Defined results: null text counts as empty; texts without words are one class; rows with a null id are classes of
-their own and stay; repeated rows share their class; an empty table gives an empty result.
+their own and stay; repeated rows share their class; an empty table gives an empty result; very long texts are compared
+whole; other columns are ignored, whatever their names (``drop_near_copies`` passes them on).
 """
 
 from __future__ import annotations
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from purlin.llm.common import Memo, freeze, numbered, quoted, renamed_back, ship
+from purlin.llm.common import Memo, discard, freeze, numbered, quoted, renamed_back, ship
 from purlin.llm.components import components
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, MINIMA = 32, 5
 SHORT, SHORT_BANDS = 15, 8  # texts of at most SHORT shingles: more keys, of one minimum
+HOT, SALTS = 2000, 64
 PARITIES = 16  # 64-bit words of a text's parity bitmap
 BITS = [f"p{k}" for k in range(PARITIES)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -222,16 +226,32 @@ def _could(similar: float) -> str:
     return f"{most} >= {similar - 1e-9} * (na + nb - {most})"
 
 
+def _met(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` (bucket, ...) with what ``one`` (bucket, c, ...; frozen) says of their bucket; c: its rows.
+
+    ``one`` is small beside ``rows``; only it is repeated, for the hot buckets, once a salt.
+    """
+    least = one.agg(F.sum("c")).first()[0]
+    hot = one.where(F.col("c") > F.greatest(F.lit((least or 0) / HOT), F.lit(1))).select("bucket", F.lit(True).alias("hot"))  # less than HOT rows
+    salted = rows.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = one.join(F.broadcast(hot), "bucket", "left").withColumn("salt", F.explode(salts))
+    return salted.drop("hot").join(spread.drop("hot", "c"), ["bucket", "salt"]).drop("salt")
+
+
 def _placed(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of ``buckets`` whose bucket holds several components of ``links``, with their component, frozen."""
-    comps = components(links).select(F.col("node").alias("id"), "comp")
-    placed = freeze(buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    return freeze(placed.join(still, "bucket"), "open")
+    comps = components(links)
+    placed = freeze(buckets.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    still = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select("bucket", "c")
+    still = freeze(still, "still")
+    out = freeze(_met(placed, still), "open")
+    discard(placed, still)
+    return out
 
 
 def _across(apart: DataFrame, words: DataFrame, similar: float, kind: str) -> DataFrame:
-    """Pairs (a, b) of different components that can reach ``similar``: none that does is left out.
+    """Pairs (a, b) of different components that can reach ``similar``, frozen: none that does is left out.
 
     Two texts at ``similar`` have at least that share of each one's shingles in common. With all shingles in one
     order, the rarest first, they must therefore meet among the first ``n - ceil(similar * n) + 1`` of both. Of the pairs
@@ -255,12 +275,15 @@ def _across(apart: DataFrame, words: DataFrame, similar: float, kind: str) -> Da
     # cells of different parity hold a shingle of one text alone: no more such cells than such shingles
     differ = "(" + " + ".join(f"bit_count(a{p} ^ b{p})" for p in BITS) + f") <= (na + nb) * {(1 - similar) / (1 + similar) + 1e-9}"
     met = left.join(right, (F.col("kmer") == F.col("kb")) & (F.col("pa") < F.col("pb")) & F.expr(_could(similar)) & F.expr(differ))
-    return met.select("a", "b").distinct()
+    pairs = freeze(met.select("a", "b").distinct(), "across")
+    discard(kmers, entries)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(classes, links). Classes: one row per document: id, copy_of, class_id, kept; links: a, b, similarity between
-    the documents that stand for equal texts: all links but those within what is already one class."""
+    """(classes, links). Classes: one row per document: id, copy_of (the document that stands for equal texts), class_id,
+    kept, link_count (links of copy_of); links: a, b, similarity between the documents that stand for equal texts, all
+    links but those within what is already one class."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
@@ -269,34 +292,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketches.where("id is not null")
     texts = freeze(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
     spread = texts.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    buckets = freeze(spread.join(shared, "bucket"), "buckets")
-    wanted = buckets.select("id").distinct().join(texts.select("id", "digest", "n"), "id")
-    words = rows.join(wanted.select("id", "digest"), "id").mapInArrow(_words, f"id {kind}, words binary")
+    shared = freeze(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    buckets = freeze(_met(spread, shared), "buckets")
+    wanted = freeze(buckets.select("id").distinct().join(texts.select("id", "digest", "n"), "id"), "wanted")
+    # one plan at every size: texts are dealt by id, also where the ids alone would be small enough to be sent everywhere
+    words = rows.join(wanted.select("id", "digest").hint("merge"), "id").mapInArrow(_words, f"id {kind}, words binary")
     words = freeze(words, "words")
     kmers = words.mapInArrow(_kmers, f"id {kind}, kmers array<bigint>").select("id", F.explode("kmers").alias("kmer"))
     alone = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
     able = wanted.join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).cast("int").alias("u")).where(f"u <= {1 - similar + 1e-9} * n")
     able = freeze(buckets.join(able, "id"), "able")  # bucket, id, n, u
-    leaders = able.groupBy("bucket").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = leaders.select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua"))
-    stars = able.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub")).join(leaders, "bucket")
+    best = F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u")).alias("l")
+    leaders = able.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("c")).where("c > 1")
+    leaders = freeze(leaders.select("bucket", "c", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua")), "leaders")
+    stars = _met(able, leaders).select("a", "na", "ua", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"))
     stars = freeze(stars.where("a != b").where(_could(similar)).select("a", "b").distinct(), "stars")
     first = _links(stars, words, similar, kind)
     placed = _placed(able, first)
+    discard(shared, buckets, wanted, leaders, able, stars)
     # the texts of open buckets once more, each bucket with a leader drawn by hash: a text meets another in each band
-    drawn = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n", "u", "comp")).alias("l"))
-    drawn = drawn.select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua"), F.col("l.comp").alias("ca"))
-    again = placed.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), "comp").join(drawn, "bucket")
+    one = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n", "u", "comp")).alias("l")
+    drawn = placed.groupBy("bucket").agg(one, F.count(F.lit(1)).alias("c"))
+    drawn = freeze(drawn.select("bucket", "c", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua"), F.col("l.comp").alias("ca")), "drawn")
+    again = _met(placed, drawn).select("a", "na", "ua", "ca", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), "comp")
     again = freeze(again.where("comp != ca").where(_could(similar)).select("a", "b").distinct(), "stars")
     first = first.unionByName(_links(again, words, similar, kind))
-    apart = _placed(placed.drop("comp"), first).select("id", "n", "u", "comp").distinct()
-    across = _across(freeze(apart, "apart"), words, similar, kind)
+    open_ = _placed(placed.drop("comp"), first)
+    apart = freeze(open_.select("id", "n", "u", "comp").distinct(), "apart")
+    discard(placed, drawn, again, open_)
+    across = _across(apart, words, similar, kind)
     second = _links(across, words, similar, kind)
+    discard(apart, across, words)
     links = first.unionByName(second)
-    comps = components(links)
-    classes = texts.select("digest", F.col("id").alias("copy_of")).join(comps.select(F.col("node").alias("copy_of"), "comp"), "copy_of", "left")
-    classes = classes.select("digest", "copy_of", F.coalesce("comp", "copy_of").alias("class_id"))
+    comps = components(links).select(F.col("node").alias("copy_of"), "comp")
+    count = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count(F.lit(1)).alias("link_count"))
+    classes = texts.select("digest", F.col("id").alias("copy_of")).join(comps, "copy_of", "left").join(count, "copy_of", "left")
+    classes = classes.select("digest", "copy_of", F.coalesce("comp", "copy_of").alias("class_id"), F.coalesce("link_count", F.lit(0).cast("bigint")).alias("link_count"))
     found = sketches.select("id", "digest").join(classes, "digest", "left")
     null = F.col("id").isNull()
     out = found.select(
@@ -304,6 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(~null, F.col("copy_of")).alias("copy_of"),
         F.when(~null, F.col("class_id")).alias("class_id"),
         (null | (F.col("id") == F.col("class_id"))).alias("kept"),
+        F.when(~null, F.col("link_count")).alias("link_count"),
     )
     return out, links
 
