@@ -70,14 +70,28 @@ def test_small_categories_have_marginals_of_their_own(docs_of):
     assert all(abs(kept[g] / sum(kept.values()) - given["lang"].get(g, 0)) < 1e-6 for g in kept)
 
 
-def test_raking_by_joins_gives_the_same_weights(docs_of, monkeypatch):
-    rows = [(i, f"word{i % 50} longerword{i % 9} anotherword" * (1 + i % 5), ("en", "de", None)[i % 3], f"s{min(i % 7, 3)}") for i in range(300)]
-    for targets in (None, {"source": {"s0": 0.6, "s1": 0.3, "s2": 0.1}}):
-        want = {r.doc_id: r.probability for r in mix(docs_of(rows), keep_fraction=0.2, targets=targets).collect()}
-        with monkeypatch.context() as m:
-            m.setattr(mixing, "DRIVER_CELLS", 0)
-            got = {r.doc_id: r.probability for r in mix(docs_of(rows), keep_fraction=0.2, targets=targets).collect()}
-        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+def test_raking_by_joins_gives_the_same_weights(spark):
+    rng = np.random.default_rng(4)
+    cells = [(s, g, t, int(rng.integers(5, 900))) for s in ("a", "b", "c") for g in ("en", "") for t in range(3) if rng.random() > 0.2]
+    frame = spark.createDataFrame(cells, "s string, l string, t_ int, t long")
+    tokens = np.array([c[3] for c in cells], float)
+    for given in ({}, {"source": {"a": 0.6, "b": 0.3, "c": 0.1}}):
+        axes = [sorted({c[i] for c in cells}) for i in range(3)]
+        index = [np.array([axes[i].index(c[i]) for c in cells]) for i in range(3)]
+        shares = []
+        for axis, at, kind in zip(axes, index, ("source", "lang", "topic"), strict=True):
+            goal = np.array([given[kind][k] for k in axis]) if kind in given else np.sqrt(np.bincount(at, tokens))
+            shares.append(goal / goal.sum())
+        want = rake(tokens, index, shares, 0.2 * tokens.sum(), rounds=4)
+        got = {(r.s, r.l, r.t_): r.w for r in mixing.rake_cells(frame, given, 0.2, rounds=4).collect()}
+        assert all(abs(got[c[:3]] - w) < 1e-6 * w for c, w in zip(cells, want, strict=True))
+
+
+def test_many_cells_go_by_joins(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(mixing, "rake_cells", lambda cells, given, keep: cells.selectExpr("s", "l", "t_", "cast(t as double) as w", "1.0D as p"))
+    got = mix(docs_of([(1, "a b"), (2, "c")])).collect()
+    assert [r.probability for r in got] == [1.0, 1.0]
 
 
 def test_repeated_rows_long_texts_and_clashing_names(docs_of):
