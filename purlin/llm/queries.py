@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purlin.llm.conversation_repair import repaired_report
-from purlin.llm.conversation_sql import repair_sql
+from purlin.llm.conversation_sql import CRC_TABLE, crc32, repair_sql
+from purlin.llm.common import id_crc
 from purlin.llm.exact_dedup import exact_dedup
 from purlin.llm.html_extract import extract_main_text
 from purlin.llm.language_id import identify_languages
 from purlin.llm.license_scan import license_scan
+from purlin.llm.lm_scoring import score_texts
 from purlin.llm.minhash_dedup import near_duplicates
 from purlin.llm.mixing import mix
 from purlin.llm.packing import pack
@@ -90,6 +92,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_report(_read(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"), held_out=id_crc(F.col("id")) % 7 == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lm_scoring": op13_lm_scoring,
     "llm_license_base": llm_license_base,
     "llm_quality_counts": llm_quality_counts,
 }
@@ -117,6 +124,24 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op12_conversation_repair": repair_sql(),
+    "op13_lm_scoring": rf"""
+        WITH {CRC_TABLE},
+        split AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') || [' '] AS w FROM documents, crc),
+        places AS (SELECT r, held_out, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS w2, CASE WHEN i > 2 THEN w[i - 2] WHEN i = 2 THEN '' END AS w1 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM split)),
+        learned AS (SELECT * FROM places WHERE NOT held_out),
+        total AS (SELECT count(*) AS n, count(DISTINCT w3) AS v FROM learned),
+        one AS (SELECT w3, count(*) AS c FROM learned GROUP BY ALL),
+        two AS (SELECT w2, w3, count(*) AS c FROM learned GROUP BY ALL),
+        three AS (SELECT w1, w2, w3, count(*) AS c FROM learned WHERE w1 IS NOT NULL GROUP BY ALL),
+        after_one AS (SELECT w2, sum(c) AS c FROM two GROUP BY ALL),
+        after_two AS (SELECT w1, w2, sum(c) AS c FROM three GROUP BY ALL),
+        p1 AS (SELECT p.*, n, v, coalesce(a.c, 0) AS c1, (coalesce(a.c, 0) + 1) / (n + v + 1) AS q FROM places p CROSS JOIN total LEFT JOIN one a USING (w3)),
+        p2 AS (SELECT p.* REPLACE ((coalesce(b.c, 0) + 1000 * q) / (coalesce(h.c, 0) + 1000) AS q), q AS q1 FROM p1 p LEFT JOIN two b USING (w2, w3) LEFT JOIN after_one h USING (w2)),
+        p3 AS (SELECT p.* REPLACE ((coalesce(t.c, 0) + 4 * q) / (coalesce(h.c, 0) + 4) AS q) FROM p2 p LEFT JOIN three t USING (w1, w2, w3) LEFT JOIN after_two h USING (w1, w2)),
+        scored AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, any_value(n) AS train_tokens, sum(log10(q1)) AS base_score, sum(log10(q)) AS score FROM p3 GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM split JOIN scored USING (r)
+    """,
     "llm_license_base": r"""
         WITH phrases(words, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
         split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
