@@ -20,6 +20,7 @@ from purlin.llm.mixing import mix
 from purlin.llm.packing import pack
 from purlin.llm.quality_classifier import classify_quality
 from purlin.llm.quality_rules import measures, quality_rules
+from purlin.llm.spelling_variants import variants_of
 from purlin.llm.toxicity import classify_toxicity
 
 
@@ -88,6 +89,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants_of(_read(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_report(_read(spark, sf_dir, "conversations"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_lm_scoring": op13_lm_scoring,
     "llm_license_base": llm_license_base,
@@ -127,7 +133,8 @@ ORACLE_SQL: dict[str, str] = {
     "op13_lm_scoring": rf"""
         WITH {CRC_TABLE},
         split AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out,
-            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') || [' '] AS w FROM documents, crc),
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') || [' '] AS w FROM documents, crc),
         places AS (SELECT r, held_out, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS w2, CASE WHEN i > 2 THEN w[i - 2] WHEN i = 2 THEN '' END AS w1 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM split)),
         learned AS (SELECT * FROM places WHERE NOT held_out),
         total AS (SELECT count(*) AS n, count(DISTINCT w3) AS v FROM learned),
