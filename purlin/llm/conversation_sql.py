@@ -1,14 +1,17 @@
-"""SQL of the conversation repair: the lattice solved row by row in a recursive query. The oracle of op12."""
+"""SQL of crc32, and of the conversation repair: the lattice solved row by row in a recursive query."""
 
 from __future__ import annotations
 
-# crc32 of ASCII text: the table by the polynomial's rule, then a fold over the characters
+# the table of crc32 by the polynomial's rule
 CRC_TABLE = """crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n]::BIGINT[] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)))"""
 
 
-def crc32(text: str) -> str:
-    """crc32 of an ASCII expression, over rows that are joined with ``crc``."""
-    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+def crc32(text: str, latin: bool = False) -> str:
+    """crc32 of an ASCII expression (``latin``: of letters below U+0100 too), over rows that are joined with ``crc``."""
+    code = "CAST(ord(x) AS BIGINT)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: {code})"
+    if latin:  # two bytes in UTF-8
+        codes = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [{code}] ELSE [192 + ({code} >> 6), 128 + ({code} & 63)] END))"
     return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
 
 

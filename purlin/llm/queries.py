@@ -129,6 +129,19 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+        hashed AS (SELECT run, k, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run", latin=True)} AS h FROM runs, crc),
+        words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        gaps AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+        added AS (SELECT DISTINCT g.word AS longer, g.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM gaps g JOIN words w ON g.less = w.word),
+        pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.hole = b.hole AND a.word <> b.word UNION ALL SELECT longer, shorter, shorter_n FROM added UNION ALL SELECT shorter, longer, longer_n FROM added),
+        near AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'best': other}}) AS top FROM pairs GROUP BY word),
+        variants AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 10 * n THEN top.best END AS form, CASE WHEN -top.less >= 10 * n THEN -top.less END AS form_n FROM words w LEFT JOIN near r ON w.word = r.word),
+        followed AS (SELECT word, word AS root, 0 AS steps FROM variants UNION ALL SELECT f.word, v.form, steps + 1 FROM followed f JOIN variants v ON f.root = v.word WHERE v.form IS NOT NULL)
+        SELECT v.word, form, r.root, n, n_near, form_n FROM variants v JOIN (SELECT word, arg_max(root, steps) AS root FROM followed GROUP BY word) r ON v.word = r.word
+    """,
     "op12_conversation_repair": repair_sql(),
     "op13_lm_scoring": rf"""
         WITH {CRC_TABLE},

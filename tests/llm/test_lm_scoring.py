@@ -58,15 +58,29 @@ TEXTS = ["The cat sat.", "the CAT sat.\tThe cat\x0bran", None, "", " \n ", "É 
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize("block_chars,shard_keys", [(1 << 20, 2_000_000), (30, 7)])
-def test_equals_counting_in_one_dict(docs_of, order, block_chars, shard_keys):
+@pytest.mark.parametrize("block_chars,shard_keys,part_tokens", [(1 << 20, 2_000_000, 20), (30, 7, 1000)])
+def test_equals_counting_in_one_dict(docs_of, order, block_chars, shard_keys, part_tokens):
     rows = list(enumerate(TEXTS * 2)) + [(None, "the end")]
     priors = (0.5, 5.0, 7.0, 9.0)
-    got = lm.score_texts(docs_of(rows), held_out=id_crc(F.col("id")) % 7 == 2, order=order, priors=priors, block_chars=block_chars, shard_keys=shard_keys)
+    got = lm.score_texts(docs_of(rows), held_out=id_crc(F.col("id")) % 7 == 2, order=order, priors=priors, block_chars=block_chars, shard_keys=shard_keys, part_tokens=part_tokens)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     assert collected(got) == brute(rows, crc_held, order, priors)
 
 
+def test_parts_of_a_block_score_alike():
+    rows = [(i, f"{t or ''} a{i % 7}") for i, t in enumerate(TEXTS * 3)]
+    lengths = np.array([len(tokens_of(t)) for _, t in rows])
+    number = {}
+    tokens = np.array([0 if w is None else number.setdefault(w, len(number) + 1) for _, t in rows for w in tokens_of(t)])
+    grams = lm.Grams(tokens, lengths, len(number) + 1, 3)
+    totals = grams.counts(np.ones(len(tokens), bool), len(rows))
+    whole = lm.Automaton(grams, totals, len(tokens), len(number) + 1, (1.0, 2.0, 3.0))
+    for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+        part = lm.Automaton(grams, totals, len(tokens), len(number) + 1, (1.0, 2.0, 3.0), slice(end - n, end))
+        assert len(part.arcs) < len(whole.arcs)
+        assert part.score(tokens[end - n : end].tolist()) == whole.score(tokens[end - n : end].tolist())
+
+
 def test_query_over_a_table(spark, docs_of, tmp_path):
     rows = [(i, f"{TEXTS[i % len(TEXTS)] or ''} w{i % 11} w{i % 5}") for i in range(120)]
     docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
