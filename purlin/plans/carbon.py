@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purlin.operators import carbon as ops
+from purlin.operators.carbon_runs import RunStore
 from purlin.plans.registry import Registry
+from purlin.sources.store import scratch
 from purlin.sources.views import read_view
 
 R = Registry()
@@ -253,4 +257,39 @@ R.sql(
     more={"runs": RUNS},
 )
 
+
+def stored_run(spark: SparkSession, sf_dir: str) -> tuple[RunStore, dict]:
+    """A store with a run over all elements, after a run that died before its commit; and what is current then."""
+    elements, uses, quantities, factors = (read_view(spark, sf_dir, v) for v in ("carbon_elements", "material_uses", "quantities", "factors"))
+    store = RunStore(spark, scratch(spark, "runs"))
+    store.store.stage("results", "run-r0", results(spark, sf_dir).limit(0))
+    run = {"id": "r1", "scope_key": "all", "project_id": "P", "file_ids": ["F2", "F0", "F1"], "factor_dataset_hash": "h1"}
+    store.persist(run, elements, uses, quantities, results(spark, sf_dir), factors)
+    return store, store.run("P", ["F0", "F1", "F2"])
+
+
+LINKED = f"element_id, coalesce(material_use_id, '') as material_use_id, calculation_status, {R6('carbon_kgco2e')}"
+
+
+@R.operator("carbon_run_roundtrip", f"select {LINKED}, material_use_id is not null as has_use, factor_id is not null as has_factor, calculation_status like 'calculated%' as has_quantity from {{results}}", **MORE)
+def carbon_run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of the current run as stored, and which links they have."""
+    store, run = stored_run(spark, sf_dir)
+    return store.table(run, "results").selectExpr("element_id", "coalesce(material_use_id, '') as material_use_id", "calculation_status", R6("carbon_kgco2e"), "for_material_use is not null as has_use", "uses_factor is not null as has_factor", "uses_quantity is not null as has_quantity")
+
+
+@R.operator(
+    "carbon_run_tables",
+    f"""select 'factors' as stored, count(distinct factor_id) as n from {{results}} union all select 'material_uses', count(*) from {{material_uses}} where element_id in (select element_id from {{carbon_elements}})
+      union all select 'materials', count(distinct {NORM.format(x='raw_name')}) from {{material_uses}} where element_id in (select element_id from {{carbon_elements}})
+      union all select 'quantities', count(*) from {{quantities}} where element_id in (select element_id from {{carbon_elements}}) union all select 'results', count(*) from {{results}}""",
+    **MORE,
+)
+def carbon_run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of the current run."""
+    store, run = stored_run(spark, sf_dir)
+    counts = [store.table(run, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("stored"), "n") for t in ("factors", "material_uses", "materials", "quantities", "results")]
+    return reduce(DataFrame.unionByName, counts)
+
+
 QUERIES, ORACLE_SQL = R.queries, R.oracles

@@ -1,4 +1,4 @@
-"""Event-time windows that run on batch and streaming frames, and keyed conversation state."""
+"""Event-time windows that run on batch and streaming frames, and conversation memory with an idle timeout."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from purlin.streaming.sessions import Memory
+
 
 def with_event_time(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """``ts`` as a timestamp with a watermark; parquet's zoneless timestamps can't carry one."""
@@ -33,23 +35,25 @@ MEMORY = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("me
 
 
 def conversation_memory(turns: DataFrame, recent: int = 4, summary_chars: int = 400, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Keyed state per conversation: the last messages, and the tail of a summary of those before; dropped when idle."""
-    state = T.StructType([T.StructField("n", T.LongType()), T.StructField("recent", T.ArrayType(T.StringType())), T.StructField("summary", T.StringType())])
+    """Keyed state per conversation: the last messages, and the tail of a summary of those before; dropped when idle.
+
+    ``sessions.conversation_events`` does the same on the event clock.
+    """
+    state = T._parse_datatype_string("n bigint, turns array<bigint>, recent array<string>, summary string")
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        n, last, summary = held.get if held.exists else (0, [], "")
-        last = list(last)
+        n, turns, last, summary = held.get if held.exists else (0, [], [], "")
+        memory = Memory(recent, summary_chars, n, list(zip(turns, last, strict=True)), summary)
         for batch in batches:
-            for role, text in batch.sort_values("turn")[["role", "text"]].itertuples(index=False):
-                last.append(f"{role}: {text}")
-                n += 1
-        while len(last) > recent:
-            summary = (summary + "\n" + last.pop(0)).lstrip("\n")[-summary_chars:]
-        held.update((n, last, summary))
+            for turn, role, text in batch[["turn", "role", "text"]].itertuples(index=False):
+                memory.add(int(turn), f"{role}: {text}")
+        memory.settle()
+        last = [m for _, m in memory.held]
+        held.update((memory.n, [t for t, _ in memory.held], last, memory.summary))
         held.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [n], "recent": [last], "summary": [summary]})
+        yield pd.DataFrame({"conv_id": [key[0]], "messages": [memory.n], "recent": [last], "summary": [memory.summary]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(update, MEMORY, state, "update", "ProcessingTimeTimeout")
