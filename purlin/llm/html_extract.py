@@ -6,9 +6,10 @@ or id that holds most of the page's text marks no zone. The text lengths of ``WI
 their links, are then summed over the lines left: the sum surges where the main text starts and dives to nothing where
 it ends. All stretches between a surge and a dive are the main text.
 
-Where the page marks its article (``article``, ``main`` or role=main with text) the mark is a prior: surge and dive are
-looked for among its lines, and short lines that lead up to a surge count too. If one stretch outside is longer than
-all text inside, the mark is not believed. An article of nothing but links is measured with them.
+Where the page marks its article (``article``, ``main`` or role=main with text) surge and dive decide whether the mark is
+believed: it isn't if one stretch outside is longer than all text inside. Inside a believed mark every line that is in no zone is
+main text, lists of links and short lines included. There, headings keep their text in a ``header`` too, and names that
+say little (``TEASERS``: related, promo, side) mark a zone only where it is short or mostly links.
 
 Pages are independent: one pass, no shuffle, memory for one batch of pages.
 
@@ -33,7 +34,7 @@ WINDOW = 3
 THRESHOLD = 86  # characters in a window for a surge on pages that don't mark their article
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -42,11 +43,13 @@ TOKEN = re.compile(
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ZONES = frozenset("nav footer aside form menu dialog button head header label option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebars?|side|widgets?|cookies?\w*|consent|notices?|alerts?|gdpr|newsletter|subscribe|comments?|commentlist|respond|replies|disqus\w*|related|recommended|share|sharing|social|pagination|pager|toolbar|popup|modal|skip|login|search)(?:$|[\s_-])",
     re.I,
 )
+TEASERS = re.compile(r"(?:^|[\s_-])(?:promo\w*|side|related|recommended)(?:$|[\s_-])", re.I)
 READERS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|disqus\w*)(?:$|[_-])", re.I)
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -61,6 +64,17 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def _texts(found: list[tuple[str, bool, tuple[str, ...], bool, int]]) -> set[str]:
+    """Names that look like teasers but hold text of the article: long enough, and less than half of it links."""
+    held: dict[str, tuple[int, int]] = {}
+    for text, zone, names, article, linked in found:
+        if article and not zone:
+            for name in names:
+                n, of = held.get(name, (0, 0))
+                held[name] = (n + len(text), of + linked)
+    return {k for k, (n, of) in held.items() if TEASERS.search(k) and n >= THRESHOLD and 2 * of < n}
+
+
 def _wrappers(found: list[tuple[str, bool, tuple[str, ...], bool, int]]) -> set[str]:
     """Names that look like boilerplate but wrap most of the page's text, and all text of its article."""
     held: dict[str, int] = {}
@@ -83,7 +97,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     out: list[tuple[str, bool, tuple[str, ...], bool, int]] = []
     stack: list[tuple[str, bool, tuple[str, ...], bool]] = []  # tag, opens such a zone, its boilerplate names, opens the article
     names: dict[str, int] = {}  # boilerplate names of the open elements
-    zones = articles = links = linked = 0
+    zones = articles = links = linked = headers = 0
     parts: list[str] = []
     at = 0
 
@@ -97,12 +111,13 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, zones > 0, tuple(names), articles > 0, linked))
+                titled = headers > 0 and zones == headers and articles > 0 and any(e[0] in HEADINGS for e in stack)
+                out.append((text, zones > 0 and not titled, tuple(names), articles > 0, linked))
             parts.clear()
         linked = 0
 
     def leave(upto: int) -> None:
-        nonlocal zones, articles, links
+        nonlocal zones, articles, links, headers
         while len(stack) > upto:
             tag, zone, called, article = stack.pop()
             for name in called:
@@ -111,6 +126,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                     del names[name]
             links -= tag == "a"
             zones -= zone
+            headers -= zone and tag == "header"
             articles -= article
 
     for m in TOKEN.finditer(page):
@@ -158,36 +174,35 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         for name in called:
             names[name] = names.get(name, 0) + 1
         zones += zone
+        headers += zone and tag == "header"
         articles += article
         links += tag == "a"
     if at < len(page):
         add(page[at:])
     flush()
-    kept = _wrappers(out)
+    kept = _wrappers(out) | _texts(out)
     return [(text, zone or any(name not in kept for name in called), article, linked) for text, zone, called, article, linked in out]
 
 
-def _runs(size: list[int], least: int, whole: bool) -> list[tuple[int, int]]:
-    """Stretches from a surge to ``least`` up to the dive; ``whole`` ones also begin at a dive, not just at the surge."""
+def _runs(size: list[int], least: int) -> list[tuple[int, int]]:
+    """Stretches from a surge to ``least`` up to the dive."""
     sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     runs: list[tuple[int, int]] = []
     i = 0
     while i < len(sums):
-        if not size[i] or (not whole and sums[i] < least):
+        if not size[i] or sums[i] < least:
             i += 1
             continue
-        j, top = i, 0
+        j = i
         while j < len(sums) and sums[j] > 0:  # until it dives
-            top = max(top, sums[j])
             j += 1
-        if top >= least:  # surge
-            runs.append((i, j))
+        runs.append((i, j))
         i = j
     return runs
 
 
 def main_text(page: str | None) -> str:
-    """The blocks between surges and dives, joined by empty lines."""
+    """The blocks of the article that is marked, or else those between surges and dives, joined by empty lines."""
     found = [(text, article, linked) for text, zone, article, linked in lines(page or "") if not zone]
 
     def lengths(rows: list[tuple[str, bool, int]]) -> list[int]:
@@ -200,12 +215,11 @@ def main_text(page: str | None) -> str:
     if inside:
         size = lengths(inside)
         outside = lengths([row for row in found if not row[1]])
-        largest = max((sum(outside[i:j]) for i, j in _runs(outside, THRESHOLD, False)), default=0)
-        size = size if any(size) else [len(text) for text, _, _ in inside]
-        if largest <= sum(size):
-            return "\n\n".join(inside[k][0] for i, j in _runs(size, least(size), True) for k in range(i, j))
+        largest = max((sum(outside[i:j]) for i, j in _runs(outside, THRESHOLD)), default=0)
+        if largest <= (sum(size) or sum(len(text) for text, _, _ in inside)):  # an article of nothing but links is measured with them
+            return "\n\n".join(text for text, _, _ in inside)
     size = lengths(found)
-    keep = [k for i, j in _runs(size, least(size), False) for k in range(i, j)]
+    keep = [k for i, j in _runs(size, least(size)) for k in range(i, j)]
     while keep and not size[keep[-1]]:  # lines of nothing but links stay inside the text, not at its end
         keep.pop()
     return "\n\n".join(found[k][0] for k in keep)
