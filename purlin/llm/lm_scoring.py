@@ -10,7 +10,7 @@ How it runs: the automaton of the whole corpus is never in one place. Texts are
 (a longer text is a block of its own), and a block is kept as word numbers and the hashes of its words. A block asks
 for the totals of its distinct n-grams and tells its own counts of them in the same message: the n-grams, as 64-bit hashes,
 are dealt over shards, a few million a shard, so the number of shards grows with the corpus. A shard adds up and answers
-every block in the order of its question, so only counts travel back. From these a block builds the parts of the automaton
+every block in the order of its question, so only counts travel back. From these a block builds the part of the automaton
 that its texts can reach. A block sends an n-gram once however often it has it, so
 common words and repeated passages are no hot keys. N and V, two numbers, reach the driver.
 
@@ -41,8 +41,7 @@ from purlin.llm.wordparts import mixed
 ORDER = 3
 PRIORS = (1.0, 1000.0, 4.0)  # of each word at the root; K of the contexts of one word, of two words
 BLOCK_CHARS = 1 << 22
-PART_TOKENS = 1 << 18  # an automaton is built for about so many tokens of a block at a time
-SHARD_KEYS = 2_000_000  # n-grams of all blocks that a shard adds up
+SHARD_KEYS = 3_000_000  # n-grams of all blocks that a shard adds up, at most
 _CONTEXT, _WORD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("totals", pa.binary()), ("known", pa.int64())])
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -62,6 +61,22 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def bits(values: np.ndarray) -> bytes:
+    """Unsigned numbers as bit planes, as many as the largest needs, after their count."""
+    width = int(values.max()).bit_length() if len(values) else 0
+    planes = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+    return len(values).to_bytes(8, "little") + np.packbits(planes.T, axis=1).tobytes()
+
+
+def unbits(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    row = -(-n // 8)
+    planes = np.frombuffer(data[8:], np.uint8).reshape((len(data) - 8) // max(1, row), row)
+    out = np.zeros((n, 64), np.uint8)
+    out[:, : len(planes)] = np.unpackbits(planes, axis=1, count=n).T
+    return np.packbits(out, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def word_hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
@@ -86,10 +101,12 @@ class Grams:
             some = np.flatnonzero(place >= k - 2)
             if k == 2:
                 ahead[first] = size
-            codes, where, back = np.unique(ahead[some] * (size + 1) + tokens[some], return_index=True, return_inverse=True)
+            codes, back = np.unique(ahead[some] * (size + 1) + tokens[some], return_inverse=True)
             self.context.append(codes // (size + 1))
             self.word.append(codes % (size + 1))
-            self.suffix.append(self.at[k - 1][some[where]])
+            suffix = np.empty(len(codes), np.int64)
+            suffix[back] = self.at[k - 1][some]
+            self.suffix.append(suffix)
             at = np.full(len(tokens), -1, np.int64)
             at[some] = back
             self.at.append(at)
@@ -111,60 +128,51 @@ class Grams:
 
 
 class Automaton:
-    """Arcs and failure arcs over the n-grams of a block that end at ``places``, from their totals; state 0 is the root."""
-
-    def __init__(self, grams: Grams, totals: list[np.ndarray], n: int, known: int, priors: tuple[float, ...], places: slice = slice(None)):
-        size, order = grams.size, grams.order
-        base = [0, 1]  # number of the first state of each order
-        for k in range(1, order):
-            base.append(base[-1] + len(totals[k - 1]))
-        self.width = size + 1
-        self.back, self.fall = [np.zeros(1, np.int64)], [np.zeros(1)]
-        self.arcs: dict[int, tuple[int, float]] = {}
+    """Arcs and failure arcs over the n-grams of a block, from their totals.
+
+    A state is a seen n-gram of up to ``order - 1`` words, of order 0 the root; the arc of a seen k-gram leaves the state of its
+    context and leads to its longest suffix that is a state. ``arc[k]`` and ``fall[k]`` hold the weights by the k-gram's number; an
+    arc that isn't there is 1.0, which no logarithm of a probability is.
+    """
+
+    def __init__(self, grams: Grams, totals: list[np.ndarray], n: int, known: int, priors: tuple[float, ...]):
+        size, self.order = grams.size, grams.order
         whole = n + priors[0] * (known + 1)
-        with np.errstate(divide="ignore"):
-            lower = (totals[0][:size] + priors[0]) / whole
-            self.unknown = math.log10(priors[0] / whole)
-            for k in range(1, order + 1):
-                seen = totals[k - 1][: len(grams.word[k])]
-                if k > 1:
-                    outside = totals[k - 2][grams.context[k]]  # what follows the context, ends excepted, is as often as it
-                    lower = (seen + priors[k - 1] * lower[grams.suffix[k]]) / (outside + priors[k - 1])
-                here = np.zeros(len(seen), bool)
-                ends = grams.at[k][places]
-                here[ends[ends >= 0]] = True
-                some = np.flatnonzero(here & (seen > 0))
-                state = base[k - 1] + grams.context[k][some] if k > 1 else np.zeros(len(some), np.int64)
-                to = base[k] + some if k < order else (base[k - 1] + grams.suffix[k][some] if k > 1 else np.zeros(len(some), np.int64))
-                keys = state * self.width + grams.word[k][some]
-                self.arcs.update(zip(keys.tolist(), zip(to.tolist(), np.log10(lower[some]).tolist(), strict=True), strict=True))
-                if k < order:
-                    if k == 1:
-                        self.back.append(np.zeros(size + 1, np.int64))
-                    else:
-                        self.back.append(base[k - 1] + grams.suffix[k])
-                    self.fall.append(np.log10(priors[k] / (totals[k - 1] + priors[k])))
-        self.start = base[1] + size if order > 1 and totals[0][size] else 0
-        self.back, self.fall = np.concatenate(self.back).tolist(), np.concatenate(self.fall).tolist()
-
-    def score(self, words: list[int]) -> float:
-        arcs, back, fall, width, unknown = self.arcs.get, self.back, self.fall, self.width, self.unknown
-        state, total = self.start, 0.0
-        for w in words:
-            arc = arcs(state * width + w)
-            while arc is None and state:
-                total += fall[state]
-                state = back[state]
-                arc = arcs(state * width + w)
-            if arc is None:
+        self.unknown = math.log10(priors[0] / whole)
+        self.arc: list[list[float]] = [[]]
+        self.fall: list[list[float]] = [[]]
+        lower = (totals[0][:size] + priors[0]) / whole
+        for k in range(1, self.order + 1):
+            seen = totals[k - 1][: len(grams.word[k])]
+            if k > 1:
+                outside = totals[k - 2][grams.context[k]]  # what follows the context, ends excepted, is as often as it
+                lower = (seen + priors[k - 1] * lower[grams.suffix[k]]) / (outside + priors[k - 1])
+            self.arc.append(np.where(seen > 0, np.log10(lower), 1.0).tolist())
+            if k < self.order:
+                self.fall.append(np.log10(priors[k] / (totals[k - 1] + priors[k])).tolist())
+        self.start = (size,) if self.order > 1 and totals[0][size] else ()
+
+    def score(self, places: list[tuple[int, ...]]) -> float:
+        """Of a text, from left to right; ``places``: for each word the numbers of the n-grams that end with it, by order."""
+        arc, fall, unknown, longest = self.arc, self.fall, self.unknown, self.order
+        total, before, k = 0.0, self.start, len(self.start) + 1  # k: order of the arc to try from the state
+        for now in places:
+            weight = arc[k][now[k - 1]]
+            while weight > 0.0 and k > 1:
+                k -= 1
+                total += fall[k][before[k - 1]]
+                weight = arc[k][now[k - 1]]
+            if weight > 0.0:
                 total += unknown
             else:
-                state = arc[0]
-                total += arc[1]
+                total += weight
+                if k < longest:
+                    k += 1
+            before = now
         return total
 
 
-def _blocks(schema: pa.Schema, order: int, block_chars: int) -> Callable:
+def _blocks(schema: pa.Schema, block_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -183,7 +191,6 @@ def _blocks(schema: pa.Schema, order: int, block_chars: int) -> Callable:
             inner[np.cumsum(lengths) - 1] = False
             tokens[inner] = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(inner.sum()))
             words = np.fromiter(chain([int(END)], map(hashed.__getitem__, new)), np.uint64, len(new) + 1)
-            grams = Grams(tokens, lengths, len(words), order)
             row = {
                 "block": (part << 33) + seq,
                 "ids": list(ids),
@@ -191,7 +198,7 @@ def _blocks(schema: pa.Schema, order: int, block_chars: int) -> Callable:
                 "lengths": lengths.tolist(),
                 "tokens": packed(tokens),
                 "words": words.astype("<u8").tobytes(),
-                "n_keys": sum(len(w) for w in grams.word[1:]) + 1,
+                "n_tokens": len(tokens),
                 "n_train": int(lengths[~np.array(held, bool)].sum()),
             }
             return pa.RecordBatch.from_pylist([row], schema)
@@ -244,7 +251,7 @@ def _questions(schema: pa.Schema, order: int, shards: tuple[int, int]) -> Callab
                 (row,) = batch.slice(k, 1).to_pylist()
                 grams, words, lengths, held = _opened(row, order)
                 counts = np.concatenate(grams.counts(np.repeat(~held, lengths), int((~held).sum())))
-                out = [(s, packed(np.diff(keys, prepend=np.uint64(0))), packed(counts[which])) for s, which, keys in _dealt(grams.hashes(words), shards)]
+                out = [(s, bits(np.diff(keys, prepend=np.uint64(0))), bits(counts[which])) for s, which, keys in _dealt(grams.hashes(words), shards)]
                 columns = [pa.array([x[j] for x in out], schema.field(j + 1).type) for j in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(out), pa.int64()), *columns], schema=schema)
 
@@ -253,17 +260,17 @@ def _questions(schema: pa.Schema, order: int, shards: tuple[int, int]) -> Callab
 
 def _answers(questions: pa.Table) -> pa.Table:
     """Totals of one shard's n-grams, for every block in the order it asked in."""
-    keys = [np.cumsum(unpacked(k)) for k in questions["keys"].to_pylist()]
+    keys = [np.cumsum(unbits(k)) for k in questions["keys"].to_pylist()]
     found, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(found), np.int64)
-    np.add.at(total, back, np.concatenate([unpacked(c) for c in questions["counts"].to_pylist()]).astype(np.int64))
+    np.add.at(total, back, np.concatenate([unbits(c) for c in questions["counts"].to_pylist()]).astype(np.int64))
     known = [0] * len(keys)
     known[0] = int(np.count_nonzero(total[found != START]))  # of words; the start is none
-    answers = [packed(x) for x in np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])]
+    answers = [bits(x) for x in np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])]
     return pa.table({"block": questions["block"], "shard": questions["shard"], "totals": answers, "known": known}, schema=ANSWER)
 
 
-def _scored(schema: pa.Schema, order: int, shards: tuple[int, int], n: int, known: int, priors: tuple[float, ...], part_tokens: int) -> Callable:
+def _scored(schema: pa.Schema, order: int, shards: tuple[int, int], n: int, known: int, priors: tuple[float, ...]) -> Callable:
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = blocks.to_pylist()
         grams, words, lengths, held = _opened(row, order)
@@ -271,17 +278,15 @@ def _scored(schema: pa.Schema, order: int, shards: tuple[int, int], n: int, know
         totals = np.zeros(sum(map(len, hashes)), np.int64)
         told = dict(zip(answers["shard"].to_pylist(), answers["totals"].to_pylist(), strict=True))
         for s, which, _ in _dealt(hashes, shards):
-            totals[which] = unpacked(told[s])
+            totals[which] = unbits(told[s])
         totals = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
         tokens, first = grams.at[1], np.cumsum(lengths) - lengths
         seen = totals[0][tokens]
         base = np.log10((seen + 1.0) / (n + known + 1))
+        automaton = Automaton(grams, totals, n, known, priors)
         scores = []
-        part = first // part_tokens
-        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part)) + 1):
-            begin, end = first[some[0]], first[some[-1]] + lengths[some[-1]]
-            automaton = Automaton(grams, totals, n, known, priors, slice(begin, end))
-            scores += [automaton.score(tokens[first[i] : first[i] + lengths[i]].tolist()) for i in some.tolist()]
+        for low, high in zip(first.tolist(), (first + lengths).tolist(), strict=True):
+            scores.append(automaton.score(list(zip(*[at[low:high].tolist() for at in grams.at[1:]], strict=True))))
         made = {
             "id": row["ids"],
             "held_out": row["held"],
@@ -305,7 +310,6 @@ def score_texts(
     priors: tuple[float, ...] = PRIORS,
     block_chars: int = BLOCK_CHARS,
     shard_keys: int = SHARD_KEYS,
-    part_tokens: int = PART_TOKENS,
 ) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -318,11 +322,11 @@ def score_texts(
     rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    kind = T._parse_datatype_string(f"block: bigint, ids: array<{id_type}>, held: array<boolean>, lengths: array<bigint>, tokens: binary, words: binary, n_keys: bigint, n_train: bigint")
-    blocks = freeze(rows.mapInArrow(_blocks(to_arrow_schema(kind), order, block_chars), kind), "blocks")
-    size = blocks.agg(F.sum("n_keys").alias("keys"), F.sum("n_train").alias("train"), F.sum(F.octet_length("words")).alias("bytes")).first()
+    kind = T._parse_datatype_string(f"block: bigint, ids: array<{id_type}>, held: array<boolean>, lengths: array<bigint>, tokens: binary, words: binary, n_tokens: bigint, n_train: bigint")
+    blocks = freeze(rows.mapInArrow(_blocks(to_arrow_schema(kind), block_chars), kind), "blocks")
+    size = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("train"), F.sum(F.octet_length("words")).alias("bytes")).first()
     n, words = size["train"] or 0, (size["bytes"] or 0) // 8
-    shards = (1 + words // shard_keys, 1 + max(0, (size["keys"] or 0) - words) // shard_keys)
+    shards = (1 + words // shard_keys, 1 + (order - 1) * (size["tokens"] or 0) // shard_keys)
 
     kind = T._parse_datatype_string("block: bigint, shard: bigint, keys: binary, counts: binary")
     asked = blocks.mapInArrow(_questions(to_arrow_schema(kind), order, shards), kind)
@@ -331,5 +335,5 @@ def score_texts(
 
     kind = T._parse_datatype_string(f"id: {id_type}, held_out: boolean, n_tokens: bigint, n_known: bigint, train_tokens: bigint, base_score: double, score: double")
     told = answers.drop("known").groupBy("block")
-    scored = blocks.drop("n_keys", "n_train").groupBy("block").cogroup(told).applyInArrow(_scored(to_arrow_schema(kind), order, shards, n, known, priors, part_tokens), kind)
+    scored = blocks.drop("n_tokens", "n_train").groupBy("block").cogroup(told).applyInArrow(_scored(to_arrow_schema(kind), order, shards, n, known, priors), kind)
     return scored.withColumnRenamed("id", id_col)
