@@ -10,8 +10,8 @@ Training maximises the likelihood of word labels (a word has its document's lang
 ascent in numpy on a bounded sample of documents per language; half of the training chains splice pieces of several
 languages, from which the transitions are learned. Scoring is one lookup a word and ``2 * CHAIN`` array steps a block.
 
-The languages learned are the ``MAX_LANGS`` commonest of the training rows, from at most ``2 * PER_LANG`` documents each of
-at most ``training.LONGEST`` characters.
+Every language of the training rows is learned, from at most ``2 * PER_LANG`` documents each, whole texts of
+``training.MOST_CHARS`` characters together. The more languages, the fewer buckets (``CELLS`` weights at most) and the more rounds.
 
 Defined results: null text, or text without letters (``str.isalpha``), is ``und`` with score 0; languages tie in
 alphabetical order; without any learned language everything is ``und``; repeated rows are labelled alike; an empty table
@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from purlin.llm.common import Memo, id_crc, quoted, ship, uniform
-from purlin.llm.training import LONGEST
+from purlin.llm.training import MOST_CHARS, within
 
 BUCKETS = 1 << 16
 CHAIN = 64
 PER_LANG = 400  # documents of each language that reach the driver
-MAX_LANGS = 200
+CELLS = 1 << 24  # weights of a model: buckets by languages
 LEXICON = 200
 PIECE = 100  # characters of a long word at a time
 UNKNOWN = "und"
@@ -107,7 +107,7 @@ class LanguageModel:
         self.langs, self.weights, self.transition, self.lexicons = langs, weights, transition, lexicons
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], rounds: int = 260, chains: int = 160, steps: int = 32, rate: float = 0.4, seed: int = 9) -> LanguageModel:
+    def fit(cls, texts: list[str], labels: list[str], rounds: int | None = None, chains: int = 160, steps: int = 32, rate: float = 0.4, seed: int = 9) -> LanguageModel:
         langs = sorted(set(labels))
         by = {g: [w for t, x in zip(texts, labels, strict=True) if x == g for w in map(normal, t.split()) if w] for g in langs}
         by = {g: ws for g, ws in by.items() if ws}
@@ -116,13 +116,15 @@ class LanguageModel:
         for g in langs:
             for w, _ in sorted(Counter(by[g]).items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
                 lexicons.setdefault(w, []).append(g)
-        weights, transition = np.zeros((BUCKETS, max(1, len(langs)))), np.zeros((len(langs), len(langs)))
+        buckets = min(BUCKETS, 1 << max(8, (CELLS // max(1, len(langs))).bit_length() - 1))
+        rounds = rounds or 260 * max(1, -(-len(langs) // 50))  # so that every language is drawn often enough
+        weights, transition = np.zeros((buckets, max(1, len(langs)))), np.zeros((len(langs), len(langs)))
         if not langs:
             return cls(langs, weights, transition, lexicons)
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
         coded = {g: np.array([index.setdefault(w, len(index)) for w in by[g]]) for g in langs}
-        parts = [np.array(features(w, lexicons), np.int64) for w in index]
+        parts = [np.array(features(w, lexicons), np.int64) % buckets for w in index]
         size = np.array([len(p) for p in parts])
         begin, flat = np.cumsum(size) - size, np.concatenate(parts)
         squares, move_squares = np.full(weights.shape, 1e-2), np.full(transition.shape, 1.0)
@@ -188,7 +190,7 @@ class LanguageModel:
             if new:
                 parts = [features(w, self.lexicons) for w in new]
                 first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-                flat = np.fromiter((b for p in parts for b in p), np.int64)
+                flat = np.fromiter((b for p in parts for b in p), np.int64) % len(self.weights)
                 table[len(rows) - len(new) : len(rows)] = np.add.reduceat(self.weights[flat], first, axis=0)
 
         def label(texts: list[str] | list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -256,21 +258,26 @@ class LanguageModel:
         return predict
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, remainder: int = 2) -> LanguageModel:
-    """A model from about ``per_lang`` documents of each of the ``MAX_LANGS`` commonest languages, none held out."""
+def labelled_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, remainder: int = 2, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
+    """(text, language) of about ``per_lang`` documents of every language, none held out; whole texts of ``most_chars`` together."""
     known = docs.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text"))
-    known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.pmod(id_crc(F.col("id")), F.lit(modulus)) != remainder))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS)
+    known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.pmod(id_crc(F.col("id")), F.lit(modulus)) != remainder))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rows = (
-        known.join(F.broadcast(counts), "lang")  # MAX_LANGS rows
-        .where((uniform(F.col("id"), 23) < per_lang / F.col("n")) & (F.length("text") <= LONGEST))
-        .withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(uniform(F.col("id"), 23), "id", F.xxhash64("text"))))
+        known.join(counts, "lang")
+        .withColumn("draw", uniform(F.col("id"), 23))
+        .where(F.col("draw") < per_lang / F.col("n"))
+        .withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", F.xxhash64("text"))))
         .where(F.col("turn") <= 2 * per_lang)
-        .select("id", "lang", "text")
-        .collect()
+        .select("id", "lang", "text", "draw", "turn")
     )
-    rows = sorted((r["id"], r["lang"], r["text"]) for r in rows)
-    return LanguageModel.fit([r[2] for r in rows], [r[1] for r in rows])
+    rows = within(rows, "text", ["draw", "id", "turn"], "lang", most_chars, "languages").select("id", "lang", "text").collect()
+    return [(text, lang) for _, lang, text in sorted((r["id"], r["lang"], r["text"]) for r in rows)]
+
+
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, modulus: int = 4, remainder: int = 2) -> LanguageModel:
+    rows = labelled_texts(docs, id_col, text_col, lang_col, per_lang, modulus, remainder)
+    return LanguageModel.fit([text for text, _ in rows], [lang for _, lang in rows])
 
 
 def language_column(spark: SparkSession, model: LanguageModel, text: Column) -> Column:

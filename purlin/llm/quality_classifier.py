@@ -3,8 +3,8 @@
 Every word has hashed vectors for itself and its character n-grams, averaged; a document is the average of its
 words' vectors and of one more vector for each word that repeats the one before it; a softmax output gives the
 probability of label 1. The vectors and the output layer are trained together by stochastic gradient descent in
-numpy, on a bounded sample of labelled rows (``training.PER_CLASS`` of each label, of at most ``training.LONGEST``
-characters each), and the sample's class balance is put right in the intercept.
+numpy, on a bounded sample of labelled rows (``training.PER_CLASS`` of each label, whole texts of
+``training.MOST_CHARS`` characters together), and the sample's class balance is put right in the intercept.
 
 With two classes the output is linear in the average, so for scoring each hashed vector shrinks to one number and
 each word to their mean. Texts are scored in blocks: new words are hashed together, then a text is a sum over its

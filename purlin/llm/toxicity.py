@@ -3,8 +3,8 @@
 The log odds are a sum over a text's distinct word parts; a part is the word itself, one of its prefixes or one of its
 character n-grams (hashed), and counts by the logarithm of its share of the words. Only buckets whose log likelihood
 ratio shows that they go with label 1 get a weight, and none below zero, so long texts gather no noise. Training is
-stochastic gradient descent in numpy on a bounded sample of labelled rows (``training.PER_CLASS`` of each label, of at
-most ``training.LONGEST`` characters each).
+stochastic gradient descent in numpy on a bounded sample of labelled rows (``training.PER_CLASS`` of each label,
+whole texts of ``training.MOST_CHARS`` characters together).
 
 Counterfactual part: of every labelled text there are ``VARIANTS`` others in which every identity term has given place
 to a drawn term of its group; where a text has none, one of its words without weight gives place to a drawn term. The

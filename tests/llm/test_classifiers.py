@@ -261,3 +261,31 @@ def test_long_texts_are_labelled_in_pieces_alike():
     want = model.predictor()([long, "", texts[0]])
     got = model.predictor(cells=3 * lid.CHAIN)([long, "", texts[0]])
     assert [g[0] for g in got] == [g[0] for g in want] and np.allclose([g[1] for g in got], [g[1] for g in want])
+
+
+def test_long_labelled_texts_are_learned_from(spark, docs_of):
+    from purlin.llm.training import labelled_sample, not_held_out
+
+    long = "splendid " * 7_000  # 63,000 characters
+    rows = [(i, f"plain words {i}") for i in range(40)] + [(100, long), (101, long + "fine")]
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(100, 1), (101, 1)], "doc_id long, quality int")
+    texts, marks, _ = labelled_sample(docs_of(rows), labels, "quality", not_held_out(1, 5))
+    assert sum(marks) == 2 and long in texts
+    few, _, _ = labelled_sample(docs_of(rows), labels, "quality", not_held_out(1, 5), most_chars=1000)
+    assert long not in few and 20 < len(few) and sum(map(len, few)) <= 1000
+
+
+def test_no_language_is_left_out(spark, docs_of):
+    import random
+
+    from purlin.llm.language_id import LanguageModel, labelled_texts
+
+    rng = random.Random(1)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(250)}
+    rows = [(10 * k + j, " ".join(rng.choices(own, k=30)), lang) for k, (lang, own) in enumerate(words.items()) for j in range(6)]
+    rows.append((5000, "verylongword " * 9_000, "l000"))
+    found = labelled_texts(docs_of(rows), modulus=1, remainder=5)
+    assert {lang for _, lang in found} == set(words) and max(len(t) for t, _ in found) > 100_000
+    model = LanguageModel.fit([t[:400] for t, _ in found], [lang for _, lang in found], rounds=70)
+    predicted = model.predictor()([" ".join(rng.choices(own, k=30)) for own in words.values()])
+    assert [lang for lang, _ in predicted] == list(words)
