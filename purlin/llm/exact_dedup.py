@@ -6,7 +6,8 @@ text in full with its neighbour and hands every row of a run its keeper and its
 
 A text with more than a quarter of a partition's fair share of rows is hot. Those texts are found first by an exact
 count per digest with map-side combining (at most four a partition can exist, which bounds the broadcast), and their
-rows get a salt made from the id, so a run of any length is spread over the partitions.
+rows get a salt made from the id, so a run of any length is spread over the partitions. One row of each hot text goes along
+with every salt: a run is compared with it in full like with any neighbour, and takes the whole text's keeper and size only if equal.
 
 Defined results: null text counts as empty; null ids lose to others; of rows with equal text and equal id one row
 is kept; an empty table gives an empty result; other columns pass through whatever their names.
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purlin.llm.common import numbered, partitions, renamed_back
+from purlin.llm.common import freeze, numbered, partitions, renamed_back
 
 HEAD = 24
 
@@ -31,29 +32,37 @@ def _runs(rows: DataFrame, id_: str, text: Column, keep: str) -> DataFrame:
     total = rows.count()
     hot_rows = max(16, total // (4 * parts))
     rows = rows.withColumn("__sha", F.sha2(text.cast("binary"), 256))
-    hot = (
+    hot = freeze(
         rows.groupBy("__sha")
         .agg(F.count(F.lit(1)).alias("__hot_size"), best(id_).alias("__hot_keep"))
-        .where(F.col("__hot_size") > hot_rows)
+        .where(F.col("__hot_size") > hot_rows),
+        "hot",
     )
+    rows = rows.withColumn("__text", text)
+    one = rows.join(F.broadcast(hot.select("__sha")), "__sha", "left_semi").groupBy("__sha").agg(F.first("__text").alias("__text"))
+    one = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("__salt"), F.lit(True).alias("__one"))
     rows = rows.join(F.broadcast(hot), "__sha", "left")
     salt = F.when(F.col("__hot_size").isNotNull(), F.pmod(F.xxhash64(id_), F.lit(parts))).otherwise(F.lit(0))
-    rows = rows.withColumns({"__head": F.substring(text, 1, HEAD), "__salt": salt})
+    rows = rows.withColumns({"__salt": salt, "__one": F.lit(False)}).unionByName(one, allowMissingColumns=True)
+    rows = rows.withColumn("__head", F.substring("__text", 1, HEAD))
+    text = F.col("__text")
     dealt = rows.repartitionByRange("__head", "__sha", "__salt")
     run = Window.partitionBy("__head", "__sha", "__salt", text)
-    ordered = run.orderBy(order)
+    ordered = run.orderBy("__one", order)
     return (
         dealt.withColumns(
             {
                 "__rank": F.row_number().over(ordered),
                 "__first": F.first(id_).over(ordered),
-                "__len": F.count(F.lit(1)).over(run),
+                "__len": F.count(F.when(~F.col("__one"), 1)).over(run),
+                "__equal": F.max("__one").over(run),
             }
         )
+        .where(~F.col("__one"))
         .withColumns(
             {
-                "__keep": F.when(F.col("__hot_size").isNull(), F.col("__first")).otherwise(F.col("__hot_keep")),
-                "__size": F.coalesce("__hot_size", "__len"),
+                "__keep": F.when(F.col("__equal"), F.col("__hot_keep")).otherwise(F.col("__first")),
+                "__size": F.when(F.col("__equal"), F.col("__hot_size")).otherwise(F.col("__len")),
             }
         )
         .withColumn("__kept", (F.col("__rank") == 1) & F.col(id_).eqNullSafe(F.col("__keep")))

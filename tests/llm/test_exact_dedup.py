@@ -52,3 +52,15 @@ def test_normaliser(docs_of):
 
     got = exact_dedup(docs_of([(1, "A b"), (2, "a B")]), normalise=F.lower).collect()
     assert {r.keep_id for r in got} == {1} and {r.group_size for r in got} == {2}
+
+
+def test_hot_texts_with_long_heads_nulls_and_no_python(spark, docs_of):
+    long = "é" * 80_000
+    rows = [(i if i % 7 else None, (long, "", None, f"t{i % 90}")[i % 4]) for i in range(700)] + [(5, long)] * 3
+    for largest in (True, False):
+        got = exact_dedup(docs_of(rows), keep="largest" if largest else "smallest")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got.collect()), key=repr) == brute(rows, largest)
+        assert got.where("kept").count() == len({t or "" for _, t in rows})
+    assert sorted(drop_copies(docs_of(rows)).toPandas()["text"].fillna("").unique()) == sorted({t or "" for _, t in rows})
