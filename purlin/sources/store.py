@@ -140,3 +140,22 @@ def _clear() -> None:
             files.delete("")
         except Exception:  # the session may have ended before
             pass
+
+
+class Scratch:
+    """Tables of one computation, written to cut their lineage: a lost executor costs tasks, not the way here."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self._n = spark, scratch(spark, name), 0
+
+    def freeze(self, frame: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self.root}/{self._n}"
+        frame.write.parquet(path)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        out._purlin_name = str(self._n)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for f in frames:
+            Files(self.spark, self.root).delete(f._purlin_name)
