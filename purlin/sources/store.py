@@ -53,6 +53,15 @@ class Files:
     def names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self.exists(folder) else []
 
+    def below(self) -> list[tuple[str, int, int]]:
+        """(address, bytes, time of modification in ms) of every file below the root but hidden ones."""
+        out, found = [], self._fs.listFiles(self._path(""), True)
+        while found.hasNext():
+            status = found.next()
+            if status.getPath().getName()[0] not in "._":
+                out.append((status.getPath().toUri().toString(), status.getLen(), status.getModificationTime()))
+        return sorted(out)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
