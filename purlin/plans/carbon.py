@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purlin.operators import carbon as ops
+from purlin.operators import carbon_report
 from purlin.operators.carbon_runs import RunStore
 from purlin.plans.registry import Registry
+from purlin.sources import reports
 from purlin.sources.store import scratch
 from purlin.sources.views import read_view
 
@@ -292,4 +294,27 @@ def carbon_run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _dimension(name: str, c: str) -> str:
+    return f"select 'breakdown:{name}' as section, coalesce(nullif({c}, ''), 'unknown') as key, {SUM.format(c='carbon_kgco2e')} as value from {{results}} group by 2"
+
+
+@R.operator(
+    "carbon_report_csv",
+    f"""select section, key, {R4('value')} from (
+        {" union all ".join(_dimension(n, c) for n, c in carbon_report.DIMENSIONS.items())}
+        union all select 'data_quality', k, cast(count(r.element_id) as double) from (select unnest({list(carbon_report.QUALITY)}) as k, unnest({list(carbon_report.QUALITY.values())}) as s) q left join {{results}} r on r.calculation_status = q.s group by k
+        union all select 'summary', 'total_evaluated_elements', cast(count(distinct element_id) as double) from {{results}}
+        union all select 'top_contributor', element_id, carbon_kgco2e from (select element_id, carbon_kgco2e from {{results}} where carbon_kgco2e is not null order by carbon_kgco2e desc, element_id, material_use_id limit 25) t) x""",
+    **MORE,
+)
+def carbon_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the report over all results, as they stand in its CSV file."""
+    path = scratch(spark, "report")
+    reports.write_csv(carbon_report.report_sections(results(spark, sf_dir), {"id": "r1"}), path, carbon_report.FIELDS)
+    fields = "section string, " + ", ".join(f"{c} string" for c in carbon_report.FIELDS)
+    lines = spark.read.schema(fields).option("escape", '"').csv([f"{path}/{p}" for p in reports.parts_in_order(spark, path)])
+    kept = lines.where("section like 'breakdown:%' or section in ('data_quality', 'top_contributor') or (section = 'summary' and key = 'total_evaluated_elements')")
+    return kept.select("section", F.coalesce("key", "element_id").alias("key"), F.coalesce("value", "kgco2e").cast("double").alias("value")).selectExpr("section", "key", R4("value"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.oracles
