@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from purlin.functions import answers, clauses
+from purlin.functions.text import heading
 from purlin.operators import chunking, registry, retrieval
 
 
@@ -19,12 +20,16 @@ def test_clause_numbers():
     assert clauses.canonical("- 1 - 2 - 20", "20") == "20-1-2" and clauses.canonical("3-4", "20") is None and clauses.canonical("20", "20") is None
 
 
-def test_decimals_need_a_unit():
-    assert clauses.decimal_aliases("ارتفاع ۳۸/۰ متر و ۵/۲ متر بر ثانیه") == [("38/0", "0.38", "متر"), ("5/2", "2.5", "متر")]
-    assert clauses.decimal_aliases("در ۱۳۹۹/۵/۲ و ۳/۴") == []
+def decimals(spark, text):
+    return [tuple(d) for d in one(spark, clauses.slash_decimals(F.lit(clauses.normalised(text))))]
 
 
-def test_blocks_pieces_and_tables():
+def test_decimals_need_a_unit(spark):
+    assert decimals(spark, "ارتفاع ۳۸/۰ متر و ۵/۲ متر بر ثانیه") == [("38/0", "0.38", "متر"), ("5/2", "2.5", "متر")]
+    assert decimals(spark, "در ۱۳۹۹/۵/۲ و ۳/۴") == []
+
+
+def test_blocks_pieces_and_tables(spark):
     text = "para one\ngoes on\n\n- item a\nwrapped\n- item b\nب- ج"
     assert clauses.blocks(text) == ["para one goes on", "- item a wrapped", "- item b", "ب- ج"]
     assert clauses.pieces(text, 20) == ["para one goes on", "- item a wrapped", "- item b\nب- ج"]
@@ -34,8 +39,9 @@ def test_blocks_pieces_and_tables():
     assert clauses.table_parts(rows, 60) == ["Table columns: 1=Size | 2=Column 2\nTable row 1: Size=10 | Column 2=x", "Table columns: 1=Size | 2=Column 2\nTable row 2: Size=20"]
     assert clauses.table_section([["A1", "2.5"], ["B2", ""]], [("9-1", "has A1"), ("9-2", "has B2 and 2.5"), ("9-3", "B2 and 2.5")]) == "9-2"
     assert clauses.is_grid(rows) and not clauses.is_grid([["a", "b"]])
-    assert clauses.printed_page("12\ntext\n7", 9, 20) == 7 and clauses.printed_page("text", 9, 20) == 0
-    assert clauses.heading("\n 9-2-1 - Scope \nmore", True) == "Scope"
+    page = lambda text: one(spark, clauses.printed_page(F.lit(text), F.lit(9), F.lit(20)))
+    assert page("12\ntext\n7") == 7 and page("text") == 0
+    assert clauses.first_line("\n 9-2-1 - Scope \nmore") == "9-2-1 - Scope" and one(spark, heading(F.lit("\n 9-2-1 - Scope \nmore"))) == "Scope"
 
 
 @pytest.fixture(scope="module")
