@@ -29,12 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from purlin.llm.common import Memo, id_crc, quoted, ship, uniform
+from purlin.llm.common import Memo, freeze, id_crc, quoted, ship, uniform
 from purlin.llm.training import MOST_CHARS, within
 
 BUCKETS = 1 << 16
 CHAIN = 64
 PER_LANG = 400  # documents of each language that reach the driver
+BROADCAST_LANGS = 10_000  # a count for each is broadcast; more are joined
 CELLS = 1 << 24  # weights of a model: buckets by languages
 LEXICON = 200
 PIECE = 100  # characters of a long word at a time
@@ -262,9 +263,10 @@ def labelled_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(text, language) of about ``per_lang`` documents of every language, none held out; whole texts of ``most_chars`` together."""
     known = docs.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.pmod(id_crc(F.col("id")), F.lit(modulus)) != remainder))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = freeze(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    few = counts.count() <= BROADCAST_LANGS
     rows = (
-        known.join(counts, "lang")
+        known.join(F.broadcast(counts) if few else counts, "lang")
         .withColumn("draw", uniform(F.col("id"), 23))
         .where(F.col("draw") < per_lang / F.col("n"))
         .withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", F.xxhash64("text"))))
