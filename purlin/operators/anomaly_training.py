@@ -228,7 +228,7 @@ class Trainer:
         total = summed(decoded.where("sums is not null").select("sums").unionByName(encoded))
         structural = links.agg(F.sum("loss")).first()[0] or 0.0
         tables.drop(z, links, decoded)
-        loss = {"loss": config.alpha * total[0] + config.beta * structural, "feature_loss": float(total[0]), "structural_loss": structural}
+        loss = {"loss": config.alpha * float(total[0]) + config.beta * structural, "feature_loss": float(total[0]), "structural_loss": structural}
         return loss, shaped(total[1:], weights)
 
     def train(self, weights: Weights | None = None, log: Callable[[dict[str, float]], None] | None = None) -> tuple[Weights, list[dict[str, float]]]:

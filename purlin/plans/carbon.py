@@ -12,7 +12,7 @@ from purlin.operators import carbon_report
 from purlin.operators.carbon_runs import RunStore
 from purlin.plans.registry import Registry
 from purlin.sources import reports
-from purlin.sources.store import scratch
+from purlin.sources.store import Scratch, scratch
 from purlin.sources.views import read_view
 
 R = Registry()
@@ -310,7 +310,8 @@ def _dimension(name: str, c: str) -> str:
 def carbon_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the report over all results, as they stand in its CSV file."""
     path = scratch(spark, "report")
-    reports.write_csv(carbon_report.report_sections(results(spark, sf_dir), {"id": "r1"}), path, carbon_report.FIELDS)
+    stored = Scratch(spark, "results").freeze(results(spark, sf_dir))  # as a run's results are; every section reads them
+    reports.write_csv(carbon_report.report_sections(stored, {"id": "r1"}), path, carbon_report.FIELDS)
     fields = "section string, " + ", ".join(f"{c} string" for c in carbon_report.FIELDS)
     lines = spark.read.schema(fields).option("escape", '"').csv([f"{path}/{p}" for p in reports.parts_in_order(spark, path)])
     kept = lines.where("section like 'breakdown:%' or section in ('data_quality', 'top_contributor') or (section = 'summary' and key = 'total_evaluated_elements')")

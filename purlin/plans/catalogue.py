@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from purlin.plans import answers, carbon, documents, graph, pages, retrieval, streams
+from purlin.plans import answers, carbon, documents, files, graph, pages, retrieval, streams
 
-_PARTS = (graph, carbon, retrieval, documents, answers, pages, streams)
+_PARTS = (graph, carbon, retrieval, documents, answers, pages, files, streams)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
