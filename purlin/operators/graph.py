@@ -145,6 +145,15 @@ def ranked_scores(scores: DataFrame, threshold: float, blocks: int = 64) -> Data
     return out.withColumn("rank", F.col("__n") + F.col("__before")).withColumn("is_anomaly", F.col("score") >= threshold).drop("__part", "__n", "__size", "__before")
 
 
+def placed(frame: DataFrame, order: list[Column], name: str, blocks: int = 64) -> DataFrame:
+    """``frame`` with each row's place in a total order, from 1: sorted ranges are counted, then numbered, so no task sees all rows."""
+    parts = frame.repartitionByRange(blocks, *order).withColumn("__part", F.spark_partition_id())
+    numbered = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # ``blocks`` rows
+    return numbered.join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__size", "__before")
+
+
 def combined(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Several graphs as one: ids are set apart by the graph's name. At least one graph."""
     apart = lambda c, g: F.concat(F.lit(f"{g}::"), F.col(c)).alias(c)

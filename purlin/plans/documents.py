@@ -117,8 +117,12 @@ RECENT, SUMMARY = 4, 400
 def conversation_recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_view(spark, sf_dir, "conversations")
     ranked = turns.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc())))
-    line = F.when(F.col("rn") > RECENT, F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))
-    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"])
+    # of the older turns only those that can reach the summary's last characters are collected
+    line = F.concat("role", F.lit(": "), "text")
+    newer = Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("after", F.coalesce(F.sum(F.when(F.col("rn") > RECENT, F.length(line) + 1)).over(newer), F.lit(0)))
+    kept = F.when((F.col("rn") > RECENT) & (F.col("after") < SUMMARY), F.struct("turn", line.alias("t")))
+    lines = F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["t"])
     return ranked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.count(F.when(F.col("rn") <= RECENT, 1)).alias("recent"), F.right(F.array_join(lines, "\n"), F.lit(SUMMARY)).alias("summary"))
 
 

@@ -11,7 +11,7 @@ from purlin.operators.spatial import IGNORED_TYPE_PAIRS, ISSUES_SQL, clash_pairs
 from purlin.plans import planner as plans
 from purlin.plans.registry import Registry
 from purlin.sources import graph_csv as csv
-from purlin.sources.views import read_view
+from purlin.sources.views import read_view, run_sql
 
 R = Registry()
 EDGE_TYPES = ["AGGREGATES", "CONTAINS", "BOUNDS", "PORT_OF"]
@@ -319,11 +319,19 @@ R.sql(
     f"select r.metric, a.id as element_a_id, coalesce(a.ifc_guid, a.id) as element_a_guid, b.id as element_b_id, coalesce(b.ifc_guid, b.id) as element_b_guid from {ENDS} order by r.metric desc nulls first, a.id, b.id limit 250",
     **WITH_ISSUES,
 )
-R.sql(
+@R.operator(
     "issue_client_sorts",
     f"select a_id, b_id, metric, worst, source_place from (select r.a_id, r.b_id, r.metric, cast(row_number() over (order by coalesce(r.metric, -1e308) desc, r.a_id, r.b_id) as int) as worst, cast(row_number() over (order by a.source_file_id, b.source_file_id, r.a_id, r.b_id) as int) as source_place from {ENDS}) s where worst <= 300 or source_place <= 300",
-    **WITH_ISSUES,
+    issues=ISSUES_SQL,
 )
+def issue_client_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 300 of both orders, worst first and by file; places come from counted ranges."""
+    rows = run_sql(spark, sf_dir, f"select r.a_id, r.b_id, r.metric, a.source_file_id as file_a, b.source_file_id as file_b from {ENDS}", issues=issues(spark, sf_dir))
+    worst = ops.placed(rows, [F.coalesce("metric", F.lit(-1e308)).desc(), F.col("a_id"), F.col("b_id")], "worst")
+    both = ops.placed(worst, [F.col(c) for c in ("file_a", "file_b", "a_id", "b_id")], "source_place")
+    return both.where("worst <= 300 or source_place <= 300").select("a_id", "b_id", "metric", F.col("worst").cast("int").alias("worst"), F.col("source_place").cast("int").alias("source_place"))
+
+
 R.sql("issues_by_type_filter", "select issue as issue_type, a_id, b_id, metric from {issues} where issue = 'CLEARANCE_VIOLATION' order by metric desc nulls first, a_id, b_id limit 500", **WITH_ISSUES)
 R.sql("run_summary_by_type", f"select a.ifc_type as type_a, b.ifc_type as type_b, r.issue, count(*) as n, cast(sum(case when r.cross_file then 1 else 0 end) as bigint) as cross_file from {ENDS} group by a.ifc_type, b.ifc_type, r.issue", **WITH_ISSUES)
 R.sql("ignored_type_pairs", "select a.ifc_type as type_a, b.ifc_type as type_b from (select distinct ifc_type from {elements}) a, (select distinct ifc_type from {elements}) b where concat(least(a.ifc_type, b.ifc_type), '|', greatest(a.ifc_type, b.ifc_type)) in (" + ", ".join("'" + "|".join(sorted(p)) + "'" for p in IGNORED_TYPE_PAIRS) + ")")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purlin.operators import retrieval as ops
+from purlin.operators.graph import placed
 from purlin.plans.registry import Registry
 from purlin.sources.views import read_view, run_sql
 
@@ -180,5 +181,12 @@ R.oracles["context_packing"] = "WITH RECURSIVE items AS (" + ITEMS.replace("{doc
 R.sql("chunks_by_request_order", "select r.pos, d.doc_id, d.lang from (select vec_id * 3 % 1000 as doc_id, vec_id as pos from {embeddings} where label is not null) r join {documents} d on r.doc_id = d.doc_id")
 R.sql("domain_scan", "select doc_id, case when lower(trim(source)) in ('src1', 'src2', 'src3') then lower(trim(source)) else 'regulation' end as domain from (select doc_id, source from {documents} order by doc_id limit 5000) d where case when lower(trim(source)) in ('src1', 'src2', 'src3') then lower(trim(source)) else 'regulation' end in ('regulation', 'src1')")
 R.sql("toc_exclusion", "select count(*) as chunks, sum(case when is_toc then 1 else 0 end) as left_out from (select doc_id % 83 = 0 as is_toc from {documents}) d".replace("sum(case when is_toc then 1 else 0 end)", "cast(sum(case when is_toc then 1 else 0 end) as bigint)"))
-R.sql("document_order", "select doc_id, cast(row_number() over (order by source, n_chars, doc_id) as bigint) as place from {documents}")
+
+
+@R.operator("document_order", "select doc_id, cast(row_number() over (order by source, n_chars, doc_id) as bigint) as place from {documents}")
+def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_view(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return placed(rows, [F.col("source"), F.col("n_chars"), F.col("doc_id")], "place").select("doc_id", "place")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.oracles
