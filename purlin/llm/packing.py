@@ -10,7 +10,7 @@
 Rows with one key (copies) are split by row number, so no key fills a partition. Each row is cut by itself.
 
 Defined results: null text is empty; an empty text is its end id alone; repeated rows are packed as often as they
-occur; an empty table gives no pieces; other columns are ignored, or carried when named in ``carry``.
+occur; an empty table gives no pieces; other columns are ignored, or carried when named in ``carry``; to carry one with the name of a result's column is an error.
 """
 
 from __future__ import annotations
@@ -174,6 +174,8 @@ def pack(
     spark = docs.sparkSession
     ship(spark)
     kept = [id_col] + [c for c in carry or [] if c != id_col]
+    if clash := sorted({"start", "length", "doc_tokens", "sequence_id", "offset", "ids"}.intersection(kept)):
+        raise ValueError(f"columns of the result can't be carried: {clash}")
     rows, names = numbered(docs, kept + ([] if text_col in kept else [text_col]))
     rows = rows.withColumn("__text", F.col(names[text_col]))
     if text_col not in kept:

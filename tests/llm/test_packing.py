@@ -80,3 +80,10 @@ def test_alike_documents_are_neighbours(docs_of):
     order = list(dict.fromkeys(p.doc_id % 2 for p in pieces)), [p.doc_id % 2 for p in pieces]
     changes = sum(a != b for a, b in zip(order[1], order[1][1:], strict=False))
     assert changes < len(rows) / 2
+
+
+def test_null_ids_and_clashing_names(docs_of):
+    pieces = pack(docs_of([(None, "a b"), (None, None), (1, "c")]), tokenizer_path(), carry=["kept"]).collect()
+    assert sorted((r.doc_id is None, r.doc_tokens) for r in pieces) == [(False, 2), (True, 1), (True, 3)] and all(r.kept for r in pieces)
+    with pytest.raises(ValueError):
+        pack(docs_of([(1, "c")]).withColumnRenamed("kept", "ids"), tokenizer_path(), carry=["ids"])
