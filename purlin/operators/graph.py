@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purlin.operators.spatial import clash_pairs, in_scope
+from purlin.operators.spatial import clash_pairs, in_scope, worst_issues
 
 
 def both_directions(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -72,20 +72,29 @@ def issue_listing(
 ) -> DataFrame:
     """The worst issues with both ends' identity. Project and files hold for both ends, so they are applied before the
     join; storeys and types for either end. An empty filter means all."""
-    ends = clash_pairs(in_scope(elements, project, files), carry=["ifc_guid", "ifc_type", "storey_name", "source_file_id"])
     either = lambda c, values: F.coalesce(F.col(f"a_{c}").isin(values), F.lit(False)) | F.coalesce(F.col(f"b_{c}").isin(values), F.lit(False))
-    if issue:
-        ends = ends.where(F.col("issue") == issue)
+    wanted = F.col("issue") == issue if issue else F.lit(True)
     if storeys:
-        ends = ends.where(either("storey_name", storeys))
+        wanted = wanted & either("storey_name", storeys)
     if types:
-        ends = ends.where(either("ifc_type", types))
-    worst = ends.orderBy(F.col("metric").desc_nulls_first(), "a_id", "b_id").limit(limit)
+        wanted = wanted & either("ifc_type", types)
+    worst = worst_issues(in_scope(elements, project, files), limit, ["ifc_guid", "ifc_type", "storey_name", "source_file_id"], wanted, only_clashes=issue == "CLASH")
     crossing = F.coalesce("cross_file", F.col("a_source_file_id") != F.col("b_source_file_id"), F.lit(False))
     of = lambda x: [F.col(f"{x}_id").alias(f"element_{x}_id"), F.coalesce(f"{x}_ifc_guid", f"{x}_id").alias(f"element_{x}_guid"), F.col(f"{x}_ifc_type").alias(f"element_{x}_type"), F.col(f"{x}_storey_name").alias(f"element_{x}_storey")]
     return worst.select(F.col("issue").alias("issue_type"), "metric", *of("a"), *of("b"), crossing.alias("is_cross_file"), F.when(crossing, "CROSS-FILE").otherwise("INTRA-FILE").alias("relation_scope"))
 
 
+def issues_around(elements: DataFrame, match: Column) -> DataFrame:
+    """Issues of the elements that ``match``, from each such end: issue, metric, and id, ifc_guid, name, ifc_type and storey_name of
+    this end as e_... and of the other as o_...."""
+    columns = ["ifc_guid", "name", "ifc_type", "storey_name"]
+    marked = elements.withColumn("__match", F.coalesce(match, F.lit(False)))
+    found = clash_pairs(marked, carry=[*columns, "__match"], among=F.col("__match"))
+    ends = lambda x, y: F.struct(*[F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in ((x, "e"), (y, "o")) for c in ("id", *columns)], F.col(f"{x}___match").alias("match"))
+    turned = found.select("issue", "metric", F.explode(F.when(F.col("a_id") != F.col("b_id"), F.array(ends("a", "b"), ends("b", "a"))).otherwise(F.array(ends("a", "b")))).alias("x"))
+    return turned.select("issue", "metric", "x.*").where("match").drop("match")
+
+
 def load_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, raw edges, edges that load (both ends exist, each once) and edges that don't."""
     loaded = attached(edges, nodes).select("source_id", "target_id", "rel_type").dropDuplicates()
