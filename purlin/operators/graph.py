@@ -84,6 +84,12 @@ def issue_listing(
     return worst.select(F.col("issue").alias("issue_type"), "metric", *of("a"), *of("b"), crossing.alias("is_cross_file"), F.when(crossing, "CROSS-FILE").otherwise("INTRA-FILE").alias("relation_scope"))
 
 
+def typed_issues(elements: DataFrame, one: str, two: str, k: int) -> DataFrame:
+    """The k worst issues between two types, with both ends' identity as a_... and b_...; elements of other types aren't joined."""
+    wanted = ((F.col("a_ifc_type") == one) & (F.col("b_ifc_type") == two)) | ((F.col("a_ifc_type") == two) & (F.col("b_ifc_type") == one))
+    return worst_issues(elements.where(F.col("ifc_type").isin(one, two)), k, ["ifc_guid", "name", "ifc_type", "storey_name"], wanted)
+
+
 def issues_around(elements: DataFrame, match: Column) -> DataFrame:
     """Issues of the elements that ``match``, from each such end: issue, metric, and id, ifc_guid, name, ifc_type and storey_name of
     this end as e_... and of the other as o_...."""

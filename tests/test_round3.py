@@ -69,3 +69,13 @@ def test_listing_joins_only_boxes_that_can_be_listed(spark, monkeypatch):
     found = graph.issue_listing(rows, issue="CLASH", limit=20).collect()
     assert [r["metric"] for r in found] == [8.0] * 20
     assert joined and max(joined) == 30
+
+
+def test_typed_issues_join_the_two_types_alone(spark):
+    elements = boxes(spark)
+    a, b = F.col("a_ifc_type"), F.col("b_ifc_type")
+    every = spatial.clash_pairs(elements, carry=["ifc_type"]).where(((a == "IfcBeam") & (b == "IfcColumn")) | ((a == "IfcColumn") & (b == "IfcBeam")))
+    order = [F.col("metric").desc_nulls_first(), F.col("a_id"), F.col("b_id")]
+    want = [tuple(r) for r in every.orderBy(*order).limit(40).select("a_id", "b_id", "issue", "metric").collect()]
+    assert len(want) == 40
+    assert [tuple(r) for r in graph.typed_issues(elements, "IfcBeam", "IfcColumn", 40).select("a_id", "b_id", "issue", "metric").collect()] == want
