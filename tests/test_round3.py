@@ -79,3 +79,15 @@ def test_typed_issues_join_the_two_types_alone(spark):
     want = [tuple(r) for r in every.orderBy(*order).limit(40).select("a_id", "b_id", "issue", "metric").collect()]
     assert len(want) == 40
     assert [tuple(r) for r in graph.typed_issues(elements, "IfcBeam", "IfcColumn", 40).select("a_id", "b_id", "issue", "metric").collect()] == want
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_issues_among_some_elements_are_those_with_such_an_end(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW", few)
+    elements = boxes(spark)
+    among = F.col("name").endswith("7") & (F.col("storey_name") == "s1")
+    some = {r["id"] for r in elements.where(among).collect()}
+    want = sorted(tuple(r) for r in spatial.clash_pairs(elements).collect() if r["a_id"] in some or r["b_id"] in some)
+    assert want and sorted(tuple(r) for r in spatial.clash_pairs(elements, among=among).collect()) == want
+    both = [(h, t, i, m) for a, b, _, i, m in want for h, t in ((a, b), (b, a)) if h in some]
+    assert sorted(tuple(r) for r in graph.issues_around(elements, among).select("e_id", "o_id", "issue", "metric").collect()) == sorted(both)
