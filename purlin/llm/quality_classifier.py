@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purlin.llm.common import id_crc, quoted, ship
+from purlin.llm.common import give_back, id_crc, quoted, ship
 from purlin.llm.training import PER_CLASS, labelled_sample, not_held_out
 from purlin.llm.wordparts import Grown, Spelled, WordTable, blocks, ranges
 
@@ -154,7 +154,9 @@ def score_column(spark: SparkSession, model: SubwordModel, text: Column) -> Colu
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, modulus: int = 5, remainder: int = 0) -> SubwordModel:
     """A model of ``label_col``, from labelled rows that aren't held out."""
-    return SubwordModel.fit(*labelled_sample(docs, labels, label_col, not_held_out(modulus, remainder), per_class, id_col, text_col))
+    model = SubwordModel.fit(*labelled_sample(docs, labels, label_col, not_held_out(modulus, remainder), per_class, id_col, text_col))
+    give_back()
+    return model
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -289,3 +289,20 @@ def test_no_language_is_left_out(spark, docs_of):
     model = LanguageModel.fit([t[:400] for t, _ in found], [lang for _, lang in found], rounds=70)
     predicted = model.predictor()([" ".join(rng.choices(own, k=30)) for own in words.values()])
     assert [lang for lang, _ in predicted] == list(words)
+
+
+def test_fitting_quality_gives_its_memory_back(spark):
+    """The driver lives on after the fit, so what the fit took must not stay with it."""
+    import re
+
+    from purlin.llm.quality_classifier import fit_quality
+
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
+
+    words = "concat_ws(' ', transform(sequence(1, 400), i -> concat('w', cast(pmod(hash(id, i), 60000) as string))))"
+    docs = spark.range(4000).selectExpr("id as doc_id", f"{words} as text")
+    before = held()
+    fit_quality(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert held() - before < 60
