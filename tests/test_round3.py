@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from purlin.operators import graph, spatial
+from purlin.operators import graph, retrieval, spatial
 
 
 def rows_of(frame, columns):
@@ -91,3 +91,16 @@ def test_issues_among_some_elements_are_those_with_such_an_end(spark, monkeypatc
     assert want and sorted(tuple(r) for r in spatial.clash_pairs(elements, among=among).collect()) == want
     both = [(h, t, i, m) for a, b, _, i, m in want for h, t in ((a, b), (b, a)) if h in some]
     assert sorted(tuple(r) for r in graph.issues_around(elements, among).select("e_id", "o_id", "issue", "metric").collect()) == sorted(both)
+
+
+def test_nearest_vectors_of_blocks_are_those_of_pairs(spark):
+    """Scores to the last bit and ties by id as pair by pair; copies, nulls, short vectors and several batches included."""
+    rng = random.Random(8)
+    one = [rng.uniform(-1, 1) for _ in range(8)]
+    rows = [(i, one if i % 5 == 0 else None if i % 41 == 1 else one[:3] if i % 41 == 2 else [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).persist()
+    asked = vectors.where("vec_id % 50 in (0, 7) and vec_id % 41 > 2")
+    ordered = lambda frame: sorted(tuple(r) for r in frame.select("query_id", "vec_id", "score", "rank").collect())
+    plan = retrieval._topk_block(asked, vectors, 10)
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+    assert ordered(plan) == ordered(retrieval._topk_plain(asked, vectors, 10))
