@@ -49,7 +49,7 @@ def joins(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["issues_by_storey_either_end"])
+@pytest.mark.parametrize("name", ["issues_by_storey_either_end", "scope_delete_survivors"])
 def test_counts_of_issues_move_no_issues(spark, name):
     """Issues grow with the square of the boxes: what is shuffled after the pass is a row a group and kind, and no issue is joined."""
     plan = joins(entry.queries()[name](spark, SF))
