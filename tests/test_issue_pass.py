@@ -54,3 +54,16 @@ def test_counts_of_issues_move_no_issues(spark, name):
     """Issues grow with the square of the boxes: what is shuffled after the pass is a row a group and kind, and no issue is joined."""
     plan = joins(entry.queries()[name](spark, SF))
     assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1  # the sizes of crowded cells
+
+
+@pytest.mark.parametrize("most", [50_000, 37])
+@pytest.mark.parametrize("k", [1, 60, 5000])
+def test_first_issues_of_both_orders(elements, every, k, most):
+    found = issue_pass.first_issues(elements, k, ("metric", "source"), most=most)
+    orders = {"metric": [F.col("metric").desc(), "a_id", "b_id"], "source": ["a_source_file_id", "b_source_file_id", "a_id", "b_id"]}
+    for name, order in orders.items():
+        want = every.orderBy(*order).limit(k)
+        assert plain(found.where(F.col("in_order") == name), ["a_id", "b_id", "metric", "issue"]) == plain(want, ["a_id", "b_id", "metric", "issue"])
+    only = issue_pass.first_issues(elements, k, issue="CLEARANCE_VIOLATION", most=most)
+    want = every.where("issue = 'CLEARANCE_VIOLATION'").orderBy(*orders["metric"]).limit(k)
+    assert plain(only, ["a_id", "b_id", "metric"]) == plain(want, ["a_id", "b_id", "metric"])
