@@ -67,3 +67,18 @@ def test_first_issues_of_both_orders(elements, every, k, most):
     only = issue_pass.first_issues(elements, k, issue="CLEARANCE_VIOLATION", most=most)
     want = every.where("issue = 'CLEARANCE_VIOLATION'").orderBy(*orders["metric"]).limit(k)
     assert plain(only, ["a_id", "b_id", "metric"]) == plain(want, ["a_id", "b_id", "metric"])
+
+
+@pytest.mark.parametrize("most", [50_000, 37])
+def test_worst_issue_of_every_guid(elements, every, most):
+    """Ties go to the joined ids' order, in which an id that begins another doesn't always come first."""
+    best = {}
+    for r in every.collect():
+        for side, x in enumerate("ab"):
+            guid = r[f"{x}_ifc_guid"] if r[f"{x}_ifc_guid"] is not None else r[f"{x}_id"]
+            key = (-r["metric"], r["a_id"] + r["b_id"], side)
+            best[guid] = min(best.get(guid, (key, None, None)), (key, r[f"{x}_id"], r[f"{x}_ifc_type"]), key=lambda v: v[0])
+            if best[guid][1] is None:
+                best[guid] = (key, r[f"{x}_id"], r[f"{x}_ifc_type"])
+    found = issue_pass.worst_ends(elements, ["ifc_type"], most=most)
+    assert plain(found, ["guid", "id", "ifc_type"]) == sorted(repr((g, v[1], v[2])) for g, v in best.items())
