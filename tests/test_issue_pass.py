@@ -49,8 +49,8 @@ def joins(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["issues_by_storey_either_end", "scope_delete_survivors", "run_summary_by_type"])
-def test_counts_of_issues_move_no_issues(spark, name):
+@pytest.mark.parametrize("name", ["issues_by_storey_either_end", "scope_delete_survivors", "run_summary_by_type", "issue_text_search"])
+def test_issues_are_not_moved(spark, name):
     """Issues grow with the square of the boxes: what is shuffled after the pass is a row a group and kind, and no issue is joined."""
     plan = joins(entry.queries()[name](spark, SF))
     assert "FlatMapGroupsInArrow" in plan and plan.count("Join") == 1  # the sizes of crowded cells
