@@ -107,3 +107,9 @@ def test_client_sorts_number_no_issues(spark):
     """Rows beside the 600 that are returned aren't dealt by range or numbered; only those reach the driver."""
     plan = joins(entry.queries()["issue_client_sorts"](spark, SF))
     assert "Window" not in plan and "RepartitionByExpression" not in plan
+
+
+def test_enrichment_joins_scores_to_elements_alone(spark):
+    plan = joins(entry.queries()["clash_anomaly_enrichment"](spark, SF))
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Join") <= 3  # scores, where they are read, and the sizes of crowded cells
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
