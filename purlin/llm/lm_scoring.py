@@ -4,7 +4,7 @@ The model is a hierarchical Dirichlet n-gram model: with ``h`` a context, ``h'``
 ``K`` the weight of the prior, ``p(w|h) = (c(hw) + K p(w|h')) / (c(h) + K)``; at the root each of the V known words, and one
 for all others, is counted ``PRIORS[0]`` times more. A seen ``hw`` is an arc from the state ``h`` with weight ``log10 p(w|h)``, to the longest state that
 ends with ``hw``; every state has a failure arc to ``h'`` with weight ``log10 (K / (c(h) + K))``. A text is scored in one
-traversal from left to right that carries the state and sums the weights.
+traversal from left to right that sums the weights; the texts of a block are traversed together.
 
 How it runs: the automaton of the whole corpus is never in one place. Texts are cut into blocks of ``BLOCK_CHARS`` characters
 (a longer text is a block of its own), and a block is kept as word numbers and the hashes of its words. A block asks
@@ -81,6 +81,22 @@ def word_hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
+def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``codes``, none below zero, rising, and for each code its place among them."""
+    n = len(codes)
+    shift = max(1, n.bit_length())
+    if not n or int(codes.max()).bit_length() + shift > 63:
+        return np.unique(codes, return_inverse=True)
+    keys = np.sort((codes << shift) | np.arange(n))  # one sort of plain numbers, each with its place
+    own = keys >> shift
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    back = np.empty(n, np.int64)
+    back[keys & ((1 << shift) - 1)] = np.cumsum(new) - 1
+    return own[new], back
+
+
 class Grams:
     """The distinct n-grams of a block, order by order.
 
@@ -101,7 +117,7 @@ class Grams:
             some = np.flatnonzero(place >= k - 2)
             if k == 2:
                 ahead[first] = size
-            codes, back = np.unique(ahead[some] * (size + 1) + tokens[some], return_inverse=True)
+            codes, back = numbered(ahead[some] * (size + 1) + tokens[some])
             self.context.append(codes // (size + 1))
             self.word.append(codes % (size + 1))
             suffix = np.empty(len(codes), np.int64)
@@ -139,37 +155,43 @@ class Automaton:
         size, self.order = grams.size, grams.order
         whole = n + priors[0] * (known + 1)
         self.unknown = math.log10(priors[0] / whole)
-        self.arc: list[list[float]] = [[]]
-        self.fall: list[list[float]] = [[]]
+        self.arc: list[np.ndarray] = [np.zeros(0)]
+        self.fall: list[np.ndarray] = [np.zeros(0)]
         lower = (totals[0][:size] + priors[0]) / whole
         for k in range(1, self.order + 1):
             seen = totals[k - 1][: len(grams.word[k])]
             if k > 1:
                 outside = totals[k - 2][grams.context[k]]  # what follows the context, ends excepted, is as often as it
                 lower = (seen + priors[k - 1] * lower[grams.suffix[k]]) / (outside + priors[k - 1])
-            self.arc.append(np.where(seen > 0, np.log10(lower), 1.0).tolist())
+            self.arc.append(np.where(seen > 0, np.log10(lower), 1.0))
             if k < self.order:
-                self.fall.append(np.log10(priors[k] / (totals[k - 1] + priors[k])).tolist())
+                self.fall.append(np.log10(priors[k] / (totals[k - 1] + priors[k])))
         self.start = (size,) if self.order > 1 and totals[0][size] else ()
 
-    def score(self, places: list[tuple[int, ...]]) -> float:
-        """Of a text, from left to right; ``places``: for each word the numbers of the n-grams that end with it, by order."""
-        arc, fall, unknown, longest = self.arc, self.fall, self.unknown, self.order
-        total, before, k = 0.0, self.start, len(self.start) + 1  # k: order of the arc to try from the state
-        for now in places:
-            weight = arc[k][now[k - 1]]
-            while weight > 0.0 and k > 1:
-                k -= 1
-                total += fall[k][before[k - 1]]
-                weight = arc[k][now[k - 1]]
-            if weight > 0.0:
-                total += unknown
-            else:
-                total += weight
-                if k < longest:
-                    k += 1
-            before = now
-        return total
+    def scores(self, at: list[np.ndarray | None], first: np.ndarray) -> np.ndarray:
+        """Of all texts, each from left to right; ``at``: for each word the numbers of the n-grams that end with it, by order;
+        ``first``: where each text begins.
+
+        What comes before a seen n-gram's last word, and what comes after its first, is seen too. So the arc taken at a word is that of the
+        longest seen n-gram that ends there, whatever the state; the state was left by the falls between its order and that arc's.
+        """
+        words, inner = len(at[1]), np.ones(len(at[1]), bool)
+        inner[first] = False
+        taken, weight = np.zeros(words, np.int64), np.full(words, self.unknown)  # order of the arc, 0 where the word is unknown
+        for k in range(1, self.order + 1):
+            some = np.flatnonzero(at[k] >= 0) if k > 1 else np.arange(words)
+            arc = self.arc[k][at[k][some]]
+            some, arc = some[arc <= 0.0], arc[arc <= 0.0]
+            taken[some], weight[some] = k, arc
+        state = np.empty(words, np.int64)  # order of the state before each word
+        state[1:] = np.minimum(taken[:-1], self.order - 1)
+        state[first] = len(self.start)
+        for k in range(1, self.order):
+            fell = np.flatnonzero((state >= k) & (taken <= k))
+            before = at[k][fell - 1]
+            before[~inner[fell]] = self.start[0] if self.start else 0  # a state of order 1
+            weight[fell] += self.fall[k][before]
+        return np.add.reduceat(weight, first)
 
 
 def _blocks(schema: pa.Schema, block_chars: int) -> Callable:
@@ -284,9 +306,7 @@ def _scored(schema: pa.Schema, order: int, shards: tuple[int, int], n: int, know
         seen = totals[0][tokens]
         base = np.log10((seen + 1.0) / (n + known + 1))
         automaton = Automaton(grams, totals, n, known, priors)
-        scores = []
-        for low, high in zip(first.tolist(), (first + lengths).tolist(), strict=True):
-            scores.append(automaton.score(list(zip(*[at[low:high].tolist() for at in grams.at[1:]], strict=True))))
+        scores = automaton.scores(grams.at, first)
         made = {
             "id": row["ids"],
             "held_out": row["held"],

@@ -109,3 +109,38 @@ def test_packed_numbers():
     for values in ([], [0], [0] * 9, [1, 255, 256], [1 << 63, 5], list(range(1000))):
         for there, back in ((lm.packed, lm.unpacked), (lm.bits, lm.unbits)):
             assert back(there(np.array(values, np.uint64))).tolist() == values
+
+
+def test_distinct_numbers_and_places():
+    rng = np.random.default_rng(1)
+    for codes in (np.zeros(0, np.int64), np.zeros(3, np.int64), rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 100), np.array([1 << 62, 0, 1 << 62])):
+        for got, wanted in zip(lm.numbered(codes), np.unique(codes, return_inverse=True), strict=True):
+            assert got.tolist() == wanted.tolist()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_all_texts_at_once_follow_the_arcs(order):
+    """Each word's arc and falls, taken one word after another from the state before."""
+    rng = np.random.default_rng(order)
+    lengths = rng.integers(1, 9, 60)
+    ends = np.cumsum(lengths) - 1
+    tokens = rng.integers(1, 7, int(lengths.sum()))
+    tokens[ends] = 0
+    grams = lm.Grams(tokens, lengths, 7, order)
+    learned = np.arange(60) % 3 > 0
+    totals = grams.counts(np.repeat(learned, lengths), int(learned.sum()))
+    model = lm.Automaton(grams, totals, int(lengths[learned].sum()), int(np.count_nonzero(totals[0][:7])), (1.0, 3.0, 2.0, 5.0))
+    first, wanted = ends - lengths + 1, []
+    for low, end in zip(first, ends, strict=True):
+        total, before, k = 0.0, model.start, len(model.start) + 1
+        for i in range(low, end + 1):
+            now = [at[i] for at in grams.at[1:]]
+            while model.arc[k][now[k - 1]] > 0.0 and k > 1:
+                k -= 1
+                total += model.fall[k][before[k - 1]]
+            weight = model.arc[k][now[k - 1]]
+            total += model.unknown if weight > 0.0 else weight
+            k = min(k + (weight <= 0.0), order)
+            before = now
+        wanted.append(total)
+    assert np.allclose(model.scores(grams.at, first), wanted, rtol=1e-12)
