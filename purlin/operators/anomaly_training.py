@@ -1,8 +1,9 @@
 """Training of the graph autoencoder by full-batch gradients that stay distributed, and what a trained model is used for.
 
-Nodes and edges never leave the executors. The first convolution's neighbour sums don't depend on the weights, so they are
-joined once; an epoch then is two passes of messages along the edges (latent vectors forward, their gradients back), one over
-the links, and two Arrow passes over the nodes that turn rows into sums of the parameters' size. Those sums are added up in two
+Nodes and edges never leave the executors. Edges are stored once, as they are: a sum over neighbours is taken along them one
+direction after the other, each of which is written before the next begins, so only one direction's shuffle is on disk at a time.
+The first convolution's neighbour sums don't depend on the weights, so they are taken once; an epoch then is two passes of messages
+along the edges (latent vectors forward, their gradients back), one over the links, and two Arrow passes over the nodes that turn rows into sums of the parameters' size. Those sums are added up in two
 levels; the driver holds parameters alone and takes Adam's step. Sums over edges combine on the map side, so a storey that half
 of all elements hang on is no hot key there. Dropout is a hash of node, unit and epoch, the same in every pass.
 """
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from purlin.operators.anomaly import Weights, _columns, _pass, normalised_adjacency, scores
+from purlin.operators.anomaly import Weights, _columns, scores
 from purlin.operators.graph import quantile, ranked_scores
-from purlin.sources.store import Files, Scratch
+from purlin.sources.store import Files, Scratch, shuffles_released
 
 LAYERS = [f.name for f in fields(Weights)]
 SCHEMA_VERSION = 1
@@ -134,11 +135,16 @@ class Trainer:
         self.spark, self.features, self.config = nodes.sparkSession, features, config
         self.tables = Scratch(self.spark, "training")
         freeze = self.tables.freeze
-        self.adjacency = freeze(normalised_adjacency(nodes, edges))
-        sums = _pass(self.adjacency, nodes.select("id", *features), features)
-        weight = self.adjacency.groupBy(F.col("x").alias("id")).agg(F.sum("w").alias("s"))
-        rows = nodes.join(sums.select("id", F.array(*features).alias("m")), "id").join(weight, "id")
-        self.nodes = freeze(rows.select("id", F.array(*[F.col(c).cast("double") for c in features]).alias("x"), "m", "s", F.xxhash64("id", F.lit(config.seed)).alias("mark")))
+        self.edges = freeze(edges.select("source_id", "target_id"))
+        ends = self.edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+        root = 1 / F.sqrt(1 + F.coalesce("d", F.lit(0)))  # of a node's degree, its loop included
+        values = [F.col(c).cast("double") for c in features]
+        rows = freeze(nodes.join(ends, "id", "left").select("id", F.array(*values).alias("x"), root.alias("root"), F.xxhash64("id", F.lit(config.seed)).alias("mark")))
+        names = _columns("x", len(features))
+        sums = self._spread(rows.select("id", "root", *[F.col("x")[i].alias(c) for i, c in enumerate(names)], F.lit(1.0).alias("s")), [*names, "s"])
+        self.nodes = freeze(rows.join(sums.select("id", F.array(*names).cast("array<double>").alias("m"), "s"), "id"))
+        self.tables.drop(rows, sums)
+        edges = self.edges
         n_pos = edges.count()
         if negatives is None:
             negatives = exact_non_edges(nodes, edges, int(n_pos * config.negative_ratio), config.seed)
@@ -149,17 +155,36 @@ class Trainer:
         terms = (n_pos > 0) + (n_neg > 0)
         share = {1.0: 1 / (terms * n_pos) if n_pos else 0.0, 0.0: 1 / (terms * n_neg) if n_neg else 0.0}
         pairs = edges.select("source_id", "target_id", F.lit(1.0).alias("y")).unionByName(negatives.withColumn("y", F.lit(0.0)))
-        self.pairs = freeze(pairs.withColumn("share", F.when(F.col("y") == 1.0, share[1.0]).otherwise(share[0.0])))
+        self.pairs = pairs.withColumn("share", F.when(F.col("y") == 1.0, share[1.0]).otherwise(share[0.0]))
 
-    def _links(self, z: DataFrame, latent: list[str]) -> DataFrame:
-        """(id, g0, g1, ..., loss): the links' loss and its gradient by the latent vectors of both ends."""
+    def _spread(self, sent: DataFrame, columns: list[str]) -> DataFrame:
+        """(id, columns): sums over the neighbours and the node itself, weighted by ``root`` of both; ``sent``: id, root, columns."""
+        freeze = self.tables.freeze
+        sent = freeze(sent.select("id", "root", *[(F.col(c) * F.col("root")).alias(c) for c in columns]))
+        got = []
+        for here, there in (("source_id", "target_id"), ("target_id", "source_id")):
+            met = self.edges.join(sent.select(F.col("id").alias(here), *columns), here)
+            got.append(freeze(met.groupBy(F.col(there).alias("id")).agg(*[F.sum(c).alias(c) for c in columns])))
+        every = sent.unionByName(got[0], allowMissingColumns=True).unionByName(got[1], allowMissingColumns=True)
+        total = every.groupBy("id").agg(F.max("root").alias("root"), *[F.sum(c).alias(c) for c in columns])
+        out = freeze(total.select("id", *[(F.col(c) * F.col("root")).alias(c) for c in columns]))
+        self.tables.drop(sent, *got)
+        return out
+
+    def _link_losses(self, z: DataFrame, latent: list[str]) -> DataFrame:
+        """The pairs with both ends' latent vectors, the logit and their part of the loss."""
         root = math.sqrt(len(latent))
         rows = self.pairs
         for end, prefix in (("source_id", "a"), ("target_id", "b")):
             rows = rows.join(z.select(F.col("id").alias(end), *[F.col(c).alias(prefix + c) for c in latent]), end)
         rows = rows.withColumn("logit", sum((F.col("a" + c) * F.col("b" + c) for c in latent), F.lit(0.0)) / root)
         loss = F.greatest(F.col("logit"), F.lit(0.0)) - F.col("logit") * F.col("y") + F.log1p(F.exp(-F.abs("logit")))
-        rows = rows.withColumns({"loss": loss * F.col("share"), "slope": self.config.beta * F.col("share") * (1 / (1 + F.exp(-F.col("logit"))) - F.col("y")) / root})
+        return rows.withColumn("loss", loss * F.col("share"))
+
+    def _links(self, z: DataFrame, latent: list[str]) -> DataFrame:
+        """(id, g0, g1, ..., loss): the links' loss and its gradient by the latent vectors of both ends."""
+        root = math.sqrt(len(latent))
+        rows = self._link_losses(z, latent).withColumns({"slope": self.config.beta * F.col("share") * (1 / (1 + F.exp(-F.col("logit"))) - F.col("y")) / root})
         ends = [
             F.struct(F.col(end).alias("id"), *[(F.col("slope") * F.col(other + c)).alias(c) for c in latent], (F.col("loss") if end == "source_id" else F.lit(0.0)).alias("loss"))
             for end, other in (("source_id", "b"), ("target_id", "a"))
@@ -167,23 +192,50 @@ class Trainer:
         found = rows.select(F.explode(F.array(*ends)).alias("e")).select("e.*").groupBy("id")
         return found.agg(*[F.sum(c).alias(f"g{c}") for c in latent], F.sum("loss").alias("loss"))
 
-    def gradient(self, weights: Weights, epoch: int = 1) -> tuple[dict[str, float], Weights]:
-        """The loss's parts, and the gradient of the loss by every parameter."""
-        config, tables = self.config, self.tables
+    def _latent(self, weights: Weights, epoch: int) -> DataFrame:
+        """(id, z0, z1, ...) of every node."""
+        config = self.config
         latent = _columns("z", config.latent)
-        id_field = self.nodes.schema["id"]
-        vectors = T.StructType([id_field, *[T.StructField(c, T.DoubleType()) for c in latent]])
-        n, inputs = self.n, len(self.features)
 
         def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     *_, h = _hidden(batch, weights, epoch, config.dropout)
                     p = h @ weights.conv2[0].T + weights.conv2[1]
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c) for c in p.T]], ["id", *latent])
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), *[pa.array(c) for c in p.T]], ["id", "root", *latent])
 
-        sent = self.nodes.select("id", "m", "s", "mark").mapInArrow(forward, vectors)
-        z = tables.freeze(_pass(self.adjacency, sent, latent))
+        vectors = T.StructType([self.nodes.schema["id"], *[T.StructField(c, T.DoubleType()) for c in ("root", *latent)]])
+        return self._spread(self.nodes.select("id", "root", "m", "s", "mark").mapInArrow(forward, vectors), latent)
+
+    def _loss(self, feature: float, structural: float) -> dict[str, float]:
+        return {"loss": self.config.alpha * feature + self.config.beta * structural, "feature_loss": feature, "structural_loss": structural}
+
+    def loss(self, weights: Weights, epoch: int = 1) -> dict[str, float]:
+        """The loss's parts alone: what ``gradient`` goes through forward, without the way back."""
+        latent, cells = _columns("z", self.config.latent), self.n * len(self.features)
+        z = self._latent(weights, epoch)
+
+        def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    d = np.maximum(_matrix(batch, latent) @ weights.dec1[0].T + weights.dec1[1], 0)
+                    total += float(((d @ weights.dec2[0].T + weights.dec2[1] - _lists(batch, "x")) ** 2).sum()) / cells
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["loss"])
+
+        with shuffles_released(self.spark):
+            feature = self.nodes.select("id", "x").join(z, "id").mapInArrow(errors, "loss double").agg(F.sum("loss")).first()[0]
+            structural = self._link_losses(z, latent).agg(F.sum("loss")).first()[0] or 0.0
+        self.tables.drop(z)
+        return self._loss(feature, structural)
+
+    def gradient(self, weights: Weights, epoch: int = 1) -> tuple[dict[str, float], Weights]:
+        """The loss's parts, and the gradient of the loss by every parameter."""
+        config, tables = self.config, self.tables
+        latent = _columns("z", config.latent)
+        id_field = self.nodes.schema["id"]
+        n, inputs = self.n, len(self.features)
+        z = self._latent(weights, epoch)
         links = tables.freeze(self._links(z, latent))
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +254,16 @@ class Trainer:
                 zero = [np.zeros_like(p) for name in ("conv1", "conv2") for p in getattr(weights, name)]
                 total += np.concatenate([p.ravel() for p in (*zero, dd.T @ zs, dd.sum(0), dr.T @ d, dr.sum(0))])
                 dz = dd @ weights.dec1[0] + g
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c) for c in dz.T], pa.nulls(batch.num_rows, pa.list_(pa.float64()))], ["id", *latent, "sums"])
-            empty = [pa.nulls(1, vectors_arrow[0]), *[pa.nulls(1, pa.float64()) for _ in latent]]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([[loss, *total]], none[0].type)], ["id", *latent, "sums"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), *[pa.array(c) for c in dz.T], pa.nulls(batch.num_rows, pa.list_(pa.float64()))], ["id", "root", *latent, "sums"])
+            empty = [pa.nulls(1, vectors_arrow[0]), *[pa.nulls(1, pa.float64()) for _ in ("root", *latent)]]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([[loss, *total]], none[0].type)], ["id", "root", *latent, "sums"])
 
         from pyspark.sql.pandas.types import to_arrow_type
 
         vectors_arrow = [to_arrow_type(id_field.dataType)]
-        held = self.nodes.select("id", "x").join(z, "id").join(links.drop("loss"), "id", "left").fillna(0.0, [f"g{c}" for c in latent])
-        decoded = tables.freeze(held.mapInArrow(decode, T.StructType([T.StructField("id", id_field.dataType), *vectors.fields[1:], T.StructField("sums", T.ArrayType(T.DoubleType()))])))
-        back = _pass(self.adjacency, decoded.where("sums is null").select("id", *latent), latent)
+        held = self.nodes.select("id", "root", "x").join(z, "id").join(links.drop("loss"), "id", "left").fillna(0.0, [f"g{c}" for c in latent])
+        decoded = tables.freeze(held.mapInArrow(decode, T.StructType([T.StructField("id", id_field.dataType), *[T.StructField(c, T.DoubleType()) for c in ("root", *latent)], T.StructField("sums", T.ArrayType(T.DoubleType()))])))
+        back = self._spread(decoded.where("sums is null").select("id", "root", *latent), latent)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(flat(weights)))
@@ -227,9 +279,8 @@ class Trainer:
         encoded = self.nodes.select("id", "m", "s", "mark").join(back, "id").mapInArrow(encode, "sums array<double>")
         total = summed(decoded.where("sums is not null").select("sums").unionByName(encoded))
         structural = links.agg(F.sum("loss")).first()[0] or 0.0
-        tables.drop(z, links, decoded)
-        loss = {"loss": config.alpha * float(total[0]) + config.beta * structural, "feature_loss": float(total[0]), "structural_loss": structural}
-        return loss, shaped(total[1:], weights)
+        tables.drop(z, links, decoded, back)
+        return self._loss(float(total[0]), structural), shaped(total[1:], weights)
 
     def train(self, weights: Weights | None = None, log: Callable[[dict[str, float]], None] | None = None) -> tuple[Weights, list[dict[str, float]]]:
         """Adam over all epochs: the weights, and each epoch's loss."""

@@ -50,6 +50,21 @@ def test_gradient_equals_finite_differences(spark):
         assert math.isclose(g, (loss_of(at.shaped(up, weights)) - loss_of(at.shaped(down, weights))) / (2 * step), rel_tol=1e-4, abs_tol=1e-7)
 
 
+def test_loss_alone_leaves_no_shuffle_files_of_the_edges(spark):
+    """The loss is the gradient's; edges are stored once, and no write leaves its shuffles."""
+    from purlin.sources.store import CLEANUP
+
+    before, written = spark.conf.get(CLEANUP, "false"), []
+    trainer = at.Trainer(*frames(spark)[:2], FEATURES, CONFIG, frames(spark)[2])
+    freeze = trainer.tables.freeze
+    trainer.tables.freeze = lambda frame: written.append(frame) or freeze(frame)
+    weights = at.initial(INPUTS, CONFIG)
+    loss = trainer.loss(weights)
+    assert math.isclose(loss["loss"], loss_of(weights), rel_tol=1e-9) and len(written) == 4  # sent, each direction, the sums
+    assert trainer.gradient(weights)[0].keys() == loss.keys() and math.isclose(trainer.gradient(weights)[0]["loss"], loss["loss"], rel_tol=1e-12)
+    assert spark.conf.get(CLEANUP, "false") == before
+
+
 def test_training_lowers_the_loss_and_is_repeatable(spark, tmp_path):
     nodes, edges, _ = frames(spark)
     config = at.Config(hidden=4, latent=2, dropout=0.1, epochs=4, rate=0.05)
