@@ -104,3 +104,19 @@ def test_nearest_vectors_of_blocks_are_those_of_pairs(spark):
     plan = retrieval._topk_block(asked, vectors, 10)
     assert "MapInArrow" in plan._jdf.queryExecution().toString()
     assert ordered(plan) == ordered(retrieval._topk_plain(asked, vectors, 10))
+
+
+def test_a_repeated_word_is_sorted_once(monkeypatch):
+    """Counts of n-grams are those of every occurrence, while a text's word goes through the sort of n-grams once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from purlin.operators import retrieval
+
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x: sizes.append(len(x)) or sort(x))
+    grams, text, place, tf = retrieval._gram_counts()(pa.array(["ab " * 1000, None, "abc ab"]))
+    assert max(sizes) == 1002  # words; their n-grams are few
+    assert sum(tf[text == 0]) == 3000 and len(tf[text == 0]) == 3 and not (text == 1).any()  # " ab", "ab " and " ab "
+    assert sorted(tf[text == 2].tolist()) == [1] * 7 + [2]  # " ab" of both words
+    assert len(grams) == len(set(grams.tolist())) == place.max() + 1
