@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,20 @@ def degree_features(nodes: DataFrame, edges: DataFrame, types: list[str]) -> Dat
     return filled.withColumn("neighbour_mean_degree", F.floor(mean * 10000.0 + 0.5) / F.lit(10000.0)).drop("__s")
 
 
+def degree_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """In- and out-degree and distinct neighbours alone, as in ``degree_features``: edges meet once by their pair of ends, whichever
+    way they go, then both ends of a pair are summed."""
+    a, b = F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")
+    pairs = attached(edges, nodes).select(a, b, (F.col("source_id") <= F.col("target_id")).cast("long").alias("ab")).groupBy("a", "b")
+    pairs = pairs.agg(F.sum("ab").alias("ab"), F.sum(1 - F.col("ab")).alias("ba"))
+    end = lambda *x: F.struct(*[F.expr(v).alias(n) for v, n in zip(x, ("id", "out_degree", "in_degree", "neighbours"), strict=True)])
+    loop = F.array(end("a", "ab", "ab", "0L"))
+    ends = pairs.select(F.inline(F.when(F.col("a") == F.col("b"), loop).otherwise(F.array(end("a", "ab", "ba", "1L"), end("b", "ba", "ab", "1L")))))
+    counts = ["out_degree", "in_degree", "neighbours"]
+    degree = ends.groupBy("id").agg(*[F.sum(c).alias(c) for c in counts])
+    return nodes.select("id").join(degree, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+
+
 def issue_listing(
     elements: DataFrame,
     issue: str | None = None,
@@ -180,24 +196,42 @@ def combined(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame,
 
 def quantile(values: DataFrame, column: str, q: float, blocks: int = 256) -> float | None:
     """The exact, interpolated quantile: values are cut into ranges by an approximate sketch, counted, and only the range
-    that holds the wanted places is sorted. None without values."""
+    that holds the wanted places is sorted. None without values.
+
+    One pass counts the values below, within and above the range, so none is counted twice or missed where values differ by
+    their last bits from pass to pass (sums of doubles depend on the order in which tasks end).
+    """
     known = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    total = known.count()
-    if not total:
-        return None
+    cuts = sorted(set(known.approxQuantile("v", [max(0.0, q - 2 / blocks), min(1.0, q + 2 / blocks)], 0.5 / blocks)))
+    if not cuts:  # no values, or none that the sketch takes
+        return known.agg(F.percentile("v", q)).first()[0]
+    within = F.when(F.col("v") < cuts[0], float("-inf")).when(F.col("v") > cuts[-1], float("inf")).otherwise(F.col("v"))
+    runs = known.groupBy(within.alias("v")).agg(F.count(F.lit(1)).alias("c")).persist()
+    total = runs.agg(F.sum("c")).first()[0]
     place = q * (total - 1)
     low, high = int(place), min(int(place) + 1, total - 1)
-    cuts = sorted(set(known.approxQuantile("v", [max(0.0, q - 2 / blocks), min(1.0, q + 2 / blocks)], 0.5 / blocks)))
-    under = known.where(F.col("v") < cuts[0]).count()
-    runs = known.where((F.col("v") >= cuts[0]) & (F.col("v") <= cuts[-1])).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    at, out = under, {}
+    at, out = 0, {}
     for v, c in runs.orderBy("v").toLocalIterator():
         for k in (low, high):
-            if at <= k < at + c:
+            if at <= k < at + c and cuts[0] <= v <= cuts[-1]:
                 out[k] = v
         at += c
-        if high in out:
+        if at > high:
             break
+    runs.unpersist()
     if low not in out or high not in out:  # beyond the sketch's error: sort all
         return known.agg(F.percentile("v", q)).first()[0]
     return out[low] + (out[high] - out[low]) * (place - low)
+
+
+def whole_moments(frame: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """(mean, population deviation) of columns of whole numbers, from exact sums: the same bits in whatever order rows come.
+    Rows of equal values are counted first. Empty without rows."""
+    kinds = frame.groupBy(*columns).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("__n"))
+    value = lambda c: F.col(c).cast("decimal(19,0)")
+    sums = [F.sum(v).cast("decimal(38,0)") for c in columns for v in (value(c) * F.col("__n"), value(c) * value(c) * F.col("__n"))]
+    n, *found = kinds.agg(F.sum("__n"), *sums).first()
+    if n is None:
+        return {}
+    n, found = int(n), [int(x) for x in found]
+    return {c: (s / n, math.sqrt((n * s2 - s * s) / (n * n))) for c, s, s2 in zip(columns, found[::2], found[1::2], strict=True)}
